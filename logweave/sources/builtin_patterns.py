@@ -1,0 +1,365 @@
+"""The built-in extraction rules, stated as data.
+
+One tuple per rule: name, device type, selector kind, selector value, pattern,
+captured fields in group order (``name`` or ``name:type``, type ``string`` when
+absent). Position in the list gives the rule id, which is also the merge order.
+"""
+
+from __future__ import annotations
+
+# The names, selectors, patterns (RE2 syntax) and field names
+# below are part of the stored data format and must not change.
+BUILTIN_RULES: list[tuple[str, str, str, str, str, str]] = [
+    (
+        'Cisco IOS Interface',
+        'cisco',
+        'hostname',
+        'cisco*',
+        r'%LINK-(\d+)-(UPDN):\s+Interface\s+(\S+),\s+(change|condition)\s+(is\s+\S+|state\s+\S+)',
+        'msec interface status',
+    ),
+    (
+        'Cisco IOS BGP',
+        'cisco',
+        'hostname',
+        'cisco*',
+        r'%BGP-5-ADJCHANGE:\s+Neighbor\s+(\d+\.\d+\.\d+\.\d+)\s+session\s+(Down|Up)',
+        'neighbor_ip session_state',
+    ),
+    (
+        'Cisco IOS Authentication',
+        'cisco',
+        'hostname',
+        'cisco*',
+        r'%SEC_LOGIN-\d+-(\S+):\s+User=\S+,\s+Method=(\S+),\s+Reason=(\S+),\s+Info=(\S+)',
+        'auth_result method reason info',
+    ),
+    (
+        'FortiGate Traffic',
+        'fortigate',
+        'hostname',
+        'fgt*',
+        r'traffic.*?src=(\d+\.\d+\.\d+\.\d+).*?dst=(\d+\.\d+\.\d+\.\d+).*?srcport=(\d+).*?dstport=(\d+).*?action=(\S+).*?policyid=(\d+).*?sessionid=(\d+).*?proto=(\d+).*?service=(\S+).*?devpriority=(\S+).*?utmstatus=(\S+)',
+        'src_ip dst_ip src_port dst_port action policy_id session_id proto service device_priority utm_status',
+    ),
+    (
+        'FortiGate Threat',
+        'fortigate',
+        'hostname',
+        'fgt*',
+        r'threat.*?src=(\d+\.\d+\.\d+\.\d+).*?dst=(\d+\.\d+\.\d+\.\d+).*?action=(\S+).*?policyid=(\d+).*?utmstatus=(\S+).*?msg="([^"]*)"',
+        'src_ip dst_ip action policy_id utm_status msg',
+    ),
+    (
+        'Generic IP Extraction',
+        'generic',
+        'all',
+        '',
+        r'(?:src|source|SRC|from)=(\d+\.\d+\.\d+\.\d+).*?(?:dst|dest|DEST|to)=(\d+\.\d+\.\d+\.\d+)',
+        'src_ip dst_ip',
+    ),
+    (
+        'Generic MAC Extraction',
+        'generic',
+        'all',
+        '',
+        '(?:mac|MAC|ether|hwaddr|client)=([0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2})',
+        'mac_address',
+    ),
+    (
+        'SSHD Auth',
+        'linux',
+        'app_name',
+        'sshd',
+        r'Accepted\s+(\w+)\s+for\s+(\S+)\s+from\s+(\d+\.\d+\.\d+\.\d+)\s+port\s+(\d+)',
+        'auth_method username src_ip src_port',
+    ),
+    (
+        'SSHD Failed Auth',
+        'linux',
+        'app_name',
+        'sshd',
+        r'Failed\s+(\w+)\s+for\s+(invalid user\s+)?(\S+)\s+from\s+(\d+\.\d+\.\d+\.\d+)\s+port\s+(\d+)',
+        'auth_type username src_ip src_port',
+    ),
+    (
+        'Systemd Service',
+        'linux',
+        'app_name',
+        'systemd',
+        r'(Starting|Started|Stopping|Stopped|Finished|Collected)\s+([\w.-]+\.service)',
+        'action service',
+    ),
+    (
+        'Systemd Service Status',
+        'linux',
+        'app_name',
+        'systemd',
+        r'([\w.-]+\.service)\s*:\s*(Deactivating|Deactivated|Activating|Activated)',
+        'service action',
+    ),
+    (
+        'Kernel Network',
+        'linux',
+        'app_name',
+        'kernel',
+        r'(\S+):\s+link\s+beacon\s+(\S+)\s+speed\s+(\d+)\s+Mbps',
+        'interface status speed',
+    ),
+    (
+        'Sudo Command',
+        'linux',
+        'app_name',
+        'sudo',
+        r'(\S+)[\[:\s]+COMMAND\s+=\s*(\S+)\s+;?\s*TTY=(\S+)\s+PWD=(\S+)\s+USER=(\S+)',
+        'username command tty pwd run_as',
+    ),
+    (
+        'Cron Job',
+        'linux',
+        'app_name',
+        'CRON',
+        r'\((\w+)\)\s+CMD\s+\((.+)\)',
+        'user command',
+    ),
+    (
+        'NetworkManager',
+        'linux',
+        'app_name',
+        'NetworkManager',
+        r'device\s+(\S+)\s+(\S+)\s+(:\s+.+)?',
+        'device state details',
+    ),
+    (
+        'DHCP Client',
+        'linux',
+        'app_name',
+        'dhclient',
+        r'DHCP(\s+\S+)*\s+(\S+)\s+of\s+(\d+\.\d+\.\d+\.\d+)\s+on\s+(\S+)/',
+        'action ip_address interface',
+    ),
+    (
+        'Firewall Drop',
+        'linux',
+        'app_name',
+        'kernel',
+        r'(\S+)\s+IN=(\S+)\s+OUT=(\S*)\s+SRC=(\d+\.\d+\.\d+\.\d+)\s+DST=(\d+\.\d+\.\d+\.\d+)',
+        'action in_iface out_iface src_ip dst_ip',
+    ),
+    (
+        'MikroTik Interface Status',
+        'mikrotik',
+        'hostname',
+        'mikrotik*',
+        r'interface\s+(\S+)\s+link\s+(up|down)(?:\s+on\s+the\s+(\S+))?',
+        'interface status cause',
+    ),
+    (
+        'MikroTik DHCP Lease',
+        'mikrotik',
+        'hostname',
+        'mikrotik*',
+        r'DHCPLease:(\S+)\s+address=(\d+\.\d+\.\d+\.\d+)\s+mac-address=([0-9A-Fa-f:-]+)',
+        'lease_action ip_address mac_address',
+    ),
+    (
+        'MikroTik User Login',
+        'mikrotik',
+        'hostname',
+        'mikrotik*',
+        r'User\s+(\S+)\s+logged\s+(in|out)\s+from\s+(\S+)',
+        'username login_action source_ip',
+    ),
+    (
+        'Palo Alto Threat',
+        'palo_alto',
+        'hostname',
+        'pan*',
+        r'threat.*?src=(\d+\.\d+\.\d+\.\d+).*?dst=(\d+\.\d+\.\d+\.\d+).*?action=(\S+).*?category=(\S+)',
+        'src_ip dst_ip action category',
+    ),
+    (
+        'Palo Alto Traffic',
+        'palo_alto',
+        'hostname',
+        'pan*',
+        r'traffic.*?src=(\d+\.\d+\.\d+\.\d+).*?dst=(\d+\.\d+\.\d+\.\d+).*?proto=(\S+).*?action=(\S+)',
+        'src_ip dst_ip protocol action',
+    ),
+    (
+        'PAM Session',
+        'linux',
+        'message',
+        'pam_unix(',
+        r'pam_unix\((\w+):session\):\s+(opened|closed)\s+for\s+user\s+(\S+)(?:\(uid=(\d+)\))?\s*(?:by\s+(\S+))?',
+        'service action user uid:number by_user',
+    ),
+    (
+        'PAM Authentication',
+        'linux',
+        'message',
+        'pam_unix(',
+        r'pam_unix\((\w+):(auth|session)\):\s+(authentication failure|session opened|session closed)(?:.*(?:user|(for user))\s+=(\S+))?',
+        'service module action user',
+    ),
+    (
+        'pfSense Filter Log',
+        'pfsense',
+        'hostname',
+        'pfsense*',
+        r'filter\+.*?(pass|block).*?(\S+)\s+(\d+\.\d+\.\d+\.\d+):\d+\s->\s(\d+\.\d+\.\d+\.\d+):\d+',
+        'action interface src_ip dst_ip',
+    ),
+    (
+        'Suricata Alert',
+        'pfsense',
+        'hostname',
+        'pfsense*',
+        r'\[1:\d+:\d+\]\s+(\S+)\s+(\d+\.\d+\.\d+\.\d+):\d+\s->\s(\d+\.\d+\.\d+\.\d+):\d+',
+        'alert_msg src_ip dst_ip',
+    ),
+    (
+        'Ubiquiti AP Event',
+        'ubiquiti',
+        'hostname',
+        'ubnt*',
+        r'AP\s+([0-9A-Fa-f:]+)\s+(\S+)\s+on\s+(\S+)',
+        'mac_address event_type site',
+    ),
+    (
+        'Ubiquiti Client Connect',
+        'ubiquiti',
+        'hostname',
+        'ubnt*',
+        r'client\s+([0-9A-Fa-f:]+)\s+(\S+)\s+on\s+(\S+)\s+channel\s+(\d+)$',
+        'client_mac action ssid channel',
+    ),
+    (
+        'Ubiquiti Firewall Log',
+        'ubiquiti',
+        'message',
+        'DESCR=',
+        r'\[(\S+)\]\s+DESCR="([^"]+)"\s+IN=(\S*)\s+OUT=(\S*)\s+MAC=(\S*)\s+SRC=(\d+\.\d+\.\d+\.\d+)\s+DST=(\d+\.\d+\.\d+\.\d+)\s+.*?LEN=(\d+)\s+.*?PROTO=(\S+)(?:\s+SPT=(\d+))?(?:\s+DPT=(\d+))?',
+        'rule_id description in_iface out_iface mac_address src_ip dst_ip packet_len proto src_port dst_port',
+    ),
+    (
+        'UniFi Network WiFi Client Connected',
+        'ubiquiti',
+        'message',
+        '|400|WiFi Client Connected|',
+        r'^0\|Ubiquiti\|UniFi Network\|[^|]*\|400\|WiFi Client Connected\|\d+\|UNIFIcategory=(.*?) UNIFIhost=(.*?) UNIFIconnectedToDeviceName=(.*?) UNIFIconnectedToDeviceIp=(\S+) UNIFIconnectedToDeviceMac=(\S+) UNIFIconnectedToDeviceModel=(\S+) UNIFIconnectedToDeviceVersion=(\S+) UNIFIclientAlias=(.*?) UNIFIclientHostname=(\S+) UNIFIclientIp=(\S+) UNIFIclientMac=(\S+) UNIFIwifiChannel=(\S+) UNIFIwifiChannelWidth=(\S+) UNIFIwifiName=(.*?) UNIFIwifiBand=(\S+) UNIFIauthMethod=(\S+) UNIFIWiFiRssi=(-?\d+) UNIFInetworkName=(\S+) UNIFInetworkSubnet=(\S+) UNIFInetworkVlan=(\S+) UNIFIutcTime=(\S+) msg=(.*)$',
+        'category unifi_host ap_name ap_ip ap_mac ap_model ap_version client_alias client_hostname client_ip client_mac wifi_channel wifi_channel_width wifi_name wifi_band auth_method wifi_rssi network_name network_subnet network_vlan utc_time msg',
+    ),
+    (
+        'UniFi Network Admin Access',
+        'ubiquiti',
+        'message',
+        '|544|Network Accessed|',
+        r'^(?:\d{4}-\d{2}-\d{2}T[\d:.]+Z?\s+[^C]+\s*CEF:)?0\|Ubiquiti\|UniFi Network\|([^|]+)\|544\|Network Accessed\|\d+\|UNIFIcategory=(\S+) UNIFIhost=(.+?) UNIFIaccessMethod=(.+?) UNIFIadmin=(\S+) src=(\d+\.\d+\.\d+\.\d+) UNIFIutcTime=(\S+) msg=(.*)$',
+        'device_id category host access_method admin src_ip utc_time msg',
+    ),
+    (
+        'UniFi OS Admin Access',
+        'ubiquiti',
+        'message',
+        '|1000|Admin Accessed UniFi OS|',
+        r'^(?:\d{4}-\d{2}-\d{2}T[\d:.]+Z?\s+[^C]+\s*CEF:)?0\|Ubiquiti\|UniFi OS\|([^|]+)\|1000\|Admin Accessed UniFi OS\|\d+\|UNIFIhost=(\S+) UNIFIdeviceName=(.+?) UNIFIdeviceModel=(\S+) UNIFIdeviceIp=(\d+\.\d+\.\d+\.\d+) UNIFIdeviceMac=(\S+) UNIFIdeviceVersion=(\S+) UNIFIadmin=(\S+) UNIFIaccessMethod=(.+?) msg=(.*)$',
+        'device_version host device_name device_model device_ip device_mac device_ver admin access_method msg',
+    ),
+    (
+        'UniFi Network Generic CEF',
+        'ubiquiti',
+        'message',
+        'Ubiquiti|UniFi Network|',
+        r'^(\d)\|([^|]+)\|([^|]+)\|([^|]+)\|(\d+)\|([^|]+)\|(\d+)\|(.+)$',
+        'sequence vendor product device_id port event severity raw_kv',
+    ),
+    (
+        'UniFi Network WiFi Client Disconnected',
+        'ubiquiti',
+        'message',
+        '|401|WiFi Client Disconnected|',
+        r'^0\|Ubiquiti\|UniFi Network\|[^|]*\|401\|WiFi Client Disconnected\|\d+\|UNIFIcategory=(.*?) UNIFIhost=(.*?) UNIFIlastConnectedToDeviceName=(.*?) UNIFIlastConnectedToDeviceIp=(\S+) UNIFIlastConnectedToDeviceMac=(\S+) UNIFIlastConnectedToDeviceModel=(\S+) UNIFIlastConnectedToDeviceVersion=(\S+) UNIFIclientAlias=(.*?) UNIFIclientHostname=(\S+) UNIFIclientIp=(\S+) UNIFIclientMac=(\S+) UNIFIwifiChannel=(\S+) UNIFIwifiChannelWidth=(\S+) UNIFIwifiName=(.*?) UNIFIwifiBand=(\S+) UNIFIwifiAirtimeUtilization=(\S+) UNIFIwifiInterference=(\S+) UNIFIlastConnectedToWiFiRssi=(-?\d+) UNIFIduration=(.*?) UNIFIusageDown=(.*?) UNIFIusageUp=(.*?) UNIFInetworkName=(\S+) UNIFInetworkSubnet=(\S+) UNIFInetworkVlan=(\S+) UNIFIutcTime=(\S+) msg=(.*)$',
+        'category unifi_host last_ap_name last_ap_ip last_ap_mac last_ap_model last_ap_version client_alias client_hostname client_ip client_mac wifi_channel wifi_channel_width wifi_name wifi_band wifi_airtime_utilization wifi_interference last_wifi_rssi duration usage_down usage_up network_name network_subnet network_vlan utc_time msg',
+    ),
+    (
+        'UniFi Network WAN Failover',
+        'ubiquiti',
+        'message',
+        '|105|Temporary Internet Failover|',
+        r'^0\|Ubiquiti\|UniFi Network\|[^|]*\|105\|Temporary Internet Failover\|\d+\|UNIFIcategory=(.*?) UNIFIhost=(.*?) UNIFIdeviceMac=(\S+) UNIFIdeviceName=(.*?) UNIFIdeviceModel=(\S+) UNIFIdeviceIp=(\S+) UNIFIdeviceVersion=(\S+) UNIFIwanName=(.*?) UNIFIwanId=(\S+) UNIFIwanPort=(\S+) UNIFIwanIsp=(.*?) UNIFIwanSubnet=(\S+) UNIFIwanSla=(\S+) UNIFIfailoverWanName=(.*?) UNIFIfailoverWanId=(\S+) UNIFIfailoverWanPort=(\S+) UNIFIfailoverWanIsp=(.*?) UNIFIfailoverWanSubnet=(\S+) UNIFIreportedDuration=(\S+) UNIFIutcTime=(\S+) msg=(.*)$',
+        'category unifi_host device_mac device_name device_model device_ip device_version wan_name wan_id wan_port wan_isp wan_subnet wan_sla failover_wan_name failover_wan_id failover_wan_port failover_wan_isp failover_wan_subnet reported_duration utc_time msg',
+    ),
+    (
+        'Windows EventLog NXLog JSON',
+        'windows',
+        'message',
+        '{"time":',
+        r'"time":"([^"]+)","source":"([^"]+)","event_id":(\d+),"event_data":(.+)$',
+        'time source event_id:number event_data',
+    ),
+    (
+        'Windows Logon Success (NXLog)',
+        'windows',
+        'message',
+        '"event_id":4624',
+        r'"TargetUserName":"([^"]*)","TargetDomainName":"([^"]*)","TargetSid":"([^"]*)","LogonType":"(\d+)"',
+        'target_user target_domain target_sid logon_type:number',
+    ),
+    (
+        'Windows Logon Failure (NXLog)',
+        'windows',
+        'message',
+        '"event_id":529',
+        r'"TargetUserName":"([^"]*)","TargetDomainName":"([^"]*)","LogonType":"(\d+)","FailureReason":"([^"]*)"',
+        'target_user target_domain logon_type:number failure_reason',
+    ),
+    (
+        'Windows SMB Access (NXLog)',
+        'windows',
+        'message',
+        '"event_id":5145',
+        r'"SubjectUserName":"([^"]*)","ShareName":"\\\\([^\\]+)\\\\([^"]+)","SourceIp":"([^"]*)"',
+        'subject_user share_server share_name source_ip',
+    ),
+    (
+        'Windows Firewall Connection (NXLog)',
+        'windows',
+        'message',
+        '"event_id":5156',
+        r'"Direction":"([^"]*)","SourceAddress":"([^"]*)","DestinationAddress":"([^"]*)","SourcePort":(\d+),"DestinationPort":(\d+),"Protocol":(\d+)',
+        'direction source_address destination_address source_port:number destination_port:number protocol:number',
+    ),
+    (
+        'Windows Event Log (JSON)',
+        'windows',
+        'message',
+        '"providerName":"Microsoft-Windows-',
+        r'"message":"(.*?)","eventId":(\d+),"providerName":"([^"]*)","level":"([^"]*)","timeCreated":"([^"]*)","logName":"([^"]*)","machineName":"([^"]*)","userId":"([^"]*)","activityId":"([^"]*)"',
+        'event_message event_id:number provider_name level time_created log_name machine_name user_id activity_id',
+    ),
+    (
+        'Windows RDP Session Reconnect',
+        'windows',
+        'message',
+        '"providerName":"Microsoft-Windows-TerminalServices-LocalSessionManager"',
+        r'Użytkownik:\s*(.+?)(?:\\+[rn])*Identyfikator sesji:\s*(\d+)(?:\\+[rn])*Źródłowy adres sieciowy:\s*(\d+\.\d+\.\d+\.\d+)',
+        'rdp_user rdp_session_id:number src_ip:ip',
+    ),
+    (
+        'Windows Workstation Unlock',
+        'windows',
+        'message',
+        '"eventId":4801,"providerName":"Microsoft-Windows-Security-Auditing"',
+        r'Identyfikator zabezpieczeń:(?:\\+t)+(.+?)(?:\\+[rnt])+Nazwa konta:(?:\\+t)+(.+?)(?:\\+[rnt])+Domena konta:(?:\\+t)+(.+?)(?:\\+[rnt])+Identyfikator logowania:(?:\\+t)+(.+?)(?:\\+[rnt])+Identyfikator sesji:(?:\\+t)+(\d+)',
+        'security_id account_name account_domain logon_id session_id:number',
+    ),
+    (
+        'Windows Group Membership (4627)',
+        'windows',
+        'message',
+        '"eventId":4627,"providerName":"Microsoft-Windows-Security-Auditing"',
+        'Podmiot:.*?Identyfikator zabezpieczeń:[ ]+(S-[^ ]+)[ ]+Nazwa konta:[ ]+([^ ]+)[ ]+Domena konta:[ ]+([^ ]+)[ ]+Identyfikator logowania:[ ]+([^ ]+).*?Typ logowania:[ ]+([^ ]+).*?Nowe logowanie:.*?Identyfikator zabezpieczeń:[ ]+(S-[^ ]+)[ ]+Nazwa konta:[ ]+([^ ]+)[ ]+Domena konta:[ ]+([^ ]+)',
+        'subject_sid subject_account subject_domain subject_logon_id logon_type newlogon_sid newlogon_account newlogon_domain',
+    ),
+]
