@@ -45,9 +45,12 @@ def decode(lines: DataFrame) -> DataFrame:
     """
     line = F.make_valid_utf8(F.col("line"))
     items = F.from_json(F.concat(F.lit("["), line, F.lit("]")), _RECORD, {"allowSingleQuotes": "false"})
-    record = F.when(F.size(items) == 1, items[0])
-    looks_like_object = F.ltrim(F.col("line")).startswith("{")
-    with_record = lines.withColumn("record", F.when(looks_like_object, record))
+    objects = F.when(F.ltrim(F.col("line")).startswith("{"), items)
+    single = F.filter(F.array(objects), lambda found: F.size(found) == 1)
+    # Exactly one output row per line. Filters on the decoded columns stay above the generator,
+    # so each line is decoded once however many columns are tested later.
+    generated = lines.select("*", F.explode_outer(single).alias("_found"))
+    with_record = generated.withColumn("record", F.get("_found", 0)).drop("_found")
     return with_record.withColumn(
         "defect",
         F.when(F.col("record").isNotNull(), F.lit(None).cast("string"))

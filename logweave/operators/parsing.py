@@ -79,7 +79,7 @@ def capture_all(message: Column, pattern: str, prefix: str, groups: list[int]) -
     return F.regexp_replace(message, whole, replacement)
 
 
-def _hits(rules: list[Rule], target: Target) -> Column:
+def _captures(rules: list[Rule], target: Target) -> Column:
     message = F.col(target.message)
     captures = [
         F.when(
@@ -88,8 +88,7 @@ def _hits(rules: list[Rule], target: Target) -> Column:
         )
         for i, rule in enumerate(rules, start=1)
     ]
-    found = F.filter(F.array(*captures), lambda c: c.startswith(_SEP))
-    return F.transform(found, lambda c: F.split(c, _SEP))
+    return F.array(*captures)
 
 
 def parse(df: DataFrame, rules: list[Rule], target: Target = Target()) -> DataFrame:
@@ -108,7 +107,11 @@ def parse(df: DataFrame, rules: list[Rule], target: Target = Target()) -> DataFr
     number = lambda hit: hit[1].cast("int")
     keys = F.transform(F.col("_entries"), lambda e: e[_KEY])
     first_per_KEY = F.filter(F.col("_entries"), lambda e, i: F.array_position(keys, e[_KEY]) == i + 1)
-    with_hits = base.withColumn("_hits", _hits(kept, target))
+    # The one-element generator keeps filters on the results above it: every pattern runs once
+    # per row even when later conditions mention several extracted fields.
+    tried = base.withColumn("_tried", _captures(kept, target)).select("*", F.explode(F.array("_tried")).alias("_once"))
+    found = F.filter("_once", lambda c: c.startswith(_SEP))
+    with_hits = tried.withColumn("_hits", F.transform(found, lambda c: F.split(c, _SEP))).drop("_tried", "_once")
     with_entries = with_hits.withColumn("_entries", _pairs(fields, number))
     return with_entries.withColumns(
         {
