@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ingest, parsing  # noqa: F401
+from . import alerts, exports, filters, ingest, notifications, paging, parsing, rollups, streams  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]

@@ -135,7 +135,7 @@ SYSLOG_SQL = f"""SELECT id, CASE WHEN id % 41 = 0 THEN 'no header ' || message E
 FROM logs"""
 
 ALIASES_SQL = """SELECT fromhost_ip, 'Device ' || CAST(min(id) AS STRING) AS display_name, min(hostname) || '-old' AS old_hostname
-FROM logs WHERE fromhost_ip IS NOT NULL AND id % 2 = 0 AND length(hostname) % 3 = 0 GROUP BY fromhost_ip"""
+FROM logs WHERE fromhost_ip IS NOT NULL AND severity = 'emergency' GROUP BY fromhost_ip"""
 
 AUDIT_SQL = """SELECT o_orderkey AS id, o_custkey AS user_id,
     CASE WHEN o_custkey % 10 = 0 THEN 'Admin' || CAST(o_custkey % 50 AS STRING) ELSE 'user_' || CAST(o_custkey AS STRING) END AS username,
@@ -152,7 +152,7 @@ ALERTS_SQL = """SELECT c_custkey AS id, c_name AS name,
     CASE c_custkey % 5 WHEN 0 THEN 'log_threshold' WHEN 1 THEN 'device_silence' WHEN 2 THEN 'audit_log' WHEN 3 THEN 'relay_cert_expiring'
         ELSE 'malformed_json' END AS rule_type FROM customer"""
 ALERT_CHANNELS_SQL = """SELECT DISTINCT o_custkey AS alert_id, o_orderkey % (SELECT max(s_suppkey) + 1 FROM supplier) AS channel_id
-FROM orders WHERE o_custkey % 4 <> 0"""
+FROM orders WHERE o_orderstatus = 'F'"""
 IN_APP_SQL = """SELECT event_id AS id, user_id AS alert_id, 'Alert ' || event_type AS title,
     CASE event_id % 4 WHEN 0 THEN 'audit_log' WHEN 1 THEN 'malformed_json' ELSE 'log_threshold' END AS alert_rule_type,
     CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(user_id AS STRING) || ',' || CAST(user_id % 10 AS STRING) END AS targets,
@@ -164,14 +164,12 @@ NOTIFICATION_LOG_SQL = """SELECT event_id AS id, user_id AS alert_id, 'rule ' ||
     CASE event_id % 3 WHEN 0 THEN 'audit_log' WHEN 1 THEN 'relay_cert_expiring' ELSE 'log_threshold' END AS rule_type,
     CASE WHEN event_id % 2 = 0 THEN event_id ELSE NULL END AS in_app_notification_id, ts AS created_at FROM events"""
 READ_STATE_SQL = """SELECT user_id, max(event_id) AS last_read_id FROM events
-WHERE event_id < (SELECT max(event_id) / 2 FROM events) AND user_id % 4 <> 0 GROUP BY user_id"""
+WHERE event_id < (SELECT max(event_id) / 2 FROM events) AND event_type = 'click' AND value > 60 GROUP BY user_id"""
 CERTIFICATES_SQL = """SELECT o_orderkey AS id, 'relay-' || CAST(o_orderkey AS STRING) AS label,
     CASE o_orderkey % 4 WHEN 0 THEN 'revoked' ELSE 'issued' END AS status,
     CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderdate END AS expires_at FROM orders"""
-RELAYS_SQL = """SELECT label, relay_cert_id FROM (
-    SELECT 'relay-' || CASE s_suppkey % 26 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE CAST(s_suppkey AS STRING) END AS label,
-        CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_suppkey END AS relay_cert_id, s_suppkey FROM supplier) AS r
-WHERE s_suppkey < 26 OR s_suppkey % 26 > 1"""
+RELAYS_SQL = """SELECT 'relay-' || CASE s_suppkey WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE CAST(s_suppkey AS STRING) END AS label,
+    CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_suppkey END AS relay_cert_id FROM supplier"""
 RELAY_CERTS_SQL = """SELECT s_suppkey AS id, CASE WHEN s_suppkey % 5 = 2 THEN 'revoked' ELSE 'issued' END AS status FROM supplier"""
 
 TABLES = (
@@ -217,12 +215,15 @@ class Inputs:
         Written once per session and input folder: the lines stand for files that exist before
         any query runs.
         """
+        return self.spark.read.parquet(self.landed_path())
+
+    def landed_path(self) -> str:
         key = (self.spark.sparkContext.applicationId, self.sf_dir)
         if key not in _LANDED:
             path = work_dir(self.spark, "landed-lines")
             line_columns(self.logs()).write.parquet(path)
             _LANDED[key] = path
-        return self.spark.read.parquet(_LANDED[key])
+        return _LANDED[key]
 
     def stream_logs(self) -> DataFrame:
         """The log table as a stream over the events files."""
