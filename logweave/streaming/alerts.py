@@ -91,6 +91,7 @@ class SilenceProcessor(StatefulProcessor):
                     events.append((*key, t, "recovered", last))
             if last is None or t > last:
                 last, level = t, 0
+        level = self._reach(key, last, level, limit, self._closed_us(timerValues), events)
         self._seen.update((last, level, limit))
         self._schedule(last, level, limit)
         yield from self._frame(events)
@@ -98,12 +99,15 @@ class SilenceProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last, level, limit = self._seen.get()
         events: list[tuple] = []
-        due_us = expiredTimerInfo.getExpiryTimeInMs() * 1000 - self._slot_us
-        level = self._reach(key, last, level, limit, due_us, events)
+        level = self._reach(key, last, level, limit, self._closed_us(timerValues), events)
         self._seen.update((last, level, limit))
         self._schedule(last, level, limit)
         yield from self._frame(events)
 
+    def _closed_us(self, timerValues) -> int:
+        """Every slot that may hold a row up to this time has been seen."""
+        return timerValues.getCurrentWatermarkInMs() * 1000 - self._slot_us
+
     def _reach(self, key, last: int, level: int, limit: int, now: int, events: list[tuple]) -> int:
         """Report every level due by ``now`` that has not been reported yet."""
         for position, (name, factor) in enumerate(silence.LEVELS, start=1):
