@@ -6,18 +6,21 @@ import ipaddress
 
 from pyspark.sql import Column, functions as F
 
-_IPV4 = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})\z"
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}\z"
 
 
 def ipv4_number(ip: Column) -> Column:
     """Dotted IPv4 text as a number, NULL for anything else."""
-    part = lambda i: F.regexp_extract(ip, _IPV4, i).try_cast("long")
-    octets = [part(i) for i in range(1, 5)]
-    valid = ip.rlike(_IPV4) & ~ip.rlike(r"(^|\.)0\d")
-    for octet in octets:
-        valid = valid & (octet <= 255)
-    number = octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3]
-    return F.when(valid, number)
+    octet = lambda i: F.split_part(ip, F.lit("."), F.lit(i)).try_cast("long")
+    number = octet(1) * 16777216 + octet(2) * 65536 + octet(3) * 256 + octet(4)
+    return F.when(ip.rlike(_IPV4), number)
+
+
+def in_ranges(number: Column, ranges: list[tuple[int, int]]) -> Column:
+    """Whether the number lies in any range. Bound once, so it is computed once per row."""
+    spans = F.array(*[F.struct(F.lit(lo).cast("long").alias("lo"), F.lit(hi).cast("long").alias("hi")) for lo, hi in ranges])
+    return F.exists(F.array(number), lambda n: F.exists(spans, lambda s: n.between(s["lo"], s["hi"])))
 
 
 def merged_ranges(entries: list[str]) -> list[tuple[int, int]]:

@@ -145,6 +145,48 @@ def _posix(name: str) -> str:
     return names.get(bare, bare.capitalize())
 
 
+def required_literal(pattern: str) -> str:
+    """The longest text every match must contain, empty when none is certain.
+
+    Only the top level of the pattern is read: groups, classes and optional characters are
+    skipped, and any top-level alternation or flag gives up. Testing for it first spares most
+    rows a pattern that backtracks.
+    """
+    if re.search(r"\(\?[a-zA-Z-]+[:)]", pattern) or "\\Q" in pattern:
+        return ""
+    runs, run, depth, i = [], "", 0, 0
+    while i < len(pattern):
+        ch = pattern[i]
+        width, literal = 1, ""
+        if ch == "\\":
+            width = 2
+            literal = "" if pattern[i + 1 : i + 2].isalnum() else pattern[i + 1 : i + 2]
+        elif ch == "[":
+            end = pattern.index("]", i + (3 if pattern.startswith("[^", i) else 2))
+            while pattern[end - 1] == "\\" and pattern[end - 2] != "\\":
+                end = pattern.index("]", end + 1)
+            width = end - i + 1
+        elif ch == "(":
+            depth += 1
+        elif ch == ")":
+            depth -= 1
+        elif ch == "|" and depth == 0:
+            return ""
+        elif ch not in ".^$|*+?{}":
+            literal = ch
+        after = pattern[i + width : i + width + 1]
+        if depth or not literal or after in ("?", "*", "{"):
+            runs.append(run)
+            run = ""
+        else:
+            run += literal
+            if after == "+":
+                runs.append(run)
+                run = ""
+        i += width
+    return max([*runs, run], key=len)
+
+
 def compiles(spark: SparkSession, patterns: list[str]) -> list[bool]:
     """Which Java patterns compile. Folded on the driver, no job is run."""
     if not patterns:

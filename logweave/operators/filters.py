@@ -179,7 +179,7 @@ def allowed_addresses(logs: DataFrame, entries: list[str], column: str = "fromho
     if not ranges:
         return logs.filter(F.lit(False))
     if len(ranges) <= MAX_INLINE_RANGES:
-        return logs.filter(reduce(lambda a, b: a | b, [number.between(lo, hi) for lo, hi in ranges]))
+        return logs.filter(net.in_ranges(number, ranges))
     spark = logs.sparkSession
     spans = spark.createDataFrame(ranges, "lo long, hi long")
     pieces = spans.select(

@@ -11,11 +11,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import regex, text
+from ..functions import regex
 from ..sources.library import Rule
 
 _SEP = "\0"
-_KEY = "k"
+# Between a field and its value; values may contain it, names may not.
+_IS = "\1"
+_MAX_FIELDS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -40,8 +42,15 @@ def usable(spark, rules: list[Rule]) -> list[Rule]:
     return [rule for rule, pattern in zip(ordered, java) if pattern is not None and next(ok)]
 
 
+def gate(rule: Rule, target: Target = Target()) -> Column:
+    """Selector plus a plain test for text the pattern cannot match without."""
+    literal = regex.required_literal(rule.regex)
+    chosen = selector(rule, target)
+    return chosen & F.contains(F.col(target.message), F.lit(literal)) if literal else chosen
+
+
 def selector(rule: Rule, target: Target = Target()) -> Column:
-    """The cheap test that comes before the rule's pattern."""
+    """Whether the rule looks at the row at all."""
     value = rule.match_value
     if rule.match_type == "all":
         return F.lit(True)
@@ -59,7 +68,7 @@ def selector(rule: Rule, target: Target = Target()) -> Column:
 def rule_matches(rule: Rule, target: Target = Target()) -> Column:
     """Selector and pattern both hit."""
     hit = F.col(target.message).rlike(regex.to_java(rule.regex))
-    return F.coalesce(F.when(selector(rule, target), hit), F.lit(False))
+    return F.coalesce(F.when(gate(rule, target), hit), F.lit(False))
 
 
 def _fields_by_group(rule: Rule) -> list[tuple[int, str]]:
@@ -69,26 +78,36 @@ def _fields_by_group(rule: Rule) -> list[tuple[int, str]]:
     return [(group, name) for name, group in named.items()]
 
 
-def capture_all(message: Column, pattern: str, prefix: str, groups: list[int]) -> Column:
-    """``NUL prefix NUL g1 NUL g2 …`` in one pass, or the message itself when the pattern misses.
+def capture_all(message: Column, pattern: str, replacement: str) -> Column:
+    """The message rewritten to ``replacement`` in one pass, or left as it is when the pattern misses.
 
     The leading lazy run makes the rewrite land on the leftmost match, as a search would.
     """
     whole = f"(?s:^.*?)(?:{regex.to_java(pattern)})(?s:.*)\\z"
-    replacement = _SEP + prefix + "".join(f"{_SEP}${{g}}".replace("{g}", str(g)) for g in groups)
     return F.regexp_replace(message, whole, replacement)
 
 
+def _quoted(text: str) -> str:
+    """Text taken literally in a replacement."""
+    return text.replace("\\", "\\\\").replace("$", "\\$")
+
+
+def _replacement(rule: Rule) -> str:
+    """``NUL rule NUL field \\1 value NUL field \\1 value …``"""
+    pairs = [f"{_SEP}{_quoted(name)}{_IS}${group}" for group, name in _fields_by_group(rule)]
+    return _SEP + _quoted(rule.name) + "".join(pairs)
+
+
 def _captures(rules: list[Rule], target: Target) -> Column:
     message = F.col(target.message)
     captures = [
         F.when(
-            selector(rule, target),
-            capture_all(message, rule.regex, str(i), [g for g, _ in _fields_by_group(rule)]),
+            gate(rule, target),
+            capture_all(message, rule.regex, _replacement(rule)),
         )
-        for i, rule in enumerate(rules, start=1)
+        for rule in rules
     ]
-    return F.array(*captures)
+    return F.filter(F.array(*captures), lambda c: c.startswith(_SEP))
 
 
 def parse(df: DataFrame, rules: list[Rule], target: Target = Target()) -> DataFrame:
@@ -102,35 +121,34 @@ def parse(df: DataFrame, rules: list[Rule], target: Target = Target()) -> DataFr
                 "matched_parsers": F.array().cast("array<string>"),
             }
         )
-    names = F.array(*[F.lit(r.name) for r in kept])
-    fields = F.array(*[F.array(*[F.lit(n) for _, n in _fields_by_group(r)]).cast("array<string>") for r in kept])
-    number = lambda hit: hit[1].cast("int")
-    keys = F.transform(F.col("_entries"), lambda e: e[_KEY])
-    first_per_KEY = F.filter(F.col("_entries"), lambda e, i: F.array_position(keys, e[_KEY]) == i + 1)
     # The one-element generator keeps filters on the results above it: every pattern runs once
     # per row even when later conditions mention several extracted fields.
-    tried = base.withColumn("_tried", _captures(kept, target)).select("*", F.explode(F.array("_tried")).alias("_once"))
-    found = F.filter("_once", lambda c: c.startswith(_SEP))
-    with_hits = tried.withColumn("_hits", F.transform(found, lambda c: F.split(c, _SEP))).drop("_tried", "_once")
-    with_entries = with_hits.withColumn("_entries", _pairs(fields, number))
-    return with_entries.withColumns(
+    tried = base.withColumn("_tried", _captures(kept, target)).select("*", F.explode(F.array("_tried")).alias("_hits"))
+    merged = tried.withColumn("_text", _merged_text(F.col("_hits")))
+    as_map = F.str_to_map("_text", F.lit(_SEP), F.lit(_IS))
+    empty = F.create_map().cast("map<string,string>")
+    return merged.withColumns(
         {
-            "parsed_fields": F.map_from_entries(first_per_KEY),
-            "matched_parsers": F.transform(F.col("_hits"), lambda hit: F.element_at(names, number(hit))),
+            "parsed_fields": F.when(F.col("_text") == "", empty).otherwise(as_map),
+            "matched_parsers": F.transform("_hits", lambda hit: F.split_part(hit, F.lit(_SEP), F.lit(2))),
         }
-    ).drop("_hits", "_entries")
-
+    ).drop("_tried", "_hits", "_text")
 
-def _pairs(fields: Column, number) -> Column:
-    """(field, value) pairs of all hits, in rule order."""
 
-    def of_hit(hit: Column) -> Column:
-        owned = F.element_at(fields, number(hit))
-        return F.transform(
-            owned, lambda name, i: F.struct(name.alias(_KEY), text.sanitize(hit[i + F.lit(2)]).alias("v"))
-        )
+def _merged_text(hits: Column) -> Column:
+    """Field map of a row's hits as text, the earlier rule winning. Values hold no NUL, so this is exact.
 
-    return F.flatten(F.transform(F.col("_hits"), of_hit))
+    One hit, by far the usual case, cannot repeat a name and is taken as it is.
+    """
+    pairs = F.flatten(F.transform(hits, lambda hit: F.slice(F.split(hit, _SEP), F.lit(3), F.lit(_MAX_FIELDS))))
+    first_of = lambda names: F.filter(
+        pairs, lambda pair, i: F.array_position(names, F.substring_index(pair, _IS, 1)) == i + 1
+    )
+    names = F.transform(pairs, lambda pair: F.substring_index(pair, _IS, 1))
+    kept = F.get(F.transform(F.array(names), first_of), 0)
+    single = F.get(F.split(F.get(hits, 0), _SEP, 3), 2)
+    text = F.when(F.size(hits) == 0, "").when(F.size(hits) == 1, single).otherwise(F.array_join(kept, _SEP))
+    return F.coalesce(text, F.lit(""))
 
 
 def owners(rules: list[Rule], fields: list[str]) -> list[Rule]:
@@ -168,11 +186,11 @@ def test_pattern(df: DataFrame, pattern: str, column: str = "message") -> DataFr
     empty = F.create_map().cast("map<string,string>")
     if groups == 0:
         return df.withColumns({"matched": F.lit(False), "groups": empty})
-    parts = F.split(capture_all(F.col(column), pattern, "", list(range(1, groups + 1))), _SEP)
-    tried = df.withColumn("_parts", parts)
-    hit = F.size("_parts") == groups + 2
+    replacement = "".join(f"{_SEP}${i}" for i in range(1, groups + 1))
+    tried = df.withColumn("_parts", F.split(capture_all(F.col(column), pattern, replacement), _SEP))
+    hit = F.size("_parts") == groups + 1
     named = F.map_from_arrays(
-        F.array(*[F.lit(f"group_{i}") for i in range(groups)]), F.slice("_parts", 3, groups)
+        F.array(*[F.lit(f"group_{i}") for i in range(groups)]), F.slice("_parts", 2, groups)
     )
     return tried.withColumns({"matched": hit, "groups": F.when(hit, named).otherwise(empty)}).drop("_parts")
 

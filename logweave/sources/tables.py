@@ -48,3 +48,12 @@ def day_bounds(columns: list[str], start: dt.datetime | str | None, end: dt.date
     if end is not None:
         bounds.append(F.col("log_date") <= F.lit(clock.as_datetime(end).date()))
     return bounds
+
+
+def spread(df: DataFrame, cores: int | None = None) -> DataFrame:
+    """Use all cores on a table of a few files; larger tables are left as they are read.
+
+    For per-row work that costs far more than moving the row once.
+    """
+    wanted = cores or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if len(df.inputFiles()) * 2 <= wanted else df
