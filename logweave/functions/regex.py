@@ -187,10 +187,11 @@ def required_literal(pattern: str) -> str:
     return max([*runs, run], key=len)
 
 
+_COMPILED: dict[str, bool] = {}
+
+
 def compiles(spark: SparkSession, patterns: list[str]) -> list[bool]:
-    """Which Java patterns compile. Folded on the driver, no job is run."""
-    if not patterns:
-        return []
+    """Which Java patterns compile. Folded on the driver, no job is run; answers are remembered."""
 
     def probe(batch: list[str]) -> bool:
         try:
@@ -199,7 +200,11 @@ def compiles(spark: SparkSession, patterns: list[str]) -> list[bool]:
         except Exception:
             return False
 
-    return [True] * len(patterns) if probe(patterns) else [probe([p]) for p in patterns]
+    new = [p for p in dict.fromkeys(patterns) if p not in _COMPILED]
+    if new:
+        together = probe(new)
+        _COMPILED.update({p: together or probe([p]) for p in new})
+    return [_COMPILED[p] for p in patterns]
 
 
 def check_user_pattern(pattern: str) -> str:

@@ -12,6 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import use_utc, work_dir
+from ..sources import tables
 
 # The tables span January 2024.
 AS_OF = dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc)
@@ -205,9 +206,10 @@ class Inputs:
             text = f"WITH logs AS ({logs}) {text}"
         return zoned(self.spark.sql(text))
 
-    def logs(self) -> DataFrame:
-        """The log table, without extracted fields."""
-        return zoned(log_columns(self.table("events")))
+    def logs(self, spread: bool = False) -> DataFrame:
+        """The log table, without extracted fields. ``spread`` uses all cores for a table of a few files."""
+        events = self.table("events")
+        return zoned(log_columns(tables.spread(events) if spread else events))
 
     def lines(self) -> DataFrame:
         """Raw JSON lines of the log table, some of them damaged, as a landed table.
@@ -221,7 +223,7 @@ class Inputs:
         key = (self.spark.sparkContext.applicationId, self.sf_dir)
         if key not in _LANDED:
             path = work_dir(self.spark, "landed-lines")
-            line_columns(self.logs()).write.parquet(path)
+            line_columns(self.logs(spread=True)).write.parquet(path)
             _LANDED[key] = path
         return _LANDED[key]
 

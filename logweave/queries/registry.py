@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import parsing
-from ..sources import tables
 from ..sources.library import Rule, builtin_rules
 from .inputs import LINES_SQL, LOGS_SQL, Inputs, plain
 
@@ -127,7 +126,7 @@ def named(*names: str) -> list[Rule]:
 
 
 def parsed_logs(inputs: Inputs, rules: list[Rule]) -> DataFrame:
-    return parsing.parse(tables.spread(inputs.logs()), rules)
+    return parsing.parse(inputs.logs(spread=True), rules)
 
 
 def library_sql(rules: list[Rule]) -> str:
