@@ -51,7 +51,7 @@ def alert_glob_to_regex(pattern: str) -> str:
 
 def like_text(text: str) -> str:
     """User text inside an ILIKE pattern: wildcards stay active, stray escapes are doubled."""
-    return re.sub(r"\\(?![%_\\])", r"\\\\", text)
+    return re.sub(r"\\(.?)", lambda m: m[0] if m[1] and m[1] in "%_\\" else "\\\\" + m[1], text, flags=re.DOTALL)
 
 
 def group_count(pattern: str) -> int:

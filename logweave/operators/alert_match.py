@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import regex, severity
 
@@ -56,6 +56,14 @@ def parsers_match(names: tuple[str, ...]) -> Column:
     return F.coalesce(F.arrays_overlap("matched_parsers", F.array(*[F.lit(n) for n in names])), F.lit(False))
 
 
+def _usable_pattern(pattern: str) -> str | None:
+    try:
+        java = regex.check_user_pattern(pattern)
+    except ValueError:
+        return None
+    return java if regex.compiles(SparkSession.active(), [java])[0] else None
+
+
 def condition_matches(cond: FieldCondition) -> Column:
     """Present and satisfied. An absent field never matches, an invalid pattern neither."""
     value = F.try_element_at("parsed_fields", F.lit(cond.field))
@@ -64,10 +72,7 @@ def condition_matches(cond: FieldCondition) -> Column:
     elif cond.operator == "not_equals":
         test = value != cond.value
     elif cond.operator == "regex":
-        try:
-            test = value.rlike(regex.check_user_pattern(cond.value))
-        except ValueError:
-            test = F.lit(False)
+        test = value.rlike(java) if (java := _usable_pattern(cond.value)) else F.lit(False)
     else:
         test = value == cond.value
     return F.coalesce(test, F.lit(False))

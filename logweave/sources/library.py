@@ -76,7 +76,7 @@ def read_library(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     Ids follow file-name order, then position in the file's array. A malformed file is
     reported and skipped; the others load.
     """
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+    files = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
     item = "struct<name:string,device_type:string,match_type:string,match_value:string,regex:string,fields:%s>" % (
         schema.FIELDS.simpleString()
     )
