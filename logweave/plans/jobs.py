@@ -66,6 +66,29 @@ def reparse_table(spark: SparkSession, table_path: str, rules: list[Rule], days:
     return len(changed)
 
 
+def compact_stream(spark: SparkSession, landing_path: str, table_path: str, before: dt.date) -> list[dt.date]:
+    """Move finished days from the per-batch folders of stream ingest into the log table; returns the days.
+
+    Each day is rewritten as the union of what the table and the batches hold, one row per id,
+    and only then do its batch folders go. A run that stops in between is repeated safely.
+    """
+    landed = spark.read.parquet(landing_path).drop("batch").filter(F.col("log_date") < F.lit(before))
+    # One row per day.
+    days = sorted(r["log_date"] for r in landed.select("log_date").distinct().collect())
+    if not days:
+        return []
+    rows = landed
+    fs, where = versions.file_system(spark, table_path)
+    if fs.exists(where):
+        rows = landed.unionByName(tables.read_logs(spark, table_path).filter(F.col("log_date").isin(*days)), True)
+    tables.write_logs(rows.dropDuplicates(["id"]).drop("log_date"), table_path, mode="overwrite")
+    fs, where = versions.file_system(spark, landing_path)
+    for batch in fs.listStatus(where):
+        if batch.getPath().getName().startswith("batch="):
+            drop_days(spark, batch.getPath().toString(), days)
+    return days
+
+
 def rollup_grain(logs: DataFrame) -> DataFrame:
     """Counts at the grain all stored dashboards derive from; fixed-width aggregates only."""
     return logs.groupBy(

@@ -44,6 +44,9 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for checkpoints and intermediate tables.
 
@@ -54,6 +57,8 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        base = tempfile.mkdtemp(prefix="logweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_DIRS:
+            _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="logweave-")
+        base = _LOCAL_DIRS[app]
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

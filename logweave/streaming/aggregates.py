@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources import versions
+
 
 def hourly_timeline(logs: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Rows per hour, emitted once the hour is older than the allowed delay; later rows are dropped."""
@@ -46,6 +48,29 @@ def running_counts(logs: DataFrame, keys: Sequence[Column], path: str, checkpoin
     return logs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def read_running_counts(spark: SparkSession, path: str, *keys: str) -> DataFrame:
-    deltas = spark.read.parquet(path)
+def read_running_counts(spark: SparkSession, path: str, *keys: str, base_path: str | None = None) -> DataFrame:
+    """Totals per key: the compacted base, if any, plus the deltas that came after it."""
+    deltas = spark.read.parquet(path).select(*keys, "cnt", "last_seen", "batch")
+    base = versions.read(spark, base_path) if base_path else None
+    if base is not None:
+        newest = base.select(F.max("batch")).scalar()
+        deltas = deltas.filter(F.col("batch") > newest).unionByName(base)
     return deltas.groupBy(*keys).agg(F.sum("cnt").alias("cnt"), F.max("last_seen").alias("last_seen"))
+
+
+def compact_running_counts(spark: SparkSession, path: str, base_path: str, *keys: str) -> int:
+    """Sum everything written so far into a new base and drop the deltas it covers; returns the last batch covered.
+
+    Readers of the new base skip covered deltas, so dropping them late or twice changes nothing.
+    """
+    last = spark.read.parquet(path).agg(F.max("batch")).first()[0]
+    versions.write(
+        read_running_counts(spark, path, *keys, base_path=base_path).withColumn("batch", F.lit(last)), base_path
+    )
+    fs, where = versions.file_system(spark, path)
+    for status in fs.listStatus(where):
+        name = status.getPath().getName()
+        # The newest delta stays, so that the folder keeps its columns.
+        if name.startswith("batch=") and int(name[6:]) < last:
+            fs.delete(status.getPath(), True)
+    return last
