@@ -130,10 +130,10 @@ def next_state(state: DataFrame, changes: DataFrame, as_of: dt.datetime | str) -
 def status(devices: DataFrame, rules: list[SilenceRule], as_of: dt.datetime | str) -> DataFrame:
     """Per device the strictest threshold that applies and ``silent``, ``ok`` or ``no_rule``."""
     limits = [
-        F.when(F.col("fromhost_ip").isin(*r.device_ips) if r.device_ips else F.lit(True), F.lit(r.minutes))
+        F.when(F.col("fromhost_ip").isin(*r.device_ips) if r.device_ips else F.lit(True), F.lit(r.minutes).cast("long"))
         for r in rules
     ]
-    strictest = F.array_min(F.array(*limits)) if limits else F.lit(None).cast("int")
+    strictest = F.array_min(F.array(*limits)) if limits else F.lit(None).cast("long")
     age = _age_us(as_of, "last_seen")
     rows = devices.withColumn("threshold_minutes", strictest)
     return rows.withColumn(

@@ -73,7 +73,7 @@ _TESTS = {
 
 
 def _matches_sql(ids) -> str:
-    return " UNION ALL ".join(f"SELECT {i} AS rule_id, * FROM parsed WHERE {_TESTS[i]}" for i in ids)
+    return " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS rule_id, * FROM parsed WHERE {_TESTS[i]}" for i in ids)
 
 
 @query("alert_severity_floor", over_logs(f"SELECT id, severity FROM logs WHERE coalesce({_RANK} <= 4, TRUE)"))
@@ -219,7 +219,7 @@ _AUDIT_RULES = [
 ]
 _AUDIT_SETTINGS = "(VALUES (21, 1, 60000000, 604800000000), (22, 1, 60000000, 2592000000000)) AS k(rule_id, threshold, window_us, cooldown_us)"
 _AUDIT_SLOTS = """SELECT rule_id, epoch_us(created_at) // 500000 AS slot, count(*) AS matches, max(epoch_us(created_at)) AS t_us
-    FROM (SELECT 21 AS rule_id, created_at FROM audit WHERE action = 'update_rule' UNION ALL SELECT 22, created_at FROM audit) AS a GROUP BY 1, 2"""
+    FROM (SELECT CAST(21 AS BIGINT) AS rule_id, created_at FROM audit WHERE action = 'update_rule' UNION ALL SELECT 22, created_at FROM audit) AS a GROUP BY 1, 2"""
 
 
 @query(
@@ -231,7 +231,7 @@ def alert_audit(inp: Inputs) -> DataFrame:
 
 
 _BAD_RULE = AlertRule(31, "bad lines", rule_type="malformed_json", cooldown_minutes=360)
-_BAD_SLOTS = """SELECT 31 AS rule_id, epoch_us(l.timestamp) // 500000 AS slot, count(*) AS matches, max(epoch_us(l.timestamp)) AS t_us
+_BAD_SLOTS = """SELECT CAST(31 AS BIGINT) AS rule_id, epoch_us(l.timestamp) // 500000 AS slot, count(*) AS matches, max(epoch_us(l.timestamp)) AS t_us
     FROM decoded d JOIN logs l ON l.id = d.id WHERE d.defect IN ('malformed', 'truncated') GROUP BY 1, 2"""
 _BAD_SETTINGS = "(VALUES (31, 1, 60000000, 21600000000)) AS k(rule_id, threshold, window_us, cooldown_us)"
 

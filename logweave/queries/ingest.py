@@ -95,7 +95,7 @@ def ingest_partial_drop(inp: Inputs) -> DataFrame:
 @query("ingest_sanitize", _sql("SELECT id, message, length(message) AS chars FROM normal WHERE defect IS NULL AND contains(line, chr(92) || 'u0000')"))
 def ingest_sanitize(inp: Inputs) -> DataFrame:
     rows = ingest.normalize(ingest.decode(inp.lines())).filter("defect IS NULL")
-    return rows.filter(F.contains("line", F.lit("\\u0000"))).select("id", "message", F.length("message").alias("chars"))
+    return rows.filter(F.contains("line", F.lit("\\u0000"))).select("id", "message", F.length("message").cast("long").alias("chars"))
 
 
 @query("ingest_drop_blank_host", _sql("SELECT id, hostname FROM normal WHERE defect IS DISTINCT FROM 'partial' AND hostname <> ''"))

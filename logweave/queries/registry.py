@@ -137,6 +137,6 @@ def library_sql(rules: list[Rule]) -> str:
         for i, (n, l, t) in enumerate(r.fields)
     )
     return (
-        f"SELECT * FROM (VALUES {rows}) AS v(parser_id, parser_name, device_type, match_type, match_value, pos,"
+        f"SELECT * REPLACE (CAST(parser_id AS BIGINT) AS parser_id) FROM (VALUES {rows}) AS v(parser_id, parser_name, device_type, match_type, match_value, pos,"
         " field_name, field_label, field_type)"
     )

@@ -295,7 +295,7 @@ SILENCE_RULES = [
     silence.SilenceRule(2, threshold=0, cooldown_minutes=600, device_ips=("10.0.1.2", "10.0.2.3", "10.0.3.4", "10.0.0.5")),
     silence.SilenceRule(3, threshold=240, device_ips=tuple(f"10.0.1.{b}" for b in range(1, 90))),
 ]
-SILENCE_VALUES = """(SELECT rule_id, CAST(m AS BIGINT) AS minutes, CAST(c AS BIGINT) AS cooldown
+SILENCE_VALUES = """(SELECT CAST(rule_id AS BIGINT) AS rule_id, CAST(m AS BIGINT) AS minutes, CAST(c AS BIGINT) AS cooldown
     FROM (VALUES (1, 900, 60), (2, 15, 600), (3, 240, 0)) AS v(rule_id, m, c)) AS rules"""
 SILENCE_APPLIES = """(rule_id = 1 OR (rule_id = 2 AND fromhost_ip IN ('10.0.1.2', '10.0.2.3', '10.0.3.4', '10.0.0.5'))
     OR (rule_id = 3 AND fromhost_ip LIKE '10.0.1.%' AND CAST(split_part(fromhost_ip, '.', 4) AS INT) < 90))"""
