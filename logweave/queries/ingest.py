@@ -161,13 +161,13 @@ def ingest_quality(inp: Inputs) -> DataFrame:
     "ingest_resume",
     _sql(
         """SELECT d.id FROM decoded d JOIN stamps s ON d.id = s.id
-        WHERE d.defect IS NULL AND s.us > (SELECT epoch_us(max(timestamp)) FROM logs WHERE id % 2 = 0 AND id < (SELECT max(id) / 2 FROM logs))"""
+        WHERE d.defect IS NULL AND s.us > (SELECT epoch_us(max(timestamp)) FROM logs WHERE id < (SELECT max(id) / 2 FROM logs))"""
     ),
 )
 def ingest_resume(inp: Inputs) -> DataFrame:
     logs = inp.logs()
     half = logs.select(F.max("id") / 2).scalar()
-    stored = logs.filter((F.col("id") % 2 == 0) & (F.col("id") < half))
+    stored = logs.filter(F.col("id") < half)
     return ingest.resume_after(inp.lines(), stored).select("id")
 
 

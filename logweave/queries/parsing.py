@@ -156,14 +156,13 @@ def reparse_unparsed(inp: Inputs) -> DataFrame:
 @query(
     "reparse_counts",
     over_logs(
-        "SELECT count(*) AS processed, count(*) FILTER (len(parsers) > 0) AS updated FROM parsed WHERE fromhost_ip LIKE '10.0.1.%' OR fromhost_ip = '10.0.2.3'",
+        "SELECT count(*) AS processed, count(*) FILTER (len(parsers) > 0) AS updated FROM parsed",
         todo=f"SELECT * FROM logs WHERE NOT {_EARLY_HIT}",
         parsed=parsed_sql(LIBRARY, [], source="todo"),
     ),
 )
 def reparse_counts(inp: Inputs) -> DataFrame:
-    rows = _partly_parsed(inp).filter("fromhost_ip LIKE '10.0.1.%' OR fromhost_ip = '10.0.2.3'")
-    return parsing.reparse_counts(parsing.reparse(rows, LIBRARY))
+    return parsing.reparse_counts(parsing.reparse(_partly_parsed(inp), LIBRARY))
 
 
 _REGISTRY_COLUMNS = ("parser_id", "parser_name", "device_type", "field_name", "field_label", "field_type")

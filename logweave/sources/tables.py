@@ -50,10 +50,11 @@ def day_bounds(columns: list[str], start: dt.datetime | str | None, end: dt.date
     return bounds
 
 
-def spread(df: DataFrame, cores: int | None = None) -> DataFrame:
-    """Use all cores on a table of a few files; larger tables are left as they are read.
+def spread(table: DataFrame, cores: int | None = None) -> DataFrame:
+    """Use all cores on a table that is read as a few splits; larger tables are left as they are read.
 
-    For per-row work that costs far more than moving the row once.
+    For per-row work that costs far more than moving the row once. Call it on the plain table,
+    where counting the splits needs no more than the file listing.
     """
-    wanted = cores or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if len(df.inputFiles()) * 2 <= wanted else df
+    wanted = cores or table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(wanted) if table.rdd.getNumPartitions() * 2 <= wanted else table
