@@ -45,4 +45,5 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).columns
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert catalog.QUERIES.keys() <= entry.queries().keys()
+    assert catalog.ORACLE.keys() <= entry.oracle_sql().keys() <= entry.queries().keys()
