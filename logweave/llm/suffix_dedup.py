@@ -123,13 +123,15 @@ def _spans(rows: DataFrame, length: int) -> DataFrame:
 def _settle(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """Spans of contexts that occur again as a whole, and one row (with ``twin``, ``members``) for each
     different context that shares its pivot bytes with a different one."""
-    shared = rows.groupBy("kh").agg(F.count("*").alias("_n")).filter("_n > 1").select("kh")
+    # Stored, so that both sides of the join are plain exchanges, which a hot beginning can be split in.
+    shared = stored(rows.groupBy("kh").agg(F.count("*").alias("_n")).filter("_n > 1").select("kh"), "beginnings")
     likely = stored(rows.join(shared, "kh", "left_semi"), "likely")
     whole = likely.groupBy("kh", "sh").agg(F.count("*").alias("_n"), F.min(F.struct("th", "nb", "pos")).alias("_first"))
     whole = stored(whole.select("kh", "sh", (F.col("_n") > 1).alias("twin"), "_first.*"), "contexts")
     spans = _spans(likely.join(whole.filter("twin").select("kh", "sh"), ["kh", "sh"], "left_semi"), length)
     mixed = whole.groupBy("kh").agg(F.count("*").alias("members"), F.sum(F.when(F.col("twin"), 0).otherwise(1)).alias("_open"))
-    return spans, whole.join(mixed.filter("members > 1 AND _open > 0").select("kh", "members"), "kh")
+    mixed = stored(mixed.filter("members > 1 AND _open > 0").select("kh", "members"), "mixed")
+    return spans, whole.join(mixed, "kh")
 
 
 def _with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
