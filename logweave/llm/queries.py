@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, chat, jaccard_join, sharding, suffix_dedup
-from .common import table
+from . import byte_bpe, chat, jaccard_join, quality_ordinal, sharding, suffix_dedup, toxicity
+from .common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -59,3 +59,26 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_jaccard_join")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"), 90, 3)
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """Learned from labelled rows outside the held-out fold."""
+    return toxicity.fit(docs, table(spark, sf_dir, "labels"), id_remainder("_id", 5) != 0)
+
+
+@query("op6_ordinal_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 poor, 1 good but toxic, 2 good. Kept from grade 1 on, as toxicity has its own operator."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = F.col("quality") == 1
+    grade = F.when(good & (F.coalesce("toxic", F.lit(0)) == 0), 2).when(good, 1).when(F.col("quality") == 0, 0)
+    model = quality_ordinal.fit(docs, table(spark, sf_dir, "labels"), grade, id_remainder("_id", 5) != 0)
+    scored = model.score(docs, keep_grade=1)
+    return scored.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "expected_grade", "tail_probability", "kept")
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity_model(spark, docs, sf_dir).score(docs)
+    return scored.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
