@@ -33,42 +33,58 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, learn: Co
 
 
 class Sparse:
-    """Rows of feature numbers with the value 1 each, or with own values."""
+    """Rows of feature numbers with the value 1 each."""
 
-    def __init__(self, rows: list[np.ndarray], columns: int, values: list[np.ndarray] | None = None):
+    def __init__(self, rows: list[np.ndarray], columns: int):
         self.size, self.columns = len(rows), columns
-        sizes = np.array([len(r) for r in rows], dtype=np.int64)
-        self.row = np.repeat(np.arange(self.size), sizes)
-        self.col = np.concatenate(rows).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
-        self.val = np.concatenate(values) if values else np.ones(len(self.col))
+        self.row = np.repeat(np.arange(self.size, dtype=np.int32), [len(r) for r in rows])
+        self.col = np.concatenate(rows).astype(np.int32) if len(rows) else np.zeros(0, np.int32)
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.val * weights[self.col], minlength=self.size)
+        return np.bincount(self.row, weights[self.col], minlength=self.size)
 
     def back(self, per_row: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, self.val * per_row[self.row], minlength=self.columns)
+        return np.bincount(self.col, per_row[self.row], minlength=self.columns)
 
 
-def screened(rows: list[np.ndarray], high: np.ndarray, most: int, always: np.ndarray | None = None) -> np.ndarray:
-    """The ``most`` features whose presence differs most between rows with and without ``high``."""
-    total = 1 << BITS
-    ones = np.concatenate([r for r, h in zip(rows, high) if h] or [np.zeros(0, np.int64)])
-    zeros = np.concatenate([r for r, h in zip(rows, high) if not h] or [np.zeros(0, np.int64)])
-    a, b = np.bincount(ones, minlength=total), np.bincount(zeros, minlength=total)
-    n1, n0 = max(1, int(high.sum())), max(1, int((~high).sum()))
-    pooled = (a + b) / (n1 + n0)
+def contrast(ones: np.ndarray, zeros: np.ndarray, n1: int, n0: int, most: int, always: np.ndarray | None = None) -> np.ndarray:
+    """The ``most`` features whose presence differs most between two kinds of rows, by rows that have them."""
+    n1, n0 = max(1, n1), max(1, n0)
+    pooled = (ones + zeros) / (n1 + n0)
     spread = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n1 + 1 / n0))
-    z = np.where(a + b >= 3, np.abs(a / n1 - b / n0) / spread, 0.0)
+    z = np.where(ones + zeros >= 3, np.abs(ones / n1 - zeros / n0) / spread, 0.0)
     best = np.argsort(-z, kind="stable")[:most]
     best = best[z[best] > 0]
     return np.unique(np.concatenate([best, always])) if always is not None else np.sort(best)
 
 
-def compact(rows: list[np.ndarray], kept: np.ndarray) -> list[np.ndarray]:
-    """Feature numbers as places in ``kept``; others go."""
-    place = np.full(1 << BITS, -1, np.int64)
-    place[kept] = np.arange(len(kept))
-    return [p[p >= 0] for p in (place[r] for r in rows)]
+def label_counts(features: DataFrame) -> tuple[dict[float, int], dict[float, np.ndarray]]:
+    """Rows of each label, and for each label the rows that have each feature (at most 2^18 numbers)."""
+    rows = {r["label"]: r["count"] for r in features.groupBy("label").count().collect()}  # one row per label
+    table = features.select("label", F.explode("own").alias("feature")).groupBy("label", "feature").count().toPandas()
+    counts = {label: np.zeros(1 << BITS, np.int64) for label in rows}
+    for label, part in table.groupby("label"):
+        counts[label][part["feature"].to_numpy()] = part["count"].to_numpy()
+    return rows, counts
+
+
+def collected(features: DataFrame, kept: np.ndarray, lists: list[str]) -> tuple[np.ndarray, dict[str, list[np.ndarray]]]:
+    """Labels and, for each list column, the places in ``kept`` of every row's features; as many rows as the sample has."""
+    sent = features.sparkSession.sparkContext.broadcast(kept.astype(np.int32))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = np.full(1 << BITS, -1, np.int32)
+        place[sent.value] = np.arange(len(sent.value), dtype=np.int32)
+        for batch in batches:
+            out = {"label": batch["label"]}
+            for name in lists:
+                found = [place[np.asarray(r, np.int64)] for r in batch[name]]
+                out[name] = [p[p >= 0].tobytes() for p in found]
+            yield pd.DataFrame(out)
+
+    got = features.mapInPandas(run, "label double, " + ", ".join(f"{n} binary" for n in lists)).toPandas()
+    got = got.sort_values(["label", *lists], kind="stable")  # whatever order the rows came in
+    return got["label"].to_numpy(float), {n: [np.frombuffer(r, np.int32) for r in got[n]] for n in lists}
 
 
 def row_scores(df: DataFrame, text_col: str, score: Callable[[str], tuple], names: list[str], prepare: Callable[[], object]) -> Column:

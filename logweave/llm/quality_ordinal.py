@@ -14,11 +14,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import small_batches, without
-from .linear_text import WORD, Sparse, compact, hashed, labelled_sample, row_scores, screened
+from .common import small_batches, stored, without
+from .linear_text import BITS, WORD, Sparse, collected, contrast, hashed, label_counts, labelled_sample, row_scores
 
 MAX_ROWS = 20_000
-MAX_FEATURES = 8192
+MAX_FEATURES = 6000
 _SHAPE = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|\s+")
 
 
@@ -74,14 +74,14 @@ class Model:
         )
 
 
-def fit_rows(rows: list[np.ndarray], label: np.ndarray, decay: float = 1e-4, rounds: int = 400, rate: float = 0.1) -> Model:
-    """Fit weights and thresholds by Adam on the likelihood; thresholds stay ordered as sums of exponentials."""
+def fit_rows(rows: list[np.ndarray], label: np.ndarray, kept: np.ndarray, decay: float = 1e-4, rounds: int = 400, rate: float = 0.1) -> Model:
+    """Fit weights and thresholds by Adam on the likelihood; thresholds stay ordered as sums of exponentials.
+
+    Rows hold places in ``kept``; at least two grades are there.
+    """
     grades = np.unique(label)
-    if len(grades) < 2:
-        return Model({}, [], grades.tolist() or [0.0])
     place = np.searchsorted(grades, label)
-    kept = np.unique(np.concatenate([screened(rows, place >= k, MAX_FEATURES // (len(grades) - 1)) for k in range(1, len(grades))]))
-    x = Sparse(compact(rows, kept), len(kept))
+    x = Sparse(rows, len(kept))
     k = len(grades) - 1
     reached = np.array([(place >= i + 1).mean() for i in range(k)])
     start = np.log((1 - reached) / reached)
@@ -121,5 +121,16 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, learn: Column, id_col
         for batch in batches:
             yield pd.DataFrame({"label": batch["label"], "own": [sorted(features(t)) for t in batch["text"]]})
 
-    got = sample.mapInPandas(run, "label double, own array<int>").toPandas()  # at most max_rows
-    return fit_rows([np.asarray(r, np.int64) for r in got["own"]], got["label"].to_numpy(float))
+    made = stored(sample.mapInPandas(run, "label double, own array<int>"), "features")  # at most max_rows
+    rows, counts = label_counts(made)
+    grades = sorted(rows)
+    if len(grades) < 2:
+        return Model({}, [], grades or [0.0])
+    picked = []
+    for cut in grades[1:]:
+        ones, zeros = (sum((c for k, c in counts.items() if (k >= cut) == side), np.zeros(1 << BITS, np.int64)) for side in (True, False))
+        n1 = sum(n for k, n in rows.items() if k >= cut)
+        picked.append(contrast(ones, zeros, n1, sum(rows.values()) - n1, MAX_FEATURES // (len(grades) - 1)))
+    kept = np.unique(np.concatenate(picked))
+    label, lists = collected(made, kept, ["own"])
+    return fit_rows(lists["own"], label, kept)

@@ -13,8 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import small_batches, without
-from .linear_text import WORD, Sparse, compact, hashed, labelled_sample, row_scores, screened
+from .common import small_batches, stored, without
+from .linear_text import BITS, WORD, Sparse, collected, contrast, hashed, label_counts, labelled_sample, row_scores
 
 # Words that name a group, by language; pass others for other data.
 IDENTITY_TERMS = (
@@ -25,7 +25,7 @@ IDENTITY_TERMS = (
 ).split()
 
 MAX_ROWS = 20_000
-MAX_FEATURES = 8192
+MAX_FEATURES = 6000
 
 
 def word_features(word: str) -> tuple[int, ...]:
@@ -86,16 +86,19 @@ class Model:
         )
 
 
-def fit_rows(features: list[np.ndarray], label: np.ndarray, minus: list[np.ndarray], plus: list[np.ndarray],
+def constant(positive: int, rows: int) -> Model:
+    rate = (positive + 0.5) / (rows + 1)
+    return Model({}, float(np.log(rate / (1 - rate))))
+
+
+def fit_rows(rows: list[np.ndarray], label: np.ndarray, minus: list[np.ndarray], plus: list[np.ndarray], kept: np.ndarray,
              sparsity: float = 1e-4, penalty: float = 1.0, rounds: int = 400) -> Model:
-    """Fit by accelerated proximal gradients: logistic loss + ``penalty`` * mean squared score change + l1."""
-    kept = screened(features, label > 0.5, MAX_FEATURES, np.unique(np.concatenate([*minus, *plus, np.zeros(0, np.int64)])).astype(np.int64))
-    n, m = len(features), len(minus)
-    if n == 0 or len(kept) == 0 or label.min() == label.max():
-        rate = (label.sum() + 0.5) / (n + 1)
-        return Model({}, float(np.log(rate / (1 - rate))))
-    x = Sparse(compact(features, kept), len(kept))
-    gone, come = Sparse(compact(minus, kept), len(kept)), Sparse(compact(plus, kept), len(kept))
+    """Fit by accelerated proximal gradients: logistic loss + ``penalty`` * mean squared score change + l1.
+
+    Rows hold places in ``kept``; ``minus`` and ``plus`` are what each row's counterfactual loses and gains.
+    """
+    n, m = len(rows), len(minus)
+    x, gone, come = Sparse(rows, len(kept)), Sparse(minus, len(kept)), Sparse(plus, len(kept))
     target = label > 0.5
     share = np.where(target, 0.5 / target.sum(), 0.5 / (~target).sum())  # both classes weigh the same
     # Step: by the largest curvature, from a few power iterations.
@@ -149,7 +152,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
                 out.append((label, own, [f for w in gone for f in word_features(w)], [f for w in come for f in word_features(w)]))
             yield pd.DataFrame(out, columns=["label", "own", "gone", "come"])
 
-    got = sample.mapInPandas(run, "label double, own array<int>, gone array<int>, come array<int>").toPandas()  # at most max_rows
-    got = got.iloc[np.lexsort((got["own"].map(len), got["label"]))] if len(got) else got
-    as_rows = lambda name: [np.asarray(r, np.int64) for r in got[name]]
-    return fit_rows(as_rows("own"), got["label"].to_numpy(float), as_rows("gone"), as_rows("come"), penalty=penalty)
+    made = stored(sample.mapInPandas(run, "label double, own array<int>, gone array<int>, come array<int>"), "features")  # at most max_rows
+    rows, counts = label_counts(made)
+    ones, zeros = (sum((c for k, c in counts.items() if (k > 0.5) == side), np.zeros(1 << BITS, np.int64)) for side in (True, False))
+    n1 = sum(n for k, n in rows.items() if k > 0.5)
+    total = sum(rows.values())
+    if n1 in (0, total):
+        return constant(n1, total)
+    named = np.unique([f for t in swaps for f in word_features(t)]).astype(np.int64)
+    kept = contrast(ones, zeros, n1, total - n1, MAX_FEATURES, named)
+    label, lists = collected(made, kept, ["own", "gone", "come"])
+    return fit_rows(lists["own"], label, lists["gone"], lists["come"], kept, penalty=penalty)

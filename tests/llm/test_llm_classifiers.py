@@ -72,7 +72,7 @@ def test_slope_of_the_ordinal_fit_raises_the_likelihood():
     rng = np.random.default_rng(1)
     rows = [np.sort(rng.choice(200, 10, replace=False)) for _ in range(400)]
     label = np.array([float(min(2, (r < 60).sum() // 2)) for r in rows])
-    model = quality_ordinal.fit_rows(rows, label)
+    model = quality_ordinal.fit_rows(rows, label, np.arange(200))
     s = np.array([sum(model.weights.get(int(f), 0) for f in r) for r in rows])
     reach = 1 / (1 + np.exp(-(s[:, None] - np.array(model.thresholds))))
     assert np.mean((reach >= 0.5).sum(axis=1) == label) > 0.9
