@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, chat, decontaminate, jaccard_join, quality_ordinal, quality_rules, sharding, suffix_dedup, toxicity
+from . import byte_bpe, chat, decontaminate, jaccard_join, language_id, quality_ordinal, quality_rules, sharding, suffix_dedup, toxicity
 from .common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality_rules.judge(docs).drop("distance")
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = id_remainder("doc_id", 4)
+    labelled = language_id.fit(docs, fold != 2).label(docs.select("doc_id", "text"))
+    return labelled.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score", "rejected")
