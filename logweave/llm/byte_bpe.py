@@ -88,11 +88,12 @@ def tokenize(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "tex
     return kept.withColumn("_bpe", run(F.col(text_col))).select(*[F.col(f"`{c}`") for c in kept.columns], "_bpe.token_ids", "_bpe.decoded")
 
 
-def digests(tokenized: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 of tokenized rows."""
+def digests(tokenized: DataFrame, id_col: str = "doc_id", extra: list[str] | None = None) -> DataFrame:
+    """n_tokens, ids_sha256 and decoded_sha256 of tokenized rows, and the columns of ``extra``."""
     return tokenized.select(
         F.col(id_col),
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(extra or []),
     )

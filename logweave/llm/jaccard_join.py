@@ -273,13 +273,15 @@ def _links(members: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     return grouped.mapInPandas(join, "u long, v long, links long")
 
 
-def join(docs: DataFrame, percent: int = 90, words: int = 3, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def join(docs: DataFrame, percent: int = 90, words: int = 3, id_col: str = "doc_id", text_col: str = "text",
+         block_shingles: int = BLOCK_SHINGLES, key_col: str | None = None) -> DataFrame:
     """(id, n_shingles, component_id, n_links) of every row.
 
     Rows link when 100 * intersection >= ``percent`` * union of their sets of ``words``-word shingles;
     a text of fewer words is one shingle, one without words (or null) links with nothing and is
     its own component. component_id is the least id reachable, n_links the number of other rows
-    linked. Rows of one id and text are one document. Other columns are ignored.
+    linked. Rows of one id and text are one document. Other columns are ignored;
+    ``key_col`` names a column for the hash of each row's text.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be 50 to 100")
@@ -304,19 +306,22 @@ def join(docs: DataFrame, percent: int = 90, words: int = 3, id_col: str = "doc_
     classes = components(links.select("u", "v"))
     counts = links.groupBy(F.col("u").alias("sid")).agg(F.sum("links").alias("links"))
     copies = sets.groupBy("sid").agg(F.sum("weight").alias("weight"))
-    slim = rows.select("_doc", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("sid")).alias("sid"))
+    slim = rows.select("_doc", "_th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("sid")).alias("sid"))
     known = (
         slim.join(classes.withColumnRenamed("node", "sid"), "sid", "left")
         .join(counts, "sid", "left")
         .join(copies, "sid", "left")
         .withColumn("_class", F.coalesce("root", "sid"))
     )
-    least = known.filter("_class IS NOT NULL").groupBy("_class").agg(F.min("_doc").alias("_least"))
+    known = stored(known, "classes")
+    # Stored, so that a large class can be split in the join.
+    least = stored(known.filter("_class IS NOT NULL").groupBy("_class").agg(F.min("_doc").alias("_least")), "least")
     return known.join(least, "_class", "left").select(
         F.col("_doc").alias(id_col),
         "n_shingles",
         F.when(F.col("_class").isNull(), F.col("_doc")).otherwise(F.col("_least")).alias("component_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))).cast("long").alias("n_links"),
+        *([F.col("_th").alias(key_col)] if key_col else []),
     )
 
 
