@@ -37,28 +37,44 @@ _STAMP = r"^([A-Z][a-z]{2}) +(\d{1,2}) (\d{2}):(\d{2}):(\d{2})([.,]\d+)?\z"
 _UNIX_DATE = r"^[A-Z][a-z]{2} ([A-Z][a-z]{2}) +(\d{1,2}) (\d{2}):(\d{2}):(\d{2}) [A-Z]{3,4} (\d{4})\z"
 
 
-def parse_timestamp(text: Column) -> Column:
+def parse_timestamp(text: Column, as_of: Column | None = None) -> Column:
     """Try the accepted layouts in turn; NULL when none fits.
 
-    Layouts without a zone are UTC. Layouts without a year give year 0.
+    Layouts without a zone are UTC. Layouts without a year get the latest year in which they
+    lie no more than a day ahead of ``as_of`` (now unless given).
     """
     iso = F.replace(text, F.lit(","), F.lit("."))
     return F.coalesce(
         F.when(text.rlike(_ZONED), iso.try_cast("timestamp")),
         F.when(text.rlike(_PLAIN), F.concat(iso, F.lit("Z")).try_cast("timestamp")),
-        F.when(text.rlike(_STAMP), _from_parts(text, _STAMP, year=None)),
-        F.when(text.rlike(_UNIX_DATE), _from_parts(text, _UNIX_DATE, year=6)),
+        F.when(text.rlike(_STAMP), _latest_year(text, F.current_timestamp() if as_of is None else as_of)),
+        F.when(text.rlike(_UNIX_DATE), _from_parts(text, _UNIX_DATE, F.regexp_extract(text, _UNIX_DATE, 6).try_cast("int"))),
     )
 
 
-def _from_parts(text: Column, pattern: str, year: int | None) -> Column:
+def _latest_year(text: Column, as_of: Column) -> Column:
+    """The stamp in the latest year that does not put it beyond ``as_of`` and a day; leap days go to leap years."""
+    limit = as_of + F.expr("INTERVAL 1 DAY")
+    month, day = _month(text, _STAMP), F.regexp_extract(text, _STAMP, 2).try_cast("int")
+    clock_text = F.regexp_replace(text, r"^.*(\d{2}):(\d{2}):(\d{2}).*\z", "$1$2$3").try_cast("long")
+    in_year = (month * 100 + day).cast("long") * 1000000 + clock_text
+    year = F.year(limit) - (in_year > F.date_format(limit, "MMddHHmmss").cast("long")).cast("int")
+    leap = year - year % 4
+    leap = F.when((leap % 100 == 0) & (leap % 400 != 0), leap - 4).otherwise(leap)
+    return _from_parts(text, _STAMP, F.when((month == 2) & (day == 29), leap).otherwise(year))
+
+
+def _month(text: Column, pattern: str) -> Column:
+    return F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.regexp_extract(text, pattern, 1)).cast("int")
+
+
+def _from_parts(text: Column, pattern: str, year: Column) -> Column:
     part = lambda i: F.regexp_extract(text, pattern, i)
     number = lambda i: part(i).try_cast("int")
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), part(1)).cast("int")
-    seconds = F.concat(part(5), F.replace(part(6), F.lit(","), F.lit(".")) if year is None else F.lit(""))
+    seconds = F.concat(part(5), F.replace(part(6), F.lit(","), F.lit(".")) if pattern == _STAMP else F.lit(""))
     return F.try_make_timestamp(
-        F.lit(0) if year is None else number(year),
-        month,
+        year,
+        _month(text, pattern),
         number(2),
         number(3),
         number(4),

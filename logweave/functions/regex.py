@@ -145,45 +145,65 @@ def _posix(name: str) -> str:
     return names.get(bare, bare.capitalize())
 
 
+_REPEAT = re.compile(r"[?*+][?+]?|\{\d+(?:,\d*)?\}[?+]?")
+# Escapes longer than two characters: code points, properties, octal numbers and back references.
+_LONG_ESCAPE = re.compile(r"\\(?:x\{[^}]*\}|x[0-9A-Fa-f]{2}|[pP]\{[^}]*\}|[pP].|k<[^>]*>|c.|\d{1,3})", re.DOTALL)
+
+
+def _class_end(pattern: str, start: int) -> int:
+    """Place behind the character class that opens at ``start``."""
+    i = start + 1
+    if pattern.startswith("^", i):
+        i += 1
+    if pattern.startswith("]", i):
+        i += 1
+    while i < len(pattern) and pattern[i] != "]":
+        if pattern[i] == "\\":
+            long = _LONG_ESCAPE.match(pattern, i)
+            i = long.end() if long else i + 2
+        elif pattern.startswith("[:", i) and ":]" in pattern[i:]:
+            i = pattern.index(":]", i) + 2
+        else:
+            i += 1
+    return i + 1
+
+
 def required_literal(pattern: str) -> str:
     """The longest text every match must contain, empty when none is certain.
 
-    Only the top level of the pattern is read: groups, classes and optional characters are
-    skipped, and any top-level alternation or flag gives up. Testing for it first spares most
-    rows a pattern that backtracks.
+    Only characters that stand for themselves once at the top level count: groups, classes,
+    long escapes and anything repeated end a run, and any top-level alternation, flag or quoted
+    run gives up. Testing for it first spares most rows a pattern that backtracks.
     """
     if re.search(r"\(\?[a-zA-Z-]+[:)]", pattern) or "\\Q" in pattern:
         return ""
     runs, run, depth, i = [], "", 0, 0
     while i < len(pattern):
         ch = pattern[i]
-        width, literal = 1, ""
+        end, literal = i + 1, ""
         if ch == "\\":
-            width = 2
+            long = _LONG_ESCAPE.match(pattern, i)
+            end = long.end() if long else i + 2
             literal = "" if pattern[i + 1 : i + 2].isalnum() else pattern[i + 1 : i + 2]
         elif ch == "[":
-            end = pattern.index("]", i + (3 if pattern.startswith("[^", i) else 2))
-            while pattern[end - 1] == "\\" and pattern[end - 2] != "\\":
-                end = pattern.index("]", end + 1)
-            width = end - i + 1
+            end = _class_end(pattern, i)
         elif ch == "(":
             depth += 1
         elif ch == ")":
             depth -= 1
         elif ch == "|" and depth == 0:
             return ""
-        elif ch not in ".^$|*+?{}":
+        elif ch not in ".^$|{}?*+":
             literal = ch
-        after = pattern[i + width : i + width + 1]
-        if depth or not literal or after in ("?", "*", "{"):
+        repeat = _REPEAT.match(pattern, end)
+        if depth or not literal or repeat:
+            if not depth and literal and repeat and repeat.group().startswith("+"):
+                run += literal
             runs.append(run)
             run = ""
         else:
             run += literal
-            if after == "+":
-                runs.append(run)
-                run = ""
-        i += width
+        i = repeat.end() if repeat else end
     return max([*runs, run], key=len)
 
 

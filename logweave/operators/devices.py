@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import clock, severity, text
 from .paging import page_size
 
-LIST_PAGE = (100, 1000)
+LIST_PAGE = 100
 RELAY_STALE_MINUTES = 10
 DEFAULT_SILENCE_MINUTES = 15
 

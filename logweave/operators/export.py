@@ -7,9 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import clock, text
 from . import filters, paging, parsing
 
-# Export limits and the CSV columns.
-CSV_LIMIT = 100_000
-HTML_LIMIT = 5_000
+# The CSV columns.
 COLUMNS = ("hostname", "app_name", "severity", "message")
 JSON_COLUMNS = (
     "hostname",
@@ -26,18 +24,13 @@ JSON_COLUMNS = (
 )
 
 
-def csv_limit(asked: int | None) -> int:
-    """Default and largest size are the same; 0 means no limit."""
-    return CSV_LIMIT if asked is None or asked < 0 else min(asked, CSV_LIMIT)
-
-
 def newest(logs: DataFrame, limit: int) -> DataFrame:
-    """Newest rows first: a top-k with a limit, a distributed sort without one."""
+    """Newest rows first: all of them by a distributed sort, or the first ``limit`` by a top-k."""
     ordered = logs.orderBy(*paging.order("newest"))
     return ordered.limit(limit) if limit else ordered
 
 
-def rows(logs: DataFrame, zone: str | None, fields: tuple[str, ...] = (), limit: int = CSV_LIMIT) -> DataFrame:
+def rows(logs: DataFrame, zone: str | None, fields: tuple[str, ...] = (), limit: int = 0) -> DataFrame:
     """Export columns as text; times as shown on a clock in ``zone``, unknown zones as UTC."""
     blank = lambda c: F.coalesce(c, F.lit(""))
     return newest(logs, limit).select(
@@ -48,7 +41,7 @@ def rows(logs: DataFrame, zone: str | None, fields: tuple[str, ...] = (), limit:
     )
 
 
-def csv_rows(logs: DataFrame, zone: str | None, fields: tuple[str, ...] = (), limit: int = CSV_LIMIT) -> DataFrame:
+def csv_rows(logs: DataFrame, zone: str | None, fields: tuple[str, ...] = (), limit: int = 0) -> DataFrame:
     """Export rows with every column but the time made safe for spreadsheets."""
     plain = rows(logs, zone, fields, limit)
     return plain.select("id", "ts", *[text.csv_safe(F.col(c)).alias(c) for c in (*COLUMNS, *fields)])
@@ -71,9 +64,9 @@ def html_row(zone_text: Column) -> Column:
     return F.concat(F.lit("<tr>"), *cells, F.lit("</tr>"))
 
 
-def html_rows(logs: DataFrame, zone: str | None, limit: int = HTML_LIMIT) -> DataFrame:
+def html_rows(logs: DataFrame, zone: str | None, limit: int = 0) -> DataFrame:
     when = clock.text_in_zone(F.col("timestamp"), clock.known_zone(zone))
-    return newest(logs, min(limit, HTML_LIMIT)).select("id", html_row(when).alias("html_row"))
+    return newest(logs, limit).select("id", html_row(when).alias("html_row"))
 
 
 def html_lines(html: DataFrame, logs: DataFrame, name: str) -> DataFrame:

@@ -103,7 +103,7 @@ def field_condition(ff: FieldFilter) -> Column | None:
 
 def conditions(flt: LogFilter, columns: list[str]) -> list[Column]:
     """Cheap, prunable conditions first: Spark keeps their order within a filter."""
-    out: list[Column] = day_bounds(columns, flt.start, flt.end)
+    out: list[Column] = day_bounds(columns, flt.start or None, flt.end or None)
     if flt.start is not None and flt.start != "":
         out.append(F.col("timestamp") >= clock.at(flt.start))
     if flt.end is not None and flt.end != "":
@@ -168,26 +168,41 @@ def restrict(logs: DataFrame, scope: Scope) -> DataFrame:
 
 
 def allowed_addresses(logs: DataFrame, entries: list[str], column: str = "fromhost_ip") -> DataFrame:
-    """Rows whose IPv4 address lies in the allow list (addresses and CIDR ranges).
+    """Rows whose address lies in the allow list (IPv4 and IPv6 addresses and CIDR ranges).
 
-    Short lists become a predicate. Longer ones become a join on the address's upper half,
-    to which every range is first cut, so no row is compared with ranges elsewhere; it is
-    broadcast only up to a checked number of pieces.
+    Short lists become a predicate. Longer ones become a join: ranges are disjoint, so the only
+    one that can hold an address is the last one that starts at or before it. Rows and ranges
+    meet by the address's first two bytes that differ between networks (the first half of an IPv4 address, the
+    first 16 bits of an IPv6 one), to which every range is first cut.
     """
     ranges = net.merged_ranges(entries)
-    number = net.ipv4_number(F.col(column))
+    address = net.address_bytes(F.col(column))
     if not ranges:
         return logs.filter(F.lit(False))
     if len(ranges) <= MAX_INLINE_RANGES:
-        return logs.filter(net.in_ranges(number, ranges))
+        return logs.filter(net.in_ranges(address, ranges))
     spark = logs.sparkSession
-    spans = spark.createDataFrame(ranges, "lo long, hi long")
-    pieces = spans.select(
-        "lo", "hi", F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))).alias("upper")
-    )
-    n_pieces = sum((hi >> 16) - (lo >> 16) + 1 for lo, hi in ranges)
-    if n_pieces <= MAX_BROADCAST_RANGES:
-        pieces = F.broadcast(pieces)
-    rows = logs.withColumn("_ip", number).withColumn("_upper", F.shiftright("_ip", 16))
-    hit = (F.col("_upper") == F.col("upper")) & F.col("_ip").between(F.col("lo"), F.col("hi"))
-    return rows.join(pieces, hit, "left_semi").drop("_ip", "_upper")
+    pieces = [(key, lo, hi) for lo, hi in ranges for key in _pieces(lo, hi)]
+    spans = spark.createDataFrame(pieces, "_key string, _lo binary, _hi binary")
+    if len(pieces) <= MAX_BROADCAST_RANGES:
+        spans = F.broadcast(spans)
+    key = F.when(F.hex("_ip").startswith(_MAPPED_HEX), F.substring(F.hex("_ip"), 1, 28)).otherwise(F.substring(F.hex("_ip"), 1, 4))
+    rows = logs.withColumn("_ip", address).withColumn("_row_key", key)
+    hit = (F.col("_row_key") == F.col("_key")) & F.col("_ip").between(F.col("_lo"), F.col("_hi"))
+    return rows.join(spans, hit, "left_semi").drop("_ip", "_row_key")
+
+
+_MAPPED_HEX = "0" * 20 + "FFFF"
+
+
+def _pieces(lo: bytes, hi: bytes) -> list[str]:
+    """Row keys that addresses of a range can have."""
+    first, last = lo.hex().upper(), hi.hex().upper()
+    if first.startswith(_MAPPED_HEX) and last.startswith(_MAPPED_HEX):
+        return [f"{_MAPPED_HEX}{n:04X}" for n in range(int(first[24:28], 16), int(last[24:28], 16) + 1)]
+    keys = [f"{n:04X}" for n in range(int(first[:4], 16), int(last[:4], 16) + 1)]
+    # A range of IPv6 that spans the place of IPv4 addresses holds all of those it covers.
+    if first <= _MAPPED_HEX + "F" * 8 and last >= _MAPPED_HEX + "0" * 8:
+        low, high = max(first, _MAPPED_HEX + "0" * 8), min(last, _MAPPED_HEX + "F" * 8)
+        keys += [f"{_MAPPED_HEX}{n:04X}" for n in range(int(low[24:28], 16), int(high[24:28], 16) + 1)]
+    return keys

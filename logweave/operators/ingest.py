@@ -124,7 +124,7 @@ def storable(classified: DataFrame) -> DataFrame:
 def finalize(rows: DataFrame, as_of: Column) -> DataFrame:
     """Typed columns as stored: parsed timestamp (else ingest time), blanks as NULL."""
     nullable = ("fromhost_ip", "app_name", "process_id", "msg_id", "facility", "raw_message", "via_relay")
-    parsed = F.when(F.col("defect").isNull(), clock.parse_timestamp(F.col("timestamp")))
+    parsed = F.when(F.col("defect").isNull(), clock.parse_timestamp(F.col("timestamp"), as_of))
     columns = {name: text.blank_to_null(F.col(name)) for name in nullable}
     columns["timestamp"] = F.coalesce(parsed, as_of)
     columns["created_at"] = as_of
@@ -142,13 +142,9 @@ def over_length() -> Column:
     return F.coalesce(*checks)
 
 
-def split_over_length(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows that fit, quarantined rows with the offending column)."""
-    checked = rows.withColumn("over_length", over_length())
-    return (
-        checked.filter(F.col("over_length").isNull()).drop("over_length"),
-        checked.filter(F.col("over_length").isNotNull()),
-    )
+def mark_over_length(rows: DataFrame) -> DataFrame:
+    """Add ``over_length``: the first column wider than its usual limit. Such rows are kept like any other."""
+    return rows.withColumn("over_length", over_length())
 
 
 def quality_counts(classified: DataFrame) -> DataFrame:
@@ -163,19 +159,19 @@ def quality_metrics() -> list[Column]:
     return [F.count(F.lit(1)).alias("processed"), *counts]
 
 
-def resume_after(lines: DataFrame, stored: DataFrame) -> DataFrame:
+def resume_after(lines: DataFrame, stored: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Lines later than the newest stored row; lines without a readable time are skipped too."""
     decoded = normalize(decode(lines))
     newest = stored.select(F.max("timestamp")).scalar()
-    return decoded.withColumn("ts", clock.parse_timestamp(F.col("timestamp"))).filter(F.col("ts") > newest)
+    return decoded.withColumn("ts", clock.parse_timestamp(F.col("timestamp"), as_of)).filter(F.col("ts") > newest)
 
 
-def assign_ids(rows: DataFrame, base: int = 0, max_tasks: int = 1 << 17) -> DataFrame:
-    """Unique ids above ``base`` without a shuffle: row number within the task times the stride, plus the task."""
-    raw = F.monotonically_increasing_id()
-    task = F.shiftright(raw, 33)
-    row = raw.bitwiseAND(F.lit((1 << 33) - 1))
-    checked = F.when(task < max_tasks, F.lit(base + 1) + row * max_tasks + task).otherwise(
-        F.raise_error(F.lit("more tasks than the id stride allows"))
-    )
-    return rows.withColumn("id", checked.cast("long"))
+def assign_ids(rows: DataFrame, load_id: str) -> DataFrame:
+    """Add ``load_id`` and a positive 64-bit ``id``: a hash of the load and of the row's place in it.
+
+    There is no counter to share and no limit on tasks or rows, so loads and streams can run side
+    by side. ``load_id`` must differ between loads; a batch that is run again keeps its own. Ids
+    break ties in paging; nothing is ever de-duplicated by them.
+    """
+    place = F.xxhash64(F.lit(load_id), F.monotonically_increasing_id())
+    return rows.withColumns({"id": place.bitwiseAND(F.lit((1 << 63) - 1)), "load_id": F.lit(load_id)})

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import clock, regex
 from ..schema import ADMIN_ONLY_RULE_TYPES
+from .paging import page_size
 
 
 def _everyones(rule_type: str) -> Column:
@@ -45,7 +46,7 @@ def notification_history(
     is_admin: bool = False,
     limit: int | None = None,
 ) -> DataFrame:
-    """Newest deliveries the user may see. Sizes outside 1..500 mean 100."""
+    """Newest deliveries the user may see. 100 unless asked otherwise."""
     rows = log
     if not is_admin:
         targets = in_app.select(F.col("id").alias("in_app_notification_id"), F.col("target_user_ids").alias("_targets"))
@@ -59,8 +60,7 @@ def notification_history(
         rows = (
             log.join(targets, "in_app_notification_id", "left").join(ch, "channel_id", "left").filter(allowed)
         ).select(*log.columns)
-    size = limit if limit and 0 < limit <= 500 else 100
-    return rows.orderBy(F.desc("created_at"), F.desc("id")).limit(size)
+    return rows.orderBy(F.desc("created_at"), F.desc("id")).limit(page_size(limit, 100))
 
 
 def history_by_firing(log: DataFrame) -> DataFrame:
@@ -88,10 +88,9 @@ def _feed_condition(user_id: int, is_admin: bool) -> Column:
 def user_feed(
     in_app: DataFrame, user_id: int, since_id: int = 0, is_admin: bool = False, limit: int | None = None
 ) -> DataFrame:
-    """A user's notifications past ``since_id``, newest first. Sizes outside 1..200 mean 50."""
+    """A user's notifications past ``since_id``, newest first; 50 unless asked otherwise."""
     rows = in_app.filter((F.col("id") > since_id) & _feed_condition(user_id, is_admin))
-    size = limit if limit and 0 < limit <= 200 else 50
-    return rows.orderBy(F.desc("id")).limit(size)
+    return rows.orderBy(F.desc("id")).limit(page_size(limit))
 
 
 def unread_counts(in_app: DataFrame, state: DataFrame, user_id: int, is_admin: bool = False) -> DataFrame:
@@ -132,9 +131,8 @@ def audit_filter(
 
 
 def audit_page(rows: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
-    size = limit if limit and 1 <= limit <= 1000 else 50
     ordered = rows.orderBy(F.desc("created_at"), F.desc("id"))
-    return (ordered.offset(offset) if offset else ordered).limit(size)
+    return (ordered.offset(offset) if offset else ordered).limit(page_size(limit))
 
 
 def slow_query_count(audit: DataFrame) -> DataFrame:

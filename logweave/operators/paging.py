@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import clock
 
-# Fixed values: (default, largest) page sizes.
-LOG_PAGE = (50, 1000)
-SAVED_QUERY_PAGE = (100, 500)
-EXPORT_PAGE = (1000, 10000)
+# Page sizes where none is asked for.
+LOG_PAGE = 50
+SAVED_QUERY_PAGE = 100
+EXPORT_PAGE = 1000
 
 
-def page_size(asked: int | None, limits: tuple[int, int] = LOG_PAGE) -> int:
-    default, largest = limits
-    return default if not asked or asked < 1 else min(asked, largest)
+def page_size(asked: int | None, default: int = LOG_PAGE) -> int:
+    """The size asked for, whatever it is; the default where there is none. A negative size is refused."""
+    if asked is not None and asked < 0:
+        raise ValueError("a page size cannot be negative")
+    return asked or default
 
 
 def order(sort: str = "newest") -> list[Column]:

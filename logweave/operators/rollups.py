@@ -64,10 +64,14 @@ def _top(df: DataFrame, *ties: str, n: int = TOP_N) -> DataFrame:
     return df.orderBy(F.desc("cnt"), *ties).limit(n)
 
 
-def error_groups(logs: DataFrame) -> DataFrame:
-    """Error rows counted per (message start, device), with the first host name."""
+def _message(prefix: int | None) -> Column:
+    return F.left("message", F.lit(prefix)) if prefix else F.col("message")
+
+
+def error_groups(logs: DataFrame, prefix: int | None = None) -> DataFrame:
+    """Error rows counted per (message, device), with the first host name. ``prefix`` groups by that many first characters instead."""
     errors = logs.filter(F.col("severity").isin(*severity.ERROR_SEVERITIES))
-    grain = errors.groupBy(F.left("message", F.lit(100)).alias("message"), _device().alias("fromhost_ip"), "hostname")
+    grain = errors.groupBy(_message(prefix).alias("message"), _device().alias("fromhost_ip"), "hostname")
     return (
         grain.agg(F.count("*").alias("n"))
         .groupBy("message", "fromhost_ip")
@@ -75,8 +79,8 @@ def error_groups(logs: DataFrame) -> DataFrame:
     )
 
 
-def top_errors(logs: DataFrame, as_of: dt.datetime | str) -> DataFrame:
-    return _top(error_groups(logs.filter(_since(as_of, days=ERROR_LOOKBACK_DAYS))), "message", "fromhost_ip")
+def top_errors(logs: DataFrame, as_of: dt.datetime | str, prefix: int | None = None) -> DataFrame:
+    return _top(error_groups(logs.filter(_since(as_of, days=ERROR_LOOKBACK_DAYS)), prefix), "message", "fromhost_ip")
 
 
 def device_groups(logs: DataFrame) -> DataFrame:
@@ -88,10 +92,10 @@ def top_devices(logs: DataFrame) -> DataFrame:
     return _top(device_groups(logs), "fromhost_ip")
 
 
-def range_aggregates(logs: DataFrame, as_of: dt.datetime | str) -> DataFrame:
+def range_aggregates(logs: DataFrame, as_of: dt.datetime | str, prefix: int | None = None) -> DataFrame:
     """Scalars, severities, top devices and top errors of a filtered range as (kind, key1, key2, key3, cnt).
 
-    The range is read once. It is counted at one common grain, and grouping sets over that
+    Errors are grouped by the whole message, or by its first ``prefix`` characters. The range is read once. It is counted at one common grain, and grouping sets over that
     grain give the rest.
     """
     is_error = F.col("severity").isin(*severity.ERROR_SEVERITIES)
@@ -100,7 +104,7 @@ def range_aggregates(logs: DataFrame, as_of: dt.datetime | str) -> DataFrame:
             "severity",
             _device().alias("device"),
             "hostname",
-            F.when(is_error, F.left("message", F.lit(100))).alias("error"),
+            F.when(is_error, _message(prefix)).alias("error"),
         )
         .agg(
             F.count("*").alias("n"),

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..functions import clock, search
 from ..operators import ingest, parsing, retention
@@ -18,27 +19,27 @@ def load(
     spark: SparkSession,
     lines_path: str,
     table_path: str,
-    quarantine_path: str,
     rules: list[Rule],
     as_of: dt.datetime | str,
-    first_id: int = 0,
-    index_text: bool = False,
+    index_text: bool = True,
+    load_id: str | None = None,
 ) -> DataFrame:
     """Load raw line files into the log table; returns lines per outcome.
 
-    Over-long rows go to the quarantine. ``index_text`` also stores the stemmed token line
-    that search then uses.
+    One pass: lines are read, decoded and parsed once, and counted on the way. Rows wider than
+    the usual limits are stored with the column's name in ``over_length``. ``index_text`` stores the
+    stemmed token line that search then uses.
     """
-    classified = ingest.classify(lines.read_lines(spark, lines_path))
-    rows = ingest.finalize(ingest.storable(classified), clock.at(as_of))
-    fits, too_long = ingest.split_over_length(rows)
-    parsed = parsing.parse(ingest.assign_ids(fits, first_id), rules).drop("line", "defect", "outcome")
+    counted = Observation()
+    classified = ingest.classify(lines.read_lines(spark, lines_path)).observe(counted, *ingest.quality_metrics())
+    rows = ingest.mark_over_length(ingest.finalize(ingest.storable(classified), clock.at(as_of)))
+    parsed = parsing.parse(ingest.assign_ids(rows, load_id or uuid.uuid4().hex), rules).drop("line", "defect", "outcome")
     if index_text:
         whole = search.message_text(F.col("message"), F.col("raw_message"))
         parsed = parsed.withColumn("search_line", search.stemmed_line(whole))
     tables.write_logs(parsed, table_path)
-    too_long.write.mode("append").parquet(quarantine_path)
-    return ingest.quality_counts(classified)
+    found = [(name, n) for name, n in counted.get.items() if name != "processed" and n]
+    return spark.createDataFrame(found, "outcome string, lines long")
 
 
 def reparse_table(spark: SparkSession, table_path: str, rules: list[Rule], days: list[dt.date] | None = None) -> int:
@@ -69,8 +70,9 @@ def reparse_table(spark: SparkSession, table_path: str, rules: list[Rule], days:
 def compact_stream(spark: SparkSession, landing_path: str, table_path: str, before: dt.date) -> list[dt.date]:
     """Move finished days from the per-batch folders of stream ingest into the log table; returns the days.
 
-    Each day is rewritten as the union of what the table and the batches hold, one row per id,
-    and only then do its batch folders go. A run that stops in between is repeated safely.
+    Each day is rewritten as the union of the batches and the table's rows of other loads, and
+    only then do its batch folders go. A run that stops in between is repeated safely: rows of a
+    batch that is still there replace those it has left in the table.
     """
     landed = spark.read.parquet(landing_path).drop("batch").filter(F.col("log_date") < F.lit(before))
     # One row per day.
@@ -80,8 +82,11 @@ def compact_stream(spark: SparkSession, landing_path: str, table_path: str, befo
     rows = landed
     fs, where = versions.file_system(spark, table_path)
     if fs.exists(where):
-        rows = landed.unionByName(tables.read_logs(spark, table_path).filter(F.col("log_date").isin(*days)), True)
-    tables.write_logs(rows.dropDuplicates(["id"]).drop("log_date"), table_path, mode="overwrite")
+        stored = tables.read_logs(spark, table_path).filter(F.col("log_date").isin(*days))
+        if "load_id" in stored.columns:
+            stored = stored.join(landed.select("load_id", "log_date").distinct(), ["load_id", "log_date"], "left_anti")
+        rows = landed.unionByName(stored, True)
+    tables.write_logs(rows.drop("log_date"), table_path, mode="overwrite")
     fs, where = versions.file_system(spark, landing_path)
     for batch in fs.listStatus(where):
         if batch.getPath().getName().startswith("batch="):

@@ -33,7 +33,7 @@ _WHERE = "timestamp >= TIMESTAMP '2024-01-03 00:00:00' AND severity = 'info'"
     "export_csv_rows",
     over_logs(
         f"""SELECT id, {_local('Europe/Warsaw')} AS ts, {', '.join(f'{_guard(c)} AS {c}' for c in _COLUMNS)},
-        {', '.join(f'{_guard("f_" + f)} AS {f}' for f in _FIELDS)} FROM parsed WHERE {_WHERE} ORDER BY timestamp DESC, id DESC LIMIT 100000""",
+        {', '.join(f'{_guard("f_" + f)} AS {f}' for f in _FIELDS)} FROM parsed WHERE {_WHERE} ORDER BY timestamp DESC, id DESC""",
         parsed=_PARSED,
     ),
 )
@@ -61,7 +61,7 @@ def _escaped(column: str) -> str:
 _CELLS = " || ".join(f"'<td>' || {c} || '</td>'" for c in (_local("UTC"), *[_escaped(c) for c in _COLUMNS]))
 
 
-@query("export_html_rows", over_logs(f"SELECT id, '<tr>' || {_CELLS} || '</tr>' AS html_row FROM logs ORDER BY timestamp DESC, id DESC LIMIT 5000"))
+@query("export_html_rows", over_logs(f"SELECT id, '<tr>' || {_CELLS} || '</tr>' AS html_row FROM logs ORDER BY timestamp DESC, id DESC"))
 def export_html_rows(inp: Inputs) -> DataFrame:
     return export.html_rows(inp.logs(), "Nowhere/Unknown")
 

@@ -134,6 +134,30 @@ def filter_cidr(inp: Inputs) -> DataFrame:
     return filters.allowed_addresses(inp.logs(), _ALLOWED).select("id", "fromhost_ip")
 
 
+_V6 = "CASE WHEN id % 5 = 0 THEN concat('2001:db8:0:', lower(hex(id % 300)), '::1') WHEN id % 5 = 1 THEN concat('::ffff:', fromhost_ip) ELSE fromhost_ip END"
+_V6_ALLOWED = [*_ALLOWED, "2001:db8:0:40::/58"]
+
+
+def _both_families_sql() -> str:
+    return over_logs(
+        f"""SELECT id FROM logs WHERE CASE WHEN id % 5 = 0 THEN id % 300 BETWEEN 64 AND 127 ELSE fromhost_ip IS NOT NULL AND
+        ({_NUM} BETWEEN 256 AND 383 OR fromhost_ip = '10.0.2.23' OR {_NUM} BETWEEN 832 AND 895) END"""
+    )
+
+
+@query("filter_cidr_v6", _both_families_sql())
+def filter_cidr_v6(inp: Inputs) -> DataFrame:
+    logs = inp.logs().withColumn("fromhost_ip", F.expr(_V6))
+    return filters.allowed_addresses(logs, _V6_ALLOWED).select("id")
+
+
+@query("filter_cidr_v6_long", _both_families_sql())
+def filter_cidr_v6_long(inp: Inputs) -> DataFrame:
+    """The same with a list too long for a predicate."""
+    logs = inp.logs().withColumn("fromhost_ip", F.expr(_V6))
+    return filters.allowed_addresses(logs, [*_V6_ALLOWED, *(f"192.0.2.{i}" for i in range(0, 255, 2)), *(f"fd00::{i:x}" for i in range(0, 400, 2))]).select("id")
+
+
 # --- saved queries ---
 
 _SAVED = saved_query.SavedQuery.from_json(

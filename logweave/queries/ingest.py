@@ -50,9 +50,13 @@ REPAIRED = f"""SELECT * REPLACE (
     CASE WHEN {_SPLIT} THEN app_name || ':' || message ELSE message END AS message,
     CASE WHEN {_SPLIT} THEN app_name || ':' || message ELSE raw_message END AS raw_message)
 FROM normal WHERE coalesce(defect, '') <> 'partial' AND hostname <> ''"""
+# A stamp without a year: the latest one that is not over a day ahead of the ingest time.
+_OF_YEAR = "make_timestamp({year}, month(timestamp), day(timestamp), hour(timestamp), minute(timestamp), CAST(second(timestamp) AS DOUBLE))"
+_LIMIT = f"({AS_OF_SQL} + INTERVAL 1 DAY)"
+YEARLESS = f"""(CASE WHEN {_OF_YEAR.format(year=f'year({_LIMIT})')} <= {_LIMIT} THEN {_OF_YEAR.format(year=f'year({_LIMIT})')} ELSE {_OF_YEAR.format(year=f'year({_LIMIT}) - 1')} END)"""
 # What each layout of the fixture stands for.
 STAMPS = f"""SELECT id, epoch_us(CASE id % 7 WHEN 0 THEN timestamp WHEN 1 THEN timestamp WHEN 2 THEN timestamp
-    WHEN 3 THEN make_timestamp(0, month(timestamp), day(timestamp), hour(timestamp), minute(timestamp), CAST(second(timestamp) AS DOUBLE))
+    WHEN 3 THEN {YEARLESS}
     WHEN 4 THEN date_trunc('second', timestamp) WHEN 5 THEN timestamp - INTERVAL 2 HOUR ELSE NULL END) AS us FROM logs"""
 CTES = {"decoded": DECODED, "normal": NORMAL, "repaired": REPAIRED, "stamps": STAMPS}
 
@@ -112,13 +116,13 @@ def ingest_cef_repair(inp: Inputs) -> DataFrame:
 @query(
     "ingest_timestamp_parse",
     _sql(
-        f"""SELECT r.id, CASE WHEN defect IS NULL THEN coalesce(s.us, epoch_us({AS_OF_SQL})) ELSE epoch_us({AS_OF_SQL}) END AS timestamp_us
+        f"""SELECT r.id, make_timestamp(CASE WHEN defect IS NULL THEN coalesce(s.us, epoch_us({AS_OF_SQL})) ELSE epoch_us({AS_OF_SQL}) END) AS timestamp
         FROM repaired r JOIN stamps s ON r.id = s.id"""
     ),
 )
 def ingest_timestamp_parse(inp: Inputs) -> DataFrame:
     rows = ingest.ingest_lines(inp.lines(), clock.at(AS_OF))
-    return rows.select("id", F.unix_micros("timestamp").alias("timestamp_us"))
+    return rows.select("id", "timestamp")
 
 
 _NULLABLE = ("fromhost_ip", "app_name", "process_id", "msg_id", "facility", "raw_message", "via_relay")
@@ -143,7 +147,7 @@ _WIDE = {"hostname": "CASE WHEN id % 13 = 0 THEN repeat(hostname, 60) ELSE hostn
 def ingest_length_quarantine(inp: Inputs) -> DataFrame:
     wide = inp.logs().withColumn("msg_id", F.lit(None).cast("string"))
     wide = wide.withColumns({c: F.expr(e) for c, e in _WIDE.items()})
-    return ingest.split_over_length(wide)[1].select("id", "over_length")
+    return ingest.mark_over_length(wide).filter("over_length IS NOT NULL").select("id", "over_length")
 
 
 @query(
@@ -168,22 +172,21 @@ def ingest_resume(inp: Inputs) -> DataFrame:
     logs = inp.logs()
     half = logs.select(F.max("id") / 2).scalar()
     stored = logs.filter(F.col("id") < half)
-    return ingest.resume_after(inp.lines(), stored).select("id")
+    return ingest.resume_after(inp.lines(), stored, clock.at(AS_OF)).select("id")
 
 
 @query(
     "ingest_rfc3164",
     over_logs(
-        """SELECT id, hostname, coalesce(app_name, 'app') AS app_name, process_id,
-        epoch_us(make_timestamp(0, month(timestamp), day(timestamp), hour(timestamp), minute(timestamp), CAST(second(timestamp) AS DOUBLE))) AS timestamp_us,
+        f"""SELECT id, hostname, coalesce(app_name, 'app') AS app_name, process_id, {YEARLESS} AS timestamp,
         ['emerg', 'alert', 'crit', 'err', 'warning', 'notice', 'info', 'debug'][id % 8 + 1] AS severity,
         CASE WHEN facility = 'auth' THEN 'auth' ELSE 'local0' END AS facility, message FROM logs WHERE id % 41 <> 0"""
     ),
 )
 def ingest_rfc3164(inp: Inputs) -> DataFrame:
-    rows = syslog.parse_rfc3164(inp.sql(SYSLOG_SQL, with_logs=True))
+    rows = syslog.parse_rfc3164(inp.sql(SYSLOG_SQL, with_logs=True), as_of=clock.at(AS_OF))
     return rows.select(
-        "id", "hostname", "app_name", "process_id", F.unix_micros("timestamp").alias("timestamp_us"), "severity", "facility", "message"
+        "id", "hostname", "app_name", "process_id", "timestamp", "severity", "facility", "message"
     )
 
 

@@ -34,7 +34,7 @@ def logs_page_after(inp: Inputs) -> DataFrame:
     return paging.page(inp.logs(), 50, after=_CURSOR).select(*_NAMES, "has_more")
 
 
-@query("logs_page_asc", _page_sql("timestamp, id", 1000, f"(timestamp, id) > ({_CURSOR_SQL}, 4800)"))
+@query("logs_page_asc", _page_sql("timestamp, id", 5000, f"(timestamp, id) > ({_CURSOR_SQL}, 4800)"))
 def logs_page_asc(inp: Inputs) -> DataFrame:
     return paging.page(inp.logs(), paging.page_size(5000), sort="oldest", after=_CURSOR).select(*_NAMES, "has_more")
 

@@ -245,3 +245,27 @@ def parser_sync_diff(inp: Inputs) -> DataFrame:
         (~F.col("p").startswith("SSHD")).alias("is_builtin"),
     )
     return parsing.sync_diff(existing, library.rules_frame(inp.spark, LIBRARY))
+
+
+# Rules as a user may write them: repeats, code points, properties, named classes and escapes next to each other.
+_USER_RULES = [
+    library.Rule(9001, "Counted digits", "all", None, r"(\d{1,3})\.\d{1,3}\.(\d{1,3})", (("first", "First", "string"), ("third", "Third", "string"))),
+    library.Rule(9002, "Exact count", "all", None, r"\b(\w{4})\b", (("four", "Four", "string"),)),
+    library.Rule(9003, "Code point", "all", None, r"\x66r\x{6F}m (\S+)", (("origin", "Origin", "string"),)),
+    library.Rule(9004, "Property", "all", None, r"\p{Lu}(\p{Ll}{2,15})", (("word", "Word", "string"),)),
+    library.Rule(9005, "Named class", "all", None, r"[[:digit:]]]?([[:alpha:]]+)", (("tail", "Tail", "string"),)),
+    library.Rule(9006, "Escapes", "all", None, r"\(\w+\)\[?(\d*)", (("number", "Number", "string"),)),
+    library.Rule(9007, "Zero repeats", "all", None, r"(?:xyz){0}port (\d{2,5})", (("port", "Port", "string"),)),
+]
+_USER_FIELDS = all_fields(_USER_RULES)
+
+
+@query(
+    "parse_user_rules",
+    over_logs(
+        f"SELECT id, array_to_string(parsers, ',') AS parsers, {fields_text_sql(_USER_FIELDS)} AS fields FROM parsed",
+        parsed=parsed_sql(_USER_RULES),
+    ),
+)
+def parse_user_rules(inp: Inputs) -> DataFrame:
+    return parsed_logs(inp, _USER_RULES).select("id", parsing.parsers_text().alias("parsers"), parsing.fields_text().alias("fields"))

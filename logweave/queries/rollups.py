@@ -59,7 +59,7 @@ def severity_share(inp: Inputs) -> DataFrame:
     ),
 )
 def top_errors(inp: Inputs) -> DataFrame:
-    return rollups.top_errors(inp.logs(), AS_OF).select("message", "fromhost_ip", "hostname", "cnt")
+    return rollups.top_errors(inp.logs(), AS_OF, prefix=100).select("message", "fromhost_ip", "hostname", "cnt")
 
 
 @query(
@@ -87,7 +87,7 @@ def top_devices(inp: Inputs) -> DataFrame:
     ),
 )
 def range_aggregates(inp: Inputs) -> DataFrame:
-    return rollups.range_aggregates(filters.apply(inp.logs(), _RANGE), AS_OF)
+    return rollups.range_aggregates(filters.apply(inp.logs(), _RANGE), AS_OF, prefix=100)
 
 
 _LONG = ("emergency", "alert", "critical", "error", "warning", "notice", "info", "debug")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import clock
 from ..operators import parsing
+from ..plans import jobs
 from ..session import work_dir
+from ..sources import tables
 from ..streaming import aggregates, alerts as stream_alerts, ingest as stream_ingest, runs
 from .alerts import PARSED, PARSERS, RULES, SETTINGS, SLOTS, gate_sql
 from .ingest import CTES
-from .inputs import AS_OF, Inputs, log_columns, zoned
+from .inputs import AS_OF, AS_OF_SQL, Inputs, log_columns, zoned
 from .registry import fields_text_sql, named, over_lines, over_logs, parsed_sql, query
 from .rollups import SILENCE_APPLIES, SILENCE_RULES, SILENCE_VALUES
 
@@ -49,26 +53,45 @@ def stream_parse(inp: Inputs) -> DataFrame:
 @query(
     "stream_ingest_sink",
     over_lines(
-        """SELECT CAST(make_timestamp(us) AS DATE) AS log_date, count(*) AS n_rows, count(DISTINCT hostname) AS hosts FROM (
+        f"""SELECT CAST(make_timestamp(coalesce(us, epoch_us({AS_OF_SQL}))) AS DATE) AS log_date, count(*) AS n_rows, count(DISTINCT hostname) AS hosts FROM (
             SELECT r.hostname, CASE WHEN r.defect IS NULL THEN s.us ELSE NULL END AS us FROM repaired r JOIN stamps s ON s.id = r.id) AS x
-        WHERE us > 0 GROUP BY 1""",
+        GROUP BY 1""",
         **CTES,
     ),
 )
 def stream_ingest_sink(inp: Inputs) -> DataFrame:
-    """Rows per day folder after the stream has been written (rows with a full date of their own)."""
+    """Rows per day folder after the stream has been written."""
     base = work_dir(inp.spark, "stream-sink")
     lines = _line_stream(inp).drop("id")
     started = stream_ingest.ingest_to_table(
-        lines, f"{base}/logs", f"{base}/quarantine", f"{base}/checkpoint", _STREAM_RULES, clock.at(AS_OF), _NOW
+        lines, f"{base}/logs", f"{base}/checkpoint", _STREAM_RULES, clock.at(AS_OF), _NOW
     )
     runs.drain(started)
     stored = inp.spark.read.parquet(f"{base}/logs")
-    dated = stored.filter((F.col("timestamp") > clock.at("1970-01-01")) & (F.col("timestamp") < clock.at(AS_OF)))
-    per_host = dated.groupBy(F.to_date("timestamp").alias("log_date"), "hostname").agg(F.count("*").alias("n"))
+    per_host = stored.groupBy(F.to_date("timestamp").alias("log_date"), "hostname").agg(F.count("*").alias("n"))
     return per_host.groupBy("log_date").agg(F.sum("n").alias("n_rows"), F.count("*").alias("hosts"))
 
 
+@query(
+    "load_compact",
+    over_lines(
+        """SELECT count(*) + count(*) FILTER (WHERE id % 3 < 2) AS n_rows, count(*) + count(*) FILTER (WHERE id % 3 < 2) AS n_ids FROM repaired""",
+        **CTES,
+    ),
+)
+def load_compact(inp: Inputs) -> DataFrame:
+    """Rows and different ids after two loads of text files and two streams have been brought into one table."""
+    spark, base = inp.spark, work_dir(inp.spark, "load-compact")
+    for half in (0, 1):
+        inp.lines().filter(F.col("id") % 2 == half).select("line").write.text(f"{base}/text-{half}")
+        jobs.load(spark, f"{base}/text-{half}", f"{base}/logs", [], AS_OF, index_text=False)
+    for third in (0, 1):
+        lines = _line_stream(inp).filter(F.col("id") % 3 == third).drop("id")
+        runs.drain(stream_ingest.ingest_to_table(lines, f"{base}/landing-{third}", f"{base}/checkpoint-{third}", [], clock.at(AS_OF), _NOW))
+        jobs.compact_stream(spark, f"{base}/landing-{third}", f"{base}/logs", dt.date(9999, 1, 1))
+    return tables.read_logs(spark, f"{base}/logs").agg(F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"))
+
+
 _MARK = "(SELECT date_trunc('milliseconds', max(timestamp)) FROM logs)"
 
 

@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import re
+import zlib
 
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-empty lines of text files. Large files are split across tasks."""
-    return _framed(spark.read.text(path))
+
+def read_lines(spark: SparkSession, path: str, whole_lines: bool = True) -> DataFrame:
+    """Non-empty lines of text files, parted by LF alone. Large files are split across tasks.
+
+    A last line without its LF is still being written: it is left out, and read once it is
+    whole. ``whole_lines=False`` takes it as it is.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    tails = _open_tails(spark, text.inputFiles()) if whole_lines else []
+    if not tails:
+        return _framed(text)
+    # Only files with an open tail are looked at by name; of equal lines the last one is the tail.
+    named = text.withColumns({"_file": F.regexp_replace("_metadata.file_path", "^file:/+", "file:/"), "_size": F.octet_length("value")})
+    opened = spark.createDataFrame(tails, "_file string, _size int, _sum long")
+    placed = named.withColumn("_at", F.monotonically_increasing_id()).join(F.broadcast(opened), ["_file", "_size"], "left")
+    suspect = F.col("_sum").isNotNull() & (F.crc32(F.col("value").cast("binary")) == F.col("_sum"))
+    last = F.row_number().over(Window.partitionBy("_file").orderBy(F.desc("_at")))
+    tail = placed.filter(suspect).withColumn("_n", last).filter("_n = 1").select("_file", "_at")
+    return _framed(placed.join(F.broadcast(tail), ["_file", "_at"], "left_anti"))
 
 
 def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -15,12 +33,41 @@ def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -
 
     so an unterminated tail is never read: writers rename a file into the folder once closed.
     """
-    reader = spark.readStream
+    reader = spark.readStream.option("lineSep", "\n")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return _framed(reader.text(path))
 
 
+def _open_tails(spark: SparkSession, files: list[str]) -> list[tuple[str, int, int]]:
+    """(file, bytes, crc32) of last lines that lack their LF; one seek per file, and compressed files are whole."""
+    tails = []
+    for name in files:
+        if name.rsplit(".", 1)[-1] in ("gz", "bz2", "zst", "lz4", "snappy", "deflate"):
+            continue
+        where = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))  # names come with escapes
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        size = fs.getFileStatus(where).getLen()
+        if not size:
+            continue
+        opened = fs.open(where)
+        try:
+            opened.seek(size - 1)
+            if opened.read() == 10:
+                continue
+            tail, start = b"", size
+            while start and b"\n" not in tail:
+                step = min(start, 1 << 16)
+                start -= step
+                opened.seek(start)
+                tail = bytes(opened.readNBytes(step)) + tail
+        finally:
+            opened.close()
+        line = tail.rsplit(b"\n", 1)[-1]
+        tails.append((re.sub("^file:/+", "file:/", name), len(line), zlib.crc32(line)))
+    return tails
+
+
 def _framed(df: DataFrame) -> DataFrame:
     line = F.col("value")
     stripped = F.when(line.endswith("\r"), F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)

@@ -16,14 +16,14 @@ def with_log_date(logs: DataFrame) -> DataFrame:
 def write_logs(logs: DataFrame, path: str, mode: str = "append", files_per_day: int | None = None) -> None:
     """Append to the day folders.
 
-    Rows are range-partitioned on (day, timestamp) before the write: a busy day spreads over
-    as many tasks as its volume asks for, a quiet one stays one file, and every file covers a
-    narrow time span that row-group statistics can prune. AQE picks the number of ranges
-    unless ``files_per_day`` fixes it.
+    Rows are dealt by day with a rebalance, which needs no sampling pass over the rows: AQE splits a busy
+    day into as many tasks as its volume asks for and joins quiet ones. Files are sorted by time, so
+    row-group statistics prune. ``files_per_day`` fixes the number of time ranges instead, at
+    the price of a sampling pass.
     """
     dated = with_log_date(logs)
     keys = ["log_date", "timestamp"]
-    spread = dated.repartitionByRange(files_per_day, *keys) if files_per_day else dated.repartitionByRange(*keys)
+    spread = dated.repartitionByRange(files_per_day, *keys) if files_per_day else dated.hint("rebalance", F.col("log_date"))
     (
         spread.sortWithinPartitions(*keys)
         .write.mode(mode)

@@ -20,28 +20,25 @@ def parse_stream(lines: DataFrame, rules: list[Rule], as_of: Column | None = Non
 def ingest_to_table(
     lines: DataFrame,
     table_path: str,
-    quarantine_path: str,
     checkpoint: str,
     rules: list[Rule],
     as_of: Column | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Append micro-batches to the log table and the quarantine.
+    """Append micro-batches to the log table.
 
-    Each batch is written to its own ``batch=`` folder in overwrite mode, so a batch that is
-    run again after a failure replaces its own output instead of adding to it. Ids carry the
-    batch number in their upper bits.
+    Each batch is one write to its own ``batch=`` folder in overwrite mode, so a batch that is run
+    again after a failure replaces its own output, and every line is read and counted once.
+    The stream's checkpoint and the batch number make the load's name.
     """
     now = F.current_timestamp() if as_of is None else as_of
     observed = ingest.classify(lines).observe("ingest_quality", *ingest.quality_metrics())
-    rows = ingest.finalize(ingest.storable(observed), now)
+    rows = ingest.mark_over_length(ingest.finalize(ingest.storable(observed), now))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fits, too_long = ingest.split_over_length(batch)
-        parsed = parsing.parse(ingest.assign_ids(fits, batch_id << 36, max_tasks=1 << 14), rules)
+        parsed = parsing.parse(ingest.assign_ids(batch, f"{checkpoint}#{batch_id}"), rules)
         shaped = tables.with_log_date(parsed.drop("line", "defect", "outcome"))
         shaped.write.mode("overwrite").partitionBy("log_date").parquet(f"{table_path}/batch={batch_id}")
-        too_long.write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
 
     writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()

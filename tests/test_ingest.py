@@ -92,15 +92,40 @@ def test_invalid_utf8_is_repaired(spark, tmp_path):
     assert {r["hostname"]: r["message"] for r in rows} == {"h": "a��b", "i": ""}
 
 
-def test_quarantine(spark, logs):
-    fits, bad = ingest.split_over_length(logs({"hostname": "x" * 256}, {"severity": "y" * 21}, {"hostname": "x" * 255}))
-    assert [r["over_length"] for r in bad.orderBy("id").collect()] == ["hostname", "severity"] and fits.count() == 1
+def test_over_long_rows_are_kept_and_marked(spark, logs):
+    got = ingest.mark_over_length(logs({"hostname": "x" * 256}, {"severity": "y" * 21}, {"hostname": "x" * 255}))
+    assert [r["over_length"] for r in got.orderBy("id").collect()] == ["hostname", "severity", None]
 
 
-def test_ids_are_unique_and_above_base(spark):
+def test_ids_are_unique_across_loads(spark):
     df = spark.range(10_000).repartition(7).select(F.lit("m").alias("m"))
-    ids = [r["id"] for r in ingest.assign_ids(df, base=500).collect()]
-    assert len(set(ids)) == 10_000 and min(ids) > 500
+    ids = [r["id"] for load in ("a", "b") for r in ingest.assign_ids(df, load).collect()]
+    assert len(set(ids)) == 20_000 and min(ids) >= 0
+
+
+def test_lone_carriage_returns_and_open_tails(spark, tmp_path):
+    (tmp_path / "a.log").write_bytes(b"one\rtwo\nsame\nsame")
+    (tmp_path / "b.log").write_bytes(b"x\r\n\ny\n")
+    (tmp_path / "c.log").write_bytes(b"only open")
+    (tmp_path / "d.log").write_bytes(b"")
+    (tmp_path / "e.log").write_bytes(b"bytes \xff\xfe\nq" + b"z" * 200_000)
+    read = lambda **k: sorted(r["line"] for r in lines.read_lines(spark, str(tmp_path), **k).collect())
+    whole = read()
+    assert len(whole) == 5 and {"one\rtwo", "same", "x", "y"} < set(whole)
+    assert len(read(whole_lines=False)) == 8
+
+
+@pytest.mark.parametrize(
+    "stamp, as_of, want",
+    [
+        ("Oct 11 22:14:15", "2024-12-01", "2024-10-11 22:14:15"), ("Dec 31 23:59:59", "2025-01-01T00:00:05", "2024-12-31 23:59:59"),
+        ("Jan  1 00:00:03", "2024-12-31T23:59:59", "2025-01-01 00:00:03"), ("Feb 29 01:02:03", "2027-05-01", "2024-02-29 01:02:03"),
+        ("Feb 29 01:02:03", "2103-05-01", "2096-02-29 01:02:03"), ("Feb 30 01:02:03", "2024-05-01", None),
+    ],
+)
+def test_year_of_stamps_without_one(spark, stamp, as_of, want):
+    got = spark.range(1).select(clock.parse_timestamp(F.lit(stamp), clock.at(as_of)).cast("string").alias("t")).first()["t"]
+    assert got == want
 
 
 def test_resume_skips_seen_and_unreadable(spark, logs):

@@ -1,4 +1,5 @@
 import datetime as dt
+import ipaddress
 from pathlib import Path
 
 import pytest
@@ -52,6 +53,36 @@ def test_allow_list_join_equals_predicate(spark, logs):
     assert ids(filters.allowed_addresses(table, ["x"])) == []
 
 
+def test_allow_list_of_both_families(logs):
+    texts = [
+        "2001:db8::5", "2001:DB8:0:0:0:0:0:6", "2001:db9::1", "::ffff:10.0.0.7", "10.0.0.8", "::1", "::", "fe80::1:2:3:4", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "1::2::3",
+        "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "12345::", "1:2:3:4:5:6:1.2.3.4", ":1:2:3:4:5:6:7", "1:2:3:4:5:6:7:", "::1.2.3.4.5", "g::1", "1.2.3", "", None, "64:ff9b::1.2.3.4", "1:2:3:4:5:6:7:8:9", ":::", "1:::2",
+    ]
+    table = logs(*[{"fromhost_ip": t} for t in texts])
+
+    def wanted(entries):
+        nets = [ipaddress.ip_network(e, strict=False) for e in entries]
+        found = []
+        for i, t in enumerate(texts):
+            try:
+                ip = ipaddress.ip_address(t)
+            except ValueError:
+                continue
+            both = [ip] + ([ip.ipv4_mapped] if ip.version == 6 and ip.ipv4_mapped else []) + ([ipaddress.ip_address(f"::ffff:{ip}")] if ip.version == 4 else [])
+            if any(a in n for a in both for n in nets if n.version == a.version):
+                found.append(i + 1)
+        return found
+
+    many = [f"192.168.{i}.{j}" for i in range(20) for j in range(0, 250, 2)]
+    for entries in (["2001:db8::/32"], ["::/0"], ["::/96", "fe80::/10"], ["10.0.0.0/24"], ["::ffff:10.0.0.8"], ["1:2::/32", "::1"], ["0.0.0.0/0"]):
+        assert ids(filters.allowed_addresses(table, entries)) == wanted(entries) == ids(filters.allowed_addresses(table, entries + many)), entries
+
+
+def test_empty_range_on_a_stored_table(spark, logs, tmp_path):
+    tables.write_logs(logs({}, {}), str(tmp_path / "t"))
+    assert filters.apply(tables.read_logs(spark, str(tmp_path / "t")), LogFilter(start="", end="")).count() == 2
+
+
 def test_page_walk_covers_every_row_once(logs):
     table = logs(*[{"timestamp": START + dt.timedelta(seconds=i // 3)} for i in range(20)])
     for sort in ("newest", "oldest"):
@@ -69,8 +100,9 @@ def test_page_walk_covers_every_row_once(logs):
 
 
 def test_page_sizes():
-    assert [paging.page_size(n) for n in (None, 0, 7, 5000)] == [50, 50, 7, 1000]
-    assert [export.csv_limit(n) for n in (None, -1, 0, 10, 10**6)] == [100_000, 100_000, 0, 10, 100_000]
+    assert [paging.page_size(n) for n in (None, 0, 7, 5000)] == [50, 50, 7, 5000]
+    with pytest.raises(ValueError):
+        paging.page_size(-1)
 
 
 def test_saved_query_overrides():
@@ -135,15 +167,15 @@ def lines_for(days):
 
 
 def test_load_reparse_rollup_retention(spark, tmp_path):
-    source, table, quarantine = str(tmp_path / "in"), str(tmp_path / "logs"), str(tmp_path / "bad")
+    source, table = str(tmp_path / "in"), str(tmp_path / "logs")
     Path(source).mkdir()
     (Path(source) / "a.log").write_text(lines_for([1, 2, 3]) + "{broken\n" + '{"hostname":"' + "x" * 300 + '"}\n')
     as_of = "2024-03-04T00:00:00"
-    counts = {r["outcome"]: r["lines"] for r in jobs.load(spark, source, table, quarantine, [], as_of, index_text=True).collect()}
+    counts = {r["outcome"]: r["lines"] for r in jobs.load(spark, source, table, [], as_of).collect()}
     assert counts == {"inserted": 13, "parse_error": 1}
     stored = tables.read_logs(spark, table)
-    assert stored.count() == 13 and spark.read.parquet(quarantine).count() == 1
-    assert stored.select("id").distinct().count() == 13
+    assert stored.count() == 14 and stored.filter("over_length IS NOT NULL").count() == 1
+    assert stored.select("id").distinct().count() == 14
     assert filters.apply(stored, LogFilter(search="days k")).count() == 12
     pruned = filters.apply(stored, LogFilter(start="2024-03-02T00:00:00", end="2024-03-02T23:00:00"))
     plan = pruned._jdf.queryExecution().executedPlan().toString()
@@ -152,7 +184,7 @@ def test_load_reparse_rollup_retention(spark, tmp_path):
     rule = Rule(1, "k", "all", None, r"k=(\d) day [23]", (("k", "K", "string"),))
     assert jobs.reparse_table(spark, table, [rule]) == 2
     again = tables.read_logs(spark, table)
-    assert again.count() == 13 and again.filter("size(matched_parsers) > 0").count() == 8
+    assert again.count() == 14 and again.filter("size(matched_parsers) > 0").count() == 8
     assert jobs.reparse_table(spark, table, [rule]) == 0
 
     rollup = str(tmp_path / "rollup")
@@ -160,17 +192,17 @@ def test_load_reparse_rollup_retention(spark, tmp_path):
     assert jobs.refresh_rollups(spark, table, rollup) == []
     (Path(source) / "b.log").write_text(lines_for([2]))
     (Path(source) / "a.log").unlink()
-    jobs.load(spark, source, table, quarantine, [rule], as_of, first_id=10**12)
+    jobs.load(spark, source, table, [rule], as_of)
     assert jobs.refresh_rollups(spark, table, rollup) == [dt.date(2024, 3, 2)]
-    assert spark.read.parquet(rollup).agg(F.sum("cnt")).first()[0] == tables.read_logs(spark, table).count() == 17
+    assert spark.read.parquet(rollup).agg(F.sum("cnt")).first()[0] == tables.read_logs(spark, table).count() == 18
 
     done = jobs.apply_retention(spark, table, "2024-03-04T02:00:00", 2)
     assert done == {"dropped": [dt.date(2024, 3, 1)], "rewritten": [dt.date(2024, 3, 2)]}
     left = tables.read_logs(spark, table)
     assert left.filter(F.col("timestamp") < clock.at("2024-03-02T02:00:00")).count() == 0
-    assert left.count() == 17 - 4 - 4
+    assert left.count() == 18 - 4 - 4
     assert jobs.refresh_rollups(spark, table, rollup) == [dt.date(2024, 3, 2)]
-    assert spark.read.parquet(rollup).agg(F.sum("cnt")).first()[0] == 9
+    assert spark.read.parquet(rollup).agg(F.sum("cnt")).first()[0] == 10
 
 
 def test_versions(spark, tmp_path):
