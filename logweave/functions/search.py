@@ -32,8 +32,10 @@ def token_line(text: Column) -> Column:
 def tokens(text: Column, keep_stop_words: bool = False) -> Column:
     """Words in order as an array, without stop words."""
     words = F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
-    if keep_stop_words:
-        return words
+    return words if keep_stop_words else without_stop_words(words)
+
+
+def without_stop_words(words: Column) -> Column:
     return F.filter(words, lambda w: ~w.isin(*sorted(STOP_WORDS)))
 
 

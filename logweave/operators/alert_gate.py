@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import severity
+from ..functions import severity, text
 from .alert_match import AlertRule, by_rule, matched_rows, satisfied_conditions
 
 # Fixed value: the longest a live evaluator holds a batch back.
@@ -170,11 +170,40 @@ def audit_firings(audit: DataFrame, rules: list[AlertRule]) -> DataFrame:
     return _one_shot(rows, active)
 
 
+# Texts of the malformed-line rule.
+MALFORMED_TEXT = "A syslog line failed to parse as JSON during ingestion: "
+MALFORMED_CONDITION = "Malformed JSON line encountered during ingestion"
+MALFORMED_SEVERITY = "warning"
+
+
 def malformed_firings(malformed: DataFrame, rules: list[AlertRule]) -> DataFrame:
-    """Rules on undecodable lines (``timestamp`` = time of ingest), subject to cooldown only."""
+    """Firings of rules on undecodable lines (``timestamp`` = time of ingest, ``line``), with texts and the whole line.
+
+    A rule fires at the newest line of a slot, subject to its cooldown only (of equal times the
+    greatest line), or at every line if it says so.
+    """
     active = [r for r in rules if r.is_active]
-    ids = F.array(*[F.lit(r.id).cast("long") for r in active])
-    return _one_shot(malformed.select(F.explode(ids).alias("rule_id"), "timestamp"), active)
+    ids = lambda every: [r.id for r in active if r.fire_on_every_match == every]
+    each = malformed.select(F.explode(F.array(*[F.lit(i).cast("long") for i in ids(True)])).alias("rule_id"), F.col("timestamp").alias("fired_at"), "line") if ids(True) else None
+    gated = None
+    if ids(False):
+        rows = malformed.select(F.explode(F.array(*[F.lit(i).cast("long") for i in ids(False)])).alias("rule_id"), "timestamp", "line")
+        slot = F.floor(F.unix_micros("timestamp") / F.lit(SLOT_US)).cast("long")
+        newest = rows.groupBy("rule_id", slot.alias("slot")).agg(F.max(F.struct("timestamp", "line")).alias("newest"))
+        fired = _one_shot(rows.select("rule_id", "timestamp"), active)
+        # One row per rule and slot on either side.
+        at = fired.withColumn("slot", F.floor(F.unix_micros("fired_at") / F.lit(SLOT_US)).cast("long"))
+        gated = at.join(newest, ["rule_id", "slot"]).select("rule_id", "fired_at", F.col("newest.line").alias("line"))
+    found = each if gated is None else gated if each is None else gated.unionByName(each)
+    return found.select(
+        "rule_id",
+        "fired_at",
+        by_rule(active, lambda r: F.lit(f"Alert: {r.name}")).alias("title"),
+        F.concat(F.lit(MALFORMED_TEXT), text.snippet(F.col("line"))).alias("text"),
+        F.lit(MALFORMED_SEVERITY).alias("notify_severity"),
+        F.array(F.lit(MALFORMED_CONDITION)).alias("conditions"),
+        "line",
+    )
 
 
 def _one_shot(rows: DataFrame, rules: list[AlertRule]) -> DataFrame:

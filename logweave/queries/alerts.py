@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import severity, text
+from ..functions import severity
 from ..operators import alert_gate, alert_match, fanout, ingest, notifications, silence
 from ..operators.alert_match import AlertRule, FieldCondition
 from .ingest import DECODED
@@ -236,29 +236,44 @@ _BAD_SLOTS = """SELECT CAST(31 AS BIGINT) AS rule_id, epoch_us(l.timestamp) // 5
 _BAD_SETTINGS = "(VALUES (31, 1, 60000000, 21600000000)) AS k(rule_id, threshold, window_us, cooldown_us)"
 
 
+_BAD_TEXT = "'A syslog line failed to parse as JSON during ingestion: ' || (CASE WHEN strlen(d.line) > 500 THEN left(d.line, 500) || '...' ELSE d.line END) AS text"
+_BAD_LINES = """SELECT epoch_us(l.timestamp) AS t_us, {line} AS line FROM logs l JOIN decoded d ON d.id = l.id WHERE d.defect IN ('malformed', 'truncated') {group}"""
+_BAD_SHOWN = ("rule_id", "fired_at", "title", "text", "notify_severity")
+
+
+def _bad_firings(inp: Inputs, rule: AlertRule) -> DataFrame:
+    decoded = ingest.decode(inp.lines()).filter(F.col("defect").isin("malformed", "truncated"))
+    arrived = decoded.join(inp.logs().select("id", "timestamp"), "id").select("timestamp", "line")
+    return alert_gate.malformed_firings(arrived, [rule]).select(*_BAD_SHOWN)
+
+
 @query(
     "alert_malformed",
     gate_sql(
         _BAD_SLOTS,
         _BAD_SETTINGS,
-        """SELECT g.rule_id, make_timestamp(g.t_us) AS fired_at, 'A syslog line failed to parse as JSON during ingestion: '
-            || (CASE WHEN strlen(d.line) > 500 THEN left(d.line, 500) || '...' ELSE d.line END) AS text
-        FROM g JOIN logs l ON epoch_us(l.timestamp) = g.t_us JOIN decoded d ON d.id = l.id AND d.defect IN ('malformed', 'truncated') WHERE g.fired""",
+        f"""SELECT g.rule_id, make_timestamp(g.t_us) AS fired_at, 'Alert: bad lines' AS title, {_BAD_TEXT}, 'warning' AS notify_severity
+        FROM g JOIN ({_BAD_LINES.format(line='max(d.line)', group='GROUP BY 1')}) AS d ON d.t_us = g.t_us WHERE g.fired""",
         over_lines,
         decoded=DECODED,
     ),
 )
 def alert_malformed(inp: Inputs) -> DataFrame:
     """Lines that cannot be decoded, gated by cooldown; each is taken to arrive at its row's own time."""
-    decoded = ingest.decode(inp.lines()).filter(F.col("defect").isin("malformed", "truncated"))
-    arrived = decoded.join(inp.logs().select("id", "timestamp"), "id").select("timestamp", "line")
-    fired = alert_gate.malformed_firings(arrived, [_BAD_RULE])
-    shown = fired.join(arrived.withColumnRenamed("timestamp", "fired_at"), "fired_at")
-    return shown.select(
-        "rule_id",
-        "fired_at",
-        F.concat(F.lit("A syslog line failed to parse as JSON during ingestion: "), text.snippet(F.col("line"))).alias("text"),
-    )
+    return _bad_firings(inp, _BAD_RULE)
+
+
+@query(
+    "alert_malformed_every",
+    over_lines(
+        f"""SELECT CAST(32 AS BIGINT) AS rule_id, make_timestamp(t_us) AS fired_at, 'Alert: each bad line' AS title, {_BAD_TEXT}, 'warning' AS notify_severity
+        FROM ({_BAD_LINES.format(line='d.line', group='')}) AS d""",
+        decoded=DECODED,
+    ),
+)
+def alert_malformed_every(inp: Inputs) -> DataFrame:
+    """The same rule without a cooldown: every line fires."""
+    return _bad_firings(inp, AlertRule(32, "each bad line", rule_type="malformed_json", fire_on_every_match=True))
 
 
 # --- silence ---

@@ -151,11 +151,12 @@ _WORDS = "list_filter(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+'),
     FROM (SELECT doc_id, {_WORDS.format(text='text')} AS w FROM documents) AS d""",
 )
 def search_tokens(inp: Inputs) -> DataFrame:
-    docs = inp.table("documents")
-    return docs.select(
+    # Behind a generator of one element, so that words are extracted once for both columns.
+    words = inp.table("documents").select("doc_id", F.explode(F.array(search.tokens(F.col("text"), keep_stop_words=True))).alias("w"))
+    return words.select(
         "doc_id",
-        F.concat_ws(" ", search.tokens(F.col("text"))).alias("tokens"),
-        F.size(search.tokens(F.col("text"), keep_stop_words=True)).cast("long").alias("n_words"),
+        F.concat_ws(" ", search.without_stop_words(F.col("w"))).alias("tokens"),
+        F.size("w").cast("long").alias("n_words"),
     )
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -20,6 +22,8 @@ RECOMMENDED_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+_SHIPPED: set[str] = set()
+
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -34,7 +38,27 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per session.
+
+    Functions that run there are pickled by reference, so they need the package wherever the
+    program was started. Not needed where the package is installed on all machines.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    where = pathlib.Path(tempfile.mkdtemp(prefix="logweave-package-")) / "logweave.zip"  # read by the driver alone
+    with zipfile.ZipFile(where, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(where))
+    _SHIPPED.add(app)
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
