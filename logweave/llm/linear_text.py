@@ -1,5 +1,6 @@
 """What the linear text classifiers share: labelled samples, hashed features, sparse sums."""
 
+import functools
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -15,6 +16,7 @@ BITS = 18
 WORD = re.compile(r"\w+")
 
 
+@functools.lru_cache(maxsize=1 << 18)
 def hashed(kind: str, token: str) -> int:
     return zlib.crc32(f"{kind} {token}".encode("utf-8", "surrogatepass")) >> (32 - BITS)
 

@@ -19,7 +19,7 @@ from .linear_text import BITS, WORD, Sparse, collected, contrast, hashed, label_
 
 MAX_ROWS = 20_000
 MAX_FEATURES = 6000
-_SHAPE = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|\s+")
+_MARKS = re.compile(r"[^\w\s]+|\s+")
 
 
 def features(text: str) -> set[int]:
@@ -27,18 +27,16 @@ def features(text: str) -> set[int]:
     words = WORD.findall(text)
     out = {hashed("w", w.lower()) for w in set(words)}
     out |= {hashed("4", w[:4].lower()) for w in set(words) if len(w) > 4}
-    shapes = Counter()
-    for token in set(_SHAPE.findall(text)):
-        if not token[0].isalnum():
-            shapes[token[:8]] += 1
-    out |= {hashed("s", s) for s in shapes}
+    out |= {hashed("s", s) for s in {token[:8] for token in set(_MARKS.findall(text))}}
     n = max(1, len(text))
+    letters = Counter(text)
+    share = lambda test: sum(k for c, k in letters.items() if test(c)) / n
     lines = [x for x in text.split("\n") if x.strip()]
     levels = {
         "length": math.log2(n + 1),
-        "upper": 10 * sum(map(str.isupper, text)) / n,
-        "digits": 20 * sum(map(str.isdigit, text)) / n,
-        "marks": 20 * sum(1 for c in text if not c.isalnum() and not c.isspace()) / n,
+        "upper": 10 * share(str.isupper),
+        "digits": 20 * share(str.isdigit),
+        "marks": 20 * share(lambda c: not c.isalnum() and not c.isspace()),
         "distinct": 10 * len(set(words)) / max(1, len(words)),
         "lines": 10 * len(set(lines)) / max(1, len(lines)),
         "word": len("".join(words)) / max(1, len(words)),
