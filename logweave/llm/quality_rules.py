@@ -20,21 +20,24 @@ BLANK = " \t\n\x0b\x0c\r"
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
-# Statistic vector: name, expression over the base statistics, least standard deviation.
+# Statistic vector: name, expression over the base statistics, least standard deviation. The last is what
+# ordinary texts of one source may differ by: twice the length, a tenth in word length, a line or a few words said twice.
 VECTOR = [
-    ("x_words", "ln(1 + n_words)", 0.2),
-    ("x_length", "ln(word_chars / n_words)", 0.05),
+    ("x_words", "ln(1 + n_words)", 0.7),
+    ("x_length", "ln(word_chars / n_words)", 0.1),
     ("x_symbols", "ln(1 + 100 * n_symbols / word_chars)", 0.4),
-    ("x_lines", "ln(1 + n_dup_lines)", 0.4),
-    ("x_repeats", "ln(1 + 100 * n_repeat_words / n_words)", 0.4),
+    ("x_lines", "ln(1 + n_dup_lines)", 0.8),
+    ("x_repeats", "ln(1 + 100 * n_repeat_words / n_words)", 1.0),
 ]
 UNIT = 256  # vectors are rounded to 1/256
 SUBSET = 0.75
 STEPS = 4
 MIN_ROWS = 50
-# Quantiles of the chi-square distribution with 5 degrees of freedom: 0.5 and 1 - 1e-7.
+# Median of the chi-square distribution with 5 degrees of freedom.
 CHI_MEDIAN = 4.351
-CUTOFF = 40.9
+# Squared distance from which a text is rejected. Statistics of texts have heavier tails than normal ones,
+# for which 40.9 would leave one in ten million out.
+CUTOFF = 60.0
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
