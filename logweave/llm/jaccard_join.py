@@ -2,7 +2,8 @@
 
 Sets are dealt to tasks so that no possible partner is missed: each set is cut by hash into parts,
 one more than two linked sets can differ in, so linked sets agree in a whole part. Sets that
-agree in a part (some nine shingles each) form groups. A group's sets are sent to one task once,
+agree in a part form groups. Parts are first made of a set's uncommon shingles, as passages that many
+texts share would tie all groups together; only sets with too few of these are cut as a whole as well. A group's sets are sent to one task once,
 or in pairs of blocks if it is large, and joined there:
 
 * Index skipping: shingles of a group are ordered by frequency; lists of the rare ones (the
@@ -26,6 +27,10 @@ from .common import ASCII_LOWER, BLANK_WORDS, small_batches, stored
 from .components import components
 
 BLOCK_SHINGLES = 1_000_000
+# Common shingles: those of at least COMMON_COUNT texts of a sample, COMMON_MOST of them at most.
+SAMPLE_ROWS = 8000
+COMMON_COUNT = 4
+COMMON_MOST = 200_000
 CLASS_RATIO = 1.5
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -71,14 +76,19 @@ def class_bounds(most: int, ratio: float = CLASS_RATIO) -> list[int]:
     return bounds
 
 
-def signatures(shingles: np.ndarray, percent: int, bounds: list[int]) -> np.ndarray:
+def signatures(shingles: np.ndarray, percent: int, bounds: list[int], common: np.ndarray | None = None) -> np.ndarray:
     """Hashes of the parts of a set, for its size class and, near its end, for the next one.
 
     Two linked sets differ in at most ``gap`` shingles, which touch as many parts. If a set has
     more parts than that with something in them, one of these is untouched, so empty parts need
-    no hash. A set with too few is cut finer as well, until that holds.
+    no hash. That holds for any part of the universe: leaving out the ``common`` shingles comes first. A set with too few
+    parts then is cut as a whole as well, then finer, until it holds; its partners are met at the first
+    of these steps that is enough for either.
     """
     n = len(shingles)
+    light = shingles
+    if common is not None and len(common):
+        light = shingles[common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] != shingles]
     if n == 0:
         return np.zeros(0, np.int64)
     own = int(np.searchsorted(bounds, n, side="right")) - 1
@@ -88,22 +98,47 @@ def signatures(shingles: np.ndarray, percent: int, bounds: list[int]) -> np.ndar
     out = []
     for c in classes:
         gap = 2 * (bounds[c + 1] - 1) * (100 - percent) // (100 + percent)
-        parts = gap + 2 + gap // 32
+        parts, step = gap + 2 + gap // 8, 0
         while True:
-            part = (_mix(shingles + np.uint64(parts)) >> np.uint64(32)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            sorted_part = part[order]
-            first = np.flatnonzero(np.concatenate([[True], sorted_part[1:] != sorted_part[:-1]]))
-            sums = np.add.reduceat(_mix(shingles[order] ^ _A), first)
-            out.append(_mix(sums * _B + sorted_part[first] * _A + np.uint64((parts * int(_C) + c) & 0xFFFFFFFFFFFFFFFF)))
-            if len(first) > min(gap, n - 1):
-                break
-            parts *= 2
+            chosen = light if step == 0 else shingles
+            if len(chosen):
+                part = (_mix(chosen + np.uint64(parts)) >> np.uint64(32)) % np.uint64(parts)
+                order = np.argsort(part, kind="stable")
+                sorted_part = part[order]
+                first = np.flatnonzero(np.concatenate([[True], sorted_part[1:] != sorted_part[:-1]]))
+                sums = np.add.reduceat(_mix(chosen[order] ^ _A), first)
+                scheme = (parts * int(_C) + 64 * c + min(step, 1)) & 0xFFFFFFFFFFFFFFFF
+                out.append(_mix(sums * _B + sorted_part[first] * _A + np.uint64(scheme)))
+                if len(first) > min(gap, n - 1):
+                    break
+            if step:
+                parts *= 2
+            step += 1
     return np.concatenate(out).view(np.int64)
 
 
-def _set_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _common_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """Shingles that many texts share, as a sample of at most SAMPLE_ROWS texts shows them: sorted, COMMON_MOST at most.
+
+    Which ones they are decides how well groups are kept apart, not what is found.
+    """
+    chosen = docs.select("_th").distinct().orderBy(F.xxhash64("_th"), "_th").limit(SAMPLE_ROWS)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler(words)
+        for batch in batches:
+            for body in batch["_body"]:
+                yield pd.DataFrame({"shingle": shingler(body).view(np.int64)})
+
+    sample = docs.join(F.broadcast(chosen), "_th").select("_body")
+    counts = sample.mapInPandas(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    found = counts.filter(F.col("n") >= COMMON_COUNT).orderBy(F.desc("n"), "shingle").limit(COMMON_MOST).toPandas()
+    return np.sort(found["shingle"].to_numpy(np.int64).view(np.uint64))
+
+
+def _set_rows(docs: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
     """Per document: set size, set hash and the hashes of its parts."""
+    sent = docs.sparkSession.sparkContext.broadcast(common)  # COMMON_MOST numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, bounds = Shingler(words), class_bounds(1 << 16)
@@ -115,7 +150,7 @@ def _set_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     bounds = class_bounds(bounds[-1] * 4)
                 sizes.append(len(shingles))
                 names.append(xxhash.xxh3_64_intdigest(shingles.tobytes()) if len(shingles) else 0)
-                parts.append(signatures(shingles, percent, bounds))
+                parts.append(signatures(shingles, percent, bounds, sent.value))
             offsets = np.cumsum([0, *map(len, parts)], dtype=np.int32)
             flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -289,7 +324,7 @@ def join(docs: DataFrame, percent: int = 90, words: int = 3, id_col: str = "doc_
     packer = pandas_udf(_pack_bodies, "binary")
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     light = docs.select(F.col(id_col).alias("_doc"), body.alias("_body")).withColumn("_th", F.xxhash64("_body"))
-    rows = stored(_set_rows(light, words, percent), "sets")
+    rows = stored(_set_rows(light, words, percent, _common_shingles(light, words)), "sets")
 
     parts = rows.filter("n_shingles > 0").select("sid", F.explode("parts").alias("part"))
     # Groups are an over-estimate of the classes: every set with the least one that agrees in a part.

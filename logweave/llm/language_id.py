@@ -8,7 +8,7 @@ cross-entropy per character; it is marked as rejected if that is beyond what tra
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -24,6 +24,8 @@ UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 _M = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 1 << 21
+TASK_GRAMS = 500_000
+BUCKET_BITS = 18
 
 
 def normalised(text: str) -> str:
@@ -38,41 +40,84 @@ def codes(text: str) -> np.ndarray:
 
 def rolled(chars: np.ndarray, order: int) -> np.ndarray:
     """Hash of the ``order`` characters from each place on."""
-    n = len(chars) - order + 1
+    n = max(0, len(chars) - order + 1)
     wide = chars.astype(np.uint64)
-    h = np.full(max(n, 0), np.uint64(order))
+    h = np.full(n, np.uint64(order))
     for i in range(order):
-        h = (h + wide[i : i + max(n, 0)]) * _M
-        h ^= h >> np.uint64(32)
+        np.add(h, wide[i : i + n], out=h)
+        np.multiply(h, _M, out=h)
+    h ^= h >> np.uint64(29)
+    np.multiply(h, _M, out=h)
     return h
 
 
-def count_grams(rows: DataFrame, order: int) -> DataFrame:
-    """(lang, gram, n) of all texts of (lang, text); each task counts some million characters at a time."""
+class GramCounter:
+    """Counts of one language's n-grams by hash, and a text of each."""
+
+    def __init__(self, order: int):
+        self.order = order
+        self.texts: list[str] = []
+        self.size = 0
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.known = np.zeros(0, np.uint64)
+        self.grams: dict[int, str] = {}
 
-    def counted(lang: str, texts: list[str]) -> pd.DataFrame:
-        whole = "".join(texts)
+    def add(self, text: str) -> None:
+        self.texts.append(text)
+        self.size += len(text)
+        if self.size > CHUNK:
+            self.count()
+
+    def count(self) -> None:
+        order, whole = self.order, "".join(self.texts)
         chars = codes(whole)
         usable = np.ones(len(chars), bool)
-        for end in np.cumsum([len(t) for t in texts]).tolist():
+        for end in np.cumsum([len(t) for t in self.texts]).tolist():
             usable[max(0, end - order + 1) : end] = False
+        self.texts, self.size = [], 0
         at = np.flatnonzero(usable[: max(0, len(chars) - order + 1)])
-        _, first, n = np.unique(rolled(chars, order)[at], return_index=True, return_counts=True)
-        return pd.DataFrame({"lang": lang, "gram": [whole[i : i + order] for i in at[first].tolist()], "n": n})
+        hashes = rolled(chars, order)[at]
+        ordered = np.sort(hashes)
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+        names, counts = ordered[first], np.diff(np.append(first, len(ordered)))
+        fresh = np.setdiff1d(names, self.known, assume_unique=True)
+        if len(fresh):
+            place = np.minimum(np.searchsorted(fresh, hashes), len(fresh) - 1)
+            new = np.flatnonzero(fresh[place] == hashes)
+            found, one = np.unique(hashes[new], return_index=True)
+            for h, i in zip(found.tolist(), at[new[one]].tolist()):
+                self.grams[h] = whole[i : i + order]
+            self.known = np.union1d(self.known, fresh)
+        self.parts.append((names, counts))
+        if sum(len(n) for n, _ in self.parts) > CHUNK:
+            self.parts = [self.summed()]
+
+    def summed(self) -> tuple[np.ndarray, np.ndarray]:
+        names = np.concatenate([n for n, _ in self.parts])
+        order = np.argsort(names, kind="stable")
+        names, counts = names[order], np.concatenate([c for _, c in self.parts])[order]
+        first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, np.int64)
+        return names[first], np.add.reduceat(counts, first) if len(first) else counts
+
+    def frame(self, lang: str) -> pd.DataFrame:
+        self.count()
+        names, counts = self.summed()
+        return pd.DataFrame({"lang": lang, "gram": [self.grams[h] for h in names.tolist()], "n": counts})
+
+
+def count_grams(rows: DataFrame, order: int) -> DataFrame:
+    """(lang, gram, n) of all texts of (lang, text); each task sums its own before the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, list[str]] = {}
-        size: dict[str, int] = {}
+        held: dict[str, GramCounter] = {}
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"]):
-                plain = normalised(text)
-                held.setdefault(lang, []).append(plain)
-                size[lang] = size.get(lang, 0) + len(plain)
-                if size[lang] > CHUNK:
-                    yield counted(lang, held.pop(lang))
-                    size[lang] = 0
-        for lang, texts in held.items():
-            yield counted(lang, texts)
+                counter = held.setdefault(lang, GramCounter(order))
+                counter.add(normalised(text))
+                if len(counter.grams) > TASK_GRAMS:
+                    yield held.pop(lang).frame(lang)
+        for lang, counter in held.items():
+            yield counter.frame(lang)
 
     return rows.mapInPandas(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -105,11 +150,35 @@ class Model:
     contexts: list[tuple[np.ndarray, np.ndarray]]
     floor: np.ndarray
     limits: dict[str, float]
+    starts: dict[int, np.ndarray] = field(default_factory=dict, repr=False)
 
     def logs(self, chars: np.ndarray) -> np.ndarray:
         """Log probabilities (places, languages) of the last of each ``order`` characters."""
         return self._at(chars, np.arange(max(0, len(chars) - self.order + 1)), self.order)
 
+    def _find(self, order: int, known: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of hashes in a sorted array, by way of where each value of their upper bits starts."""
+        if not len(known):
+            return np.zeros(len(names), np.int64), np.zeros(len(names), bool)
+        starts = self.starts.get(order)
+        if starts is None:
+            starts = np.searchsorted(known, np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS))
+            starts[-1] = len(known)  # the last bound does not fit in 64 bits
+            starts = self.starts[order] = starts.astype(np.int32)
+        bucket = (names >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+        place = starts[bucket]
+        end = starts[bucket + 1]
+        last = len(known) - 1
+        hit = (known[np.minimum(place, last)] == names) & (place < end)
+        open_ = np.flatnonzero(~hit & (place + 1 < end))
+        while len(open_):
+            place[open_] += 1
+            found = known[place[open_]] == names[open_]
+            hit[open_[found]] = True
+            rest = open_[~found]
+            open_ = rest[place[rest] + 1 < end[rest]]
+        return place, hit
+
     def _at(self, chars: np.ndarray, ends: np.ndarray, order: int) -> np.ndarray:
         # ``ends`` are starts of top-order windows; a lower order looks at the last characters of them.
         shift = self.order - order
@@ -117,8 +186,7 @@ class Model:
             return np.broadcast_to(self.floor, (len(ends), len(self.langs))).copy()
         known, values = self.grams[order]
         names = rolled(chars, order)[ends + shift]
-        place = np.minimum(np.searchsorted(known, names), max(0, len(known) - 1))
-        hit = known[place] == names if len(known) else np.zeros(len(names), bool)
+        place, hit = self._find(order, known, names)
         out = np.empty((len(ends), len(self.langs)), np.float32)
         out[hit] = values[place[hit]]
         missed = np.flatnonzero(~hit)
@@ -141,13 +209,17 @@ class Model:
         def flush() -> None:
             chars = np.concatenate([c for _, c in held])
             edges = np.cumsum([0, *[len(c) for _, c in held]])
-            logs = self.logs(chars).astype(np.float64)
-            total = np.concatenate([np.zeros((1, logs.shape[1])), np.cumsum(logs, axis=0)])
+            logs = self.logs(chars).astype(np.float64)  # sums of many small numbers
+            bounds, owners = [], []
             for (text, own), a in zip(held, edges[:-1].tolist()):
                 n = len(own) - self.order + 1
                 if n > 0:
-                    sums[text] += total[a + n] - total[a]
+                    bounds += [a, a + n]
+                    owners.append(text)
                     places[text] += n
+            if owners:
+                ends = bounds if bounds[-1] < len(logs) else bounds[:-1]
+                np.add.at(sums, owners, np.add.reduceat(logs, ends, axis=0)[::2])
             held.clear()
 
         size = 0

@@ -75,8 +75,9 @@ def test_signatures_meet_for_all_links():
             other = np.concatenate([base[drop:], rng.integers(0, 2**63, int(rng.integers(0, size // 10 + 1)), dtype=np.uint64)])
             both = len(np.intersect1d(base, other))
             if both and 100 * both >= 90 * (len(base) + len(other) - both):
-                a, b = (jaccard_join.signatures(np.unique(x), 90, bounds) for x in (base, other))
-                assert len(np.intersect1d(a, b))
+                for common in (None, np.unique(base[rng.random(size) < 0.5]), np.unique(base)):
+                    a, b = (jaccard_join.signatures(np.unique(x), 90, bounds, common) for x in (base, other))
+                    assert len(np.intersect1d(a, b))
 
 
 def test_components(spark):
