@@ -26,7 +26,7 @@ from pyspark.sql.functions import pandas_udf
 from .common import ASCII_LOWER, BLANK_WORDS, small_batches, stored
 from .components import components
 
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 250_000
 # Common shingles: those of at least COMMON_COUNT texts of a sample, COMMON_MOST of them at most.
 SAMPLE_ROWS = 8000
 COMMON_COUNT = 4
@@ -45,7 +45,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct shingle hashes of texts; remembers the hashes of words."""
 
-    def __init__(self, words: int, remember: int = 500_000):
+    def __init__(self, words: int, remember: int = 100_000):
         self.words, self.remember = words, remember
         self.known: dict[bytes, int] = {}
 

@@ -69,7 +69,7 @@ class Model:
             return {}
 
         def score(known: dict[str, float], text: str) -> tuple[float]:
-            if len(known) > 500_000:
+            if len(known) > 100_000:
                 known.clear()
             total = bias
             for word in words_of(text):
