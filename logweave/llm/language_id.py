@@ -7,25 +7,25 @@ cross-entropy per character; it is marked as rejected if that is beyond what tra
 """
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .common import small_batches, stored, without
 
 ORDER = 5
-MAX_GRAMS = 200_000
 CALIBRATION_ROWS = 4000
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 _M = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 1 << 21
 TASK_GRAMS = 500_000
-BUCKET_BITS = 18
+PACKED_ROWS = 1 << 18
+BUCKET_BITS = 18  # at least; a bucket holds about one hash in larger models too
 
 
 def normalised(text: str) -> str:
@@ -122,24 +122,6 @@ def count_grams(rows: DataFrame, order: int) -> DataFrame:
     return rows.mapInPandas(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def bounded(counts: DataFrame, most: int) -> DataFrame:
-    """The most frequent grams of each language, whole levels of a count at a time, ``most`` in all at most."""
-    level = F.floor(F.log2("n") * 8).cast("int")
-    levels = counts.groupBy("lang", level.alias("level")).agg(F.count("*").alias("types"))
-    above = Window.partitionBy("lang").orderBy(F.desc("level"))
-    # A few hundred rows per language: whatever the corpus, counts have few levels.
-    found = levels.withColumn("within", F.sum("types").over(above)).toPandas()
-    share = most // max(1, found["lang"].nunique())
-    fits = found[found["within"] <= share]
-    least = fits.groupby("lang")["level"].min().to_dict()
-    for lang, part in found.groupby("lang"):
-        least.setdefault(lang, int(part["level"].max()))
-    keep = F.lit(False)
-    for lang, low in sorted(least.items()):
-        keep = keep | ((F.col("lang") == lang) & (level >= int(low)))
-    return counts.filter(keep)
-
-
 @dataclass
 class Model:
     """Arrays by order: hashes of known n-grams with a row of log probabilities, hashes of contexts with log weights of the lower order."""
@@ -162,10 +144,12 @@ class Model:
             return np.zeros(len(names), np.int64), np.zeros(len(names), bool)
         starts = self.starts.get(order)
         if starts is None:
-            starts = np.searchsorted(known, np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS))
+            bits = max(BUCKET_BITS, len(known).bit_length())
+            starts = np.searchsorted(known, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(64 - bits))
             starts[-1] = len(known)  # the last bound does not fit in 64 bits
             starts = self.starts[order] = starts.astype(np.int32)
-        bucket = (names >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+        bits = (len(starts) - 1).bit_length() - 1
+        bucket = (names >> np.uint64(64 - bits)).astype(np.int32)
         place = starts[bucket]
         end = starts[bucket + 1]
         last = len(known) - 1
@@ -260,7 +244,7 @@ class Model:
         small_batches(df.sparkSession, 512)
         names = ["lang_pred", "score", "entropy", "rejected"]
         kept = without(df, *names, "_language")
-        sent = df.sparkSession.sparkContext.broadcast(self)  # MAX_GRAMS rows per order at most
+        sent = df.sparkSession.sparkContext.broadcast(self)  # every n-gram of the training texts: grows with their kinds, not with their length
 
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for texts in batches:
@@ -270,8 +254,12 @@ class Model:
         return kept.withColumn("_language", found).select(*[F.col(f"`{c}`") for c in kept.columns], *[F.col(f"_language.{n}").alias(n) for n in names])
 
 
+def _discount(ones: int, twos: int) -> float:
+    return min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
+
+
 def build(counts: pd.DataFrame, order: int = ORDER) -> Model:
-    """Kneser-Ney probabilities of all languages from top-order counts (lang, gram, n)."""
+    """Kneser-Ney probabilities of all languages from top-order counts (lang, gram, n) that fit in memory; see :func:`build_distributed`."""
     langs = sorted(counts["lang"].unique())
     per_lang = [{g: int(n) for g, n in zip(part["gram"], part["n"])} for part in (counts[counts["lang"] == x] for x in langs)]
     by_order: list[list[dict[str, int]]] = [[] for _ in range(order + 1)]
@@ -299,7 +287,7 @@ def build(counts: pd.DataFrame, order: int = ORDER) -> Model:
             ones, twos = sum(1 for c in level.values() if c == 1), sum(1 for c in level.values() if c == 2)
             totals.append(total)
             kinds.append(kind)
-            discounts.append(min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5)
+            discounts.append(_discount(ones, twos))
         before = sorted({c for total in totals for c in total})
         weights = np.ones((len(before), len(langs)))
         for j, (total, kind) in enumerate(zip(totals, kinds)):
@@ -329,19 +317,93 @@ def _sorted(names: list[str], values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return hashes[order], values[order].astype(np.float32)
 
 
+def build_distributed(counts: DataFrame, order: int = ORDER) -> Model:
+    """The model of :func:`build`, made by Spark from all top-order counts (lang, gram, n).
+
+    A row has an n-gram's counts in all languages side by side. The driver gets hashes and log
+    probabilities alone, in packed pieces.
+    """
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())  # one row per language
+    each = range(len(langs))
+
+    def of_each(make: Callable[[int], Column]) -> Column:
+        return F.array(*[make(j) for j in each])
+
+    seen = lambda j: (F.col("c")[j] > 0).cast("long")
+    levels: dict[int, DataFrame] = {}
+    for n in range(order, 0, -1):
+        if n == order:
+            level = counts.groupBy("gram").agg(of_each(lambda j: F.sum(F.when(F.col("lang") == langs[j], F.col("n")).otherwise(0))).alias("c"))
+        else:
+            level = levels[n + 1].groupBy(F.substring("gram", 2, n).alias("gram")).agg(of_each(lambda j: F.sum(seen(j))).alias("c"))
+        levels[n] = stored(level, f"grams-{n}") if langs else level
+    letters = (levels[1].count() if langs else 0) + 1
+    none = (np.zeros(0, np.uint64), np.zeros((0, len(langs)), np.float32))
+    if not langs:
+        return Model([], order, [none] * (order + 1), [none] * (order + 1), np.zeros(0, np.float32), {})
+    model = Model(langs, order, [none], [none], np.full(len(langs), -np.log(letters), np.float32), {})
+    below = None
+    for n in range(1, order + 1):
+        level = levels[n].withColumn("context", F.substring("gram", 1, n - 1))
+        rare = level.agg(*[F.count_if(F.col("c")[j] == k).alias(f"n{k}_{j}") for j in each for k in (1, 2)]).first()
+        discounts = [_discount(rare[f"n1_{j}"], rare[f"n2_{j}"]) for j in each]
+        contexts = level.groupBy("context").agg(of_each(lambda j: F.sum(F.col("c")[j])).alias("total"), of_each(lambda j: F.sum(seen(j))).alias("kinds"))
+        weight = of_each(lambda j: F.when(F.col("total")[j] > 0, F.lit(discounts[j]) * F.col("kinds")[j] / F.col("total")[j]).otherwise(1.0))
+        contexts = stored(contexts.select("context", "total", weight.alias("weight")), f"contexts-{n}")
+        joined = level.join(contexts, "context")
+        if below is not None:
+            joined = joined.withColumn("lower", F.substring("gram", 2, n - 1)).join(below.select(F.col("gram").alias("lower"), F.col("p").alias("low")), "lower")
+        low = lambda j: F.lit(1 / letters) if below is None else F.col("low")[j]
+        own = lambda j: F.when(F.col("c")[j] > 0, (F.col("c")[j] - F.lit(discounts[j])) / F.col("total")[j]).otherwise(0.0)
+        below = stored(joined.select("gram", of_each(lambda j: F.col("weight")[j] * low(j) + own(j)).alias("p")), f"probabilities-{n}")
+        model.grams.append(_packed(below.select("gram", "p"), len(langs)))
+        model.contexts.append(_packed(contexts.select("context", "weight"), len(langs)))
+    return model
+
+
+def _packed(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the first column with the logarithms of the second."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+
+        def piece() -> pd.DataFrame:
+            names = [g for part in held for g in part.iloc[:, 0]]
+            hashes, logs = _sorted(names, np.log(np.concatenate([np.stack(part.iloc[:, 1]) for part in held])))
+            return pd.DataFrame({"hashes": [hashes.tobytes()], "logs": [logs.tobytes()]})
+
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+                size += len(batch)
+            if size >= PACKED_ROWS:
+                yield piece()
+                held, size = [], 0
+        if held:
+            yield piece()
+
+    pieces = rows.mapInPandas(run, "hashes binary, logs binary").toLocalIterator()
+    both = [(np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["logs"], np.float32).reshape(-1, width)) for r in pieces]
+    if not both:
+        return np.zeros(0, np.uint64), np.zeros((0, width), np.float32)
+    hashes = np.concatenate([h for h, _ in both])
+    order = np.argsort(hashes)
+    return hashes[order], np.concatenate([v for _, v in both])[order]
+
+
 def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", order: int = ORDER,
-        max_grams: int = MAX_GRAMS, quantile: float = 0.999) -> Model:
+        quantile: float = 0.999) -> Model:
     """Learn from all rows with a text and a language for which ``learn`` holds.
 
-    Counts cover every such text. The model keeps ``max_grams`` n-grams in all, the most
-    frequent ones of each language, so that it can be sent to all executors. The rejection limit of a language
+    Counts cover every such text and the model keeps every n-gram of them. It is sent to all executors, so it has to
+    fit in a Python worker: 8 bytes and 4 more per language for each n-gram and context. The rejection limit of a language
     is a quantile of the cross-entropy of its training texts, over CALIBRATION_ROWS of them at most.
     """
     small_batches(docs.sparkSession, 512)
     rows = docs.filter(learn).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL")
     counts = count_grams(rows.select("lang", "text"), order)
-    model = build(bounded(stored(counts, "grams"), max_grams).toPandas(), order)
+    model = build_distributed(stored(counts, "grams"), order)
     if not model.langs:
         return model
     chosen = rows.select("_id").orderBy(F.xxhash64("_id"), "_id").limit(CALIBRATION_ROWS).distinct()

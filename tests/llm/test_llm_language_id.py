@@ -80,3 +80,22 @@ def test_chunks_do_not_change_results(monkeypatch):
     whole = model.entropies(texts)
     monkeypatch.setattr(language_id, "CHUNK", 17)
     assert np.allclose(model.entropies(texts), whole, atol=1e-4)
+
+
+def test_model_keeps_every_gram_and_discounts_come_from_all_counts(spark):
+    # Two languages of 55,000 different 5-grams each, most of them seen once, are more than a fixed number of kept grams would hold.
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(lang, "".join(rng.choice(letters) for _ in range(11_000))) for lang in ("aa", "bb") for _ in range(10)]
+    frame = spark.createDataFrame(rows, "lang string, text string")
+    counts = language_id.count_grams(frame, 5)
+    kinds = counts.select("gram").distinct().count()
+    assert kinds > 200_000
+    model = language_id.fit(frame.withColumn("doc_id", F.xxhash64("text")), F.lit(True))
+    assert len(model.grams[5][0]) == kinds
+    some = counts.filter("abs(xxhash64(gram)) % 50 = 0 OR n > 1").toPandas()
+    small, whole = language_id.build(some), language_id.build_distributed(spark.createDataFrame(some))
+    assert small.langs == whole.langs and np.array_equal(small.floor, whole.floor)
+    for n in range(1, 6):
+        for a, b in ((small.grams[n], whole.grams[n]), (small.contexts[n], whole.contexts[n])):
+            assert np.array_equal(a[0], b[0]) and np.allclose(a[1], b[1], atol=1e-5)
