@@ -12,13 +12,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .common import small_batches, stored, without
 
 ORDER = 5
-CALIBRATION_ROWS = 4000
+FEW_ROWS = 20
+ENTROPY_STEPS = 1000  # a nat
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -132,6 +133,7 @@ class Model:
     contexts: list[tuple[np.ndarray, np.ndarray]]
     floor: np.ndarray
     limits: dict[str, float]
+    limit_else: float = np.inf
     starts: dict[int, np.ndarray] = field(default_factory=dict, repr=False)
 
     def logs(self, chars: np.ndarray) -> np.ndarray:
@@ -233,7 +235,7 @@ class Model:
             # Share of the best language if the text had 50 characters at most: longer ones are not surer than that.
             weight = np.exp(-(entropy[i] - entropy[i].min()) * min(50, len(text)))
             lang = self.langs[int(best[i])]
-            out.append((lang, float(1 / weight.sum()), float(entropy[i].min()), bool(entropy[i].min() > self.limits.get(lang, np.inf))))
+            out.append((lang, float(1 / weight.sum()), float(entropy[i].min()), bool(entropy[i].min() > self.limits.get(lang, self.limit_else))))
         return out
 
     def label(self, df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -391,23 +393,60 @@ def _packed(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], np.concatenate([v for _, v in both])[order]
 
 
-def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", order: int = ORDER,
-        quantile: float = 0.999) -> Model:
+def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = 0.999) -> Model:
     """Learn from all rows with a text and a language for which ``learn`` holds.
 
     Counts cover every such text and the model keeps every n-gram of them. It is sent to all executors, so it has to
-    fit in a Python worker: 8 bytes and 4 more per language for each n-gram and context. The rejection limit of a language
-    is a quantile of the cross-entropy of its training texts, over CALIBRATION_ROWS of them at most.
+    fit in a Python worker: 8 bytes and 4 more per language for each n-gram and context. Rejection limits are those
+    of :func:`calibrated`, over every training text.
     """
-    small_batches(docs.sparkSession, 512)
-    rows = docs.filter(learn).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = count_grams(rows.select("lang", "text"), order)
-    model = build_distributed(stored(counts, "grams"), order)
-    if not model.langs:
-        return model
-    chosen = rows.select("_id").orderBy(F.xxhash64("_id"), "_id").limit(CALIBRATION_ROWS).distinct()
-    seen = model.label(rows.join(F.broadcast(chosen), "_id").select("lang", "text")).filter("lang = lang_pred").select("lang", "entropy")
-    limits = seen.groupBy("lang").agg(F.expr(f"percentile(entropy, {quantile})").alias("limit"), F.count("*").alias("n")).collect()  # one row per language
-    model.limits = {r["lang"]: float(r["limit"]) for r in limits if r["n"] >= 20}
+    rows = _training(docs, learn, text_col, lang_col)
+    model = _uncalibrated(rows, order)
+    if model.langs:
+        calibrated(model, stored(model.label(rows).select("lang", "lang_pred", "entropy"), "entropies"), quantile)
     return model
+
+
+def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER,
+             quantile: float = 0.999) -> DataFrame:
+    """(id, lang_pred, score, entropy, rejected) of every row, as ``fit(docs, learn).label(docs)`` gives them, with each text scored once."""
+    model = _uncalibrated(_training(docs, learn, text_col, lang_col), order)
+    taught = F.coalesce(learn, F.lit(False)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
+    rows = docs.select(F.col(id_col).alias("_id"), F.when(taught, F.col(lang_col)).alias("lang"), F.col(text_col).alias("text"))
+    scored = stored(model.label(rows).select("_id", "lang", "lang_pred", "score", "entropy", "rejected"), "entropies")
+    rejected = F.col("rejected")
+    if model.langs:
+        calibrated(model, scored.filter("lang IS NOT NULL"), quantile)
+        known = F.create_map(*[F.lit(x) for pair in sorted(model.limits.items()) for x in pair]) if model.limits else F.lit(None).cast("map<string,double>")
+        rejected = F.col("entropy").isNull() | (F.col("entropy") > F.coalesce(known[F.col("lang_pred")], F.lit(model.limit_else)))
+    return scored.select(F.col("_id").alias(id_col), "lang_pred", "score", "entropy", rejected.alias("rejected"))
+
+
+def _training(docs: DataFrame, learn: Column, text_col: str, lang_col: str) -> DataFrame:
+    rows = docs.filter(learn).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    return rows.filter("lang IS NOT NULL AND text IS NOT NULL")
+
+
+def _uncalibrated(rows: DataFrame, order: int) -> Model:
+    small_batches(rows.sparkSession, 512)
+    return build_distributed(stored(count_grams(rows, order), "grams"), order)
+
+
+def calibrated(model: Model, scored: DataFrame, quantile: float) -> None:
+    """Set the rejection limits from (lang, lang_pred, entropy) of all training rows.
+
+    A language's limit is the least step of 1 / ENTROPY_STEPS that ``quantile`` of its rightly labelled rows do not
+    exceed. A language with fewer than FEW_ROWS of them gets the limit over all rows of all languages.
+    """
+    step = F.ceil(F.col("entropy") * ENTROPY_STEPS)
+    right = F.col("lang") == F.col("lang_pred")
+    # A few thousand steps per language, combined before the shuffle.
+    steps = stored(scored.filter("entropy IS NOT NULL").groupBy(F.col("lang_pred").alias("by"), step.alias("step")).agg(F.count("*").alias("n"), F.count_if(right).alias("right")), "entropy-steps")
+    pooled = steps.groupBy("step").agg(F.sum("n").alias("n")).withColumn("by", F.lit(None).cast("string"))
+    both = steps.filter("right > 0").select("by", "step", F.col("right").alias("n")).unionByName(pooled.select("by", "step", "n"))
+    group = Window.partitionBy("by")
+    upto = F.sum("n").over(group.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    placed = both.withColumns({"upto": upto, "all": F.sum("n").over(group)})
+    found = placed.filter(F.col("upto") >= F.col("all") * quantile).groupBy("by").agg(F.min("step").alias("step"), F.first("all").alias("n")).collect()  # one row per language
+    model.limits = {r["by"]: r["step"] / ENTROPY_STEPS for r in found if r["by"] is not None and r["n"] >= FEW_ROWS}
+    model.limit_else = next((r["step"] / ENTROPY_STEPS for r in found if r["by"] is None), np.inf)

@@ -104,5 +104,5 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fold = id_remainder("doc_id", 4)
-    labelled = language_id.fit(docs, fold != 2).label(docs.select("doc_id", "text"))
+    labelled = language_id.identify(docs, fold != 2)
     return labelled.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score", "rejected")

@@ -99,3 +99,20 @@ def test_model_keeps_every_gram_and_discounts_come_from_all_counts(spark):
     for n in range(1, 6):
         for a, b in ((small.grams[n], whole.grams[n]), (small.contexts[n], whole.contexts[n])):
             assert np.array_equal(a[0], b[0]) and np.allclose(a[1], b[1], atol=1e-5)
+
+
+def test_limits_come_from_all_training_rows_and_every_language_has_one(spark):
+    rows = corpus(7, 4600)
+    # One language is rare: seven training texts of it.
+    rare = [i for i, r in enumerate(rows) if r[2] == "ja"]
+    gone = set(rare[7:])
+    frame = spark.createDataFrame([r for i, r in enumerate(rows) if i not in gone] + [(9000, "qqq xxx www jjj qqq", None, "x", None)], DOCS)
+    got = language_id.identify(frame, F.lit(True)).join(frame.select("doc_id", "lang", "text"), "doc_id").toPandas()
+    right = got[got["lang"] == got["lang_pred"]]
+    assert 0.0002 <= right["rejected"].mean() <= 0.0015 + 7 / len(right)
+    assert bool(got[got["doc_id"] == 9000]["rejected"].iloc[0])
+    scored = spark.createDataFrame([("aa", "aa", 1 + i / 10_000) for i in range(10_000)] + [("bb", "bb", 1.5)] * 3, "lang string, lang_pred string, entropy double")
+    model = language_id.Model(["aa", "bb"], 5, [], [], np.zeros(2, np.float32), {})
+    language_id.calibrated(model, scored, 0.999)
+    assert model.limits.keys() == {"aa"} and abs(model.limits["aa"] - 1.999) < 0.0021
+    assert math.isfinite(model.limit_else) and abs(model.limit_else - 1.999) < 0.0021
