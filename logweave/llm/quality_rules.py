@@ -148,22 +148,42 @@ def _concentrated(placed: DataFrame, distance: Column) -> DataFrame:
 
 
 def outliers(rows: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """Add ``distance`` (squared, scaled; null where none is known) to stored rows of base statistics.
+    """Add ``distance`` (squared, scaled; null for rows without words) to stored rows of base statistics.
 
-    Null languages and sources count as empty strings. Groups of fewer than MIN_ROWS passing rows
-    are estimated together for their language; if they are too few even so, distance stays null.
+    Null languages and sources count as empty strings. A row is judged by the estimate of its source in its
+    language; with fewer than MIN_ROWS passing rows there, by that of all passing rows of the language, large
+    sources included; with too few of those, by that of all passing rows of all languages, however few they are.
     """
     d = range(len(VECTOR))
     named = rows.withColumns({"g_lang": F.coalesce(F.col(lang_col), F.lit("")), "_source": F.coalesce(F.col(source_col), F.lit(""))})
     passing = named.filter("NOT base_failed")
-    large = passing.groupBy("g_lang", "_source").agg(F.count("*").alias("_n")).filter(F.col("_n") >= MIN_ROWS).select("g_lang", "_source", F.lit(True).alias("_large"))
+    counts = stored(passing.groupBy("g_lang", "_source").agg(F.count("*").alias("_n")), "sources")
+    large = counts.filter(F.col("_n") >= MIN_ROWS).select("g_lang", "_source", F.lit(True).alias("_large"))
+    per_lang = counts.groupBy("g_lang").agg(F.sum("_n").alias("_n"))
+    wide = per_lang.filter(F.col("_n") >= MIN_ROWS).select("g_lang", F.lit(True).alias("_wide"))
+    # Only languages with passing rows in small sources need an estimate over all their rows.
+    mixed = counts.filter(F.col("_n") < MIN_ROWS).select("g_lang").distinct().join(wide, "g_lang")
+    all_too = not per_lang.filter(F.col("_n") < MIN_ROWS).isEmpty()
     vectors = {f"z{i}": F.expr(f"CASE WHEN n_words > 0 AND word_chars > 0 THEN CAST(round(({e}) * {UNIT}) AS LONG) END") for i, (_, e, _) in enumerate(VECTOR)}
-    placed = named.join(large, ["g_lang", "_source"], "left").withColumns({"g_source": F.when(F.col("_large"), F.concat(F.lit("="), "_source")).otherwise(F.lit("")), **vectors})
-    placed = stored(placed.drop("_source", "_large"), "vectors")
-    own = placed.filter("NOT base_failed")
+    placed = named.join(large, ["g_lang", "_source"], "left").join(wide, "g_lang", "left").join(mixed.select("g_lang", F.lit(True).alias("_mixed")), "g_lang", "left")
+    own_group = F.concat(F.lit("="), "_source")
+    placed = placed.withColumns({
+        # One estimate has "=" and the source, "" all rows of the language, and "*" all rows of all languages.
+        "_home": F.col("g_lang"), "_mixed": F.coalesce("_mixed", F.lit(False)),
+        "g_lang": F.when(F.col("_large") | F.col("_wide"), F.col("g_lang")).otherwise(F.lit("")),
+        "g_source": F.when(F.col("_large"), own_group).when(F.col("_wide"), F.lit("")).otherwise(F.lit("*")),
+        **vectors,
+    })
+    placed = stored(placed.drop("_source", "_large", "_wide"), "vectors")
+    # Passing rows enter their own estimate and every wider one that is needed.
+    entered = [F.when(F.col("g_source").startswith("="), F.struct("g_lang", "g_source")), F.when(F.col("_mixed"), F.struct(F.col("_home").alias("g_lang"), F.lit("").alias("g_source")))]
+    if all_too:
+        entered.append(F.struct(F.lit("").alias("g_lang"), F.lit("*").alias("g_source")))
+    own = placed.filter("NOT base_failed").select(*[f"z{i}" for i in d], F.explode(F.array_compact(F.array(*entered))).alias("_in"))
+    own = own.select("_in.g_lang", "_in.g_source", *[f"z{i}" for i in d])
     enough = F.count("*").alias("rows")
     quartiles = own.groupBy("g_lang", "g_source").agg(enough, *[F.percentile(f"z{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in d])
-    quartiles = stored(quartiles.filter(F.col("rows") >= MIN_ROWS), "quartiles")
+    quartiles = stored(quartiles, "quartiles")
     spread = lambda i: F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(VECTOR[i][2] * UNIT))
     first = sum((((F.col(f"z{i}") - F.col(f"q{i}")[1]) / spread(i)) ** 2 for i in d), F.lit(0.0))
     key = ["g_lang", "g_source"]

@@ -84,3 +84,17 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(*r, None, None) for r in corpus(3)[:50]], DOCS)
     plan = quality_rules.base_statistics(df, ["doc_id"])._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_small_sources_and_rare_languages_are_judged_too(spark):
+    words = "the river ran past an old mill where several people worked each day until dark and then walked home".split()
+    rng = random.Random(3)
+    text = lambda i: " ".join(rng.choice(words) for _ in range(30 + i % 7))
+    odd = " ".join("#|<>%$&*" * 30 + w for w in words)
+    rows = [(i, text(i), "en", "hot") for i in range(300)] + [(1000 + i, text(i), "en", "small") for i in range(20)]
+    rows += [(2000 + i, text(i), f"x{i}", "rare") for i in range(10)]
+    rows += [(3000, odd, "en", "small"), (3001, odd, "x1", "rare")]
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(rows)
+    assert all(r["distance"] is not None for r in got.values() if not r["base_failed"])
+    assert not got[3000]["base_failed"] and not got[3000]["kept"] and not got[3001]["kept"]
