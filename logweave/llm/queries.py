@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, chat, decontaminate, jaccard_join, language_id, quality_ordinal, quality_rules, sharding, suffix_dedup, toxicity
+from . import byte_bpe, chat, decontaminate, filter_audit, jaccard_join, language_id, packing, quality_ordinal, quality_rules, sharding, suffix_dedup, toxicity, whitening
 from .common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,69 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = id_remainder("doc_id", 4)
     labelled = language_id.identify(docs, fold != 2)
     return labelled.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+AUDIT_SQL = r"""
+WITH letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+),
+steps AS (
+  SELECT filter_order, s AS step, coalesce(list_sum(bits[1 : s - 1]), 0)::INT AS earlier, bits[s] AS bit
+  FROM orders, generate_series(1, 5) AS g(s)
+),
+texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+),
+facts AS (
+  SELECT doc_id, part, len(words) AS n, len(list_distinct(words)) AS kinds, length(t) AS chars,
+    length(regexp_replace(t, '[^A-Z]', '', 'g')) AS capitals, regexp_matches(t, '[#$%&*|]') AS symbols,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS repeated
+  FROM texts
+),
+known AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+docs AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (n < 200)::INT + 2 * (100 * kinds < 50 * n)::INT + 4 * (100 * capitals > 2 * chars)::INT + 8 * symbols::INT + 16 * repeated::INT AS fails
+  FROM facts LEFT JOIN known USING (doc_id)
+),
+counted AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM docs GROUP BY ALL),
+stepped AS (
+  SELECT part, filter_order, step, bit,
+    sum(n) FILTER (WHERE fails & (earlier | bit) = 0) AS kept,
+    sum(n) FILTER (WHERE fails & earlier = 0 AND fails & bit > 0) AS removed,
+    sum(n) FILTER (WHERE fails & earlier > 0 AND fails & bit > 0) AS redundant,
+    sum(n) FILTER (WHERE fails = bit) AS unique_fails,
+    sum(good) FILTER (WHERE fails & earlier = 0 AND fails & bit > 0) AS good_lost,
+    sum(toxic) FILTER (WHERE fails & earlier = 0 AND fails & bit > 0) AS toxic_lost
+  FROM counted, steps GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
+FROM stepped
+"""
+
+
+@query("op11_filter_audit", AUDIT_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit(docs, table(spark, sf_dir, "labels"))
+
+
+@query("op12_shifted_cholesky_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), 4, "embedding")
+
+
+@query("op13_shortest_pack_first")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    rank_file = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, rank_file, public_tokenizers.PATTERN, 2048)
