@@ -7,8 +7,9 @@ texts share would tie all groups together; only sets with too few of these are c
 or in pairs of blocks if it is large, and joined there:
 
 * Index skipping: shingles of a group are ordered by frequency; lists of the rare ones (the
-  prefixes) hold entries by position, and a probe stops in a list where no later position can
-  reach the overlap that is needed.
+  prefixes) hold entries by position in relation to size, and a probe stops in a list where no
+  later entry can reach the overlap that is needed. What texts of one template share stands behind
+  that place, so templates cost nothing.
 * Answer skipping: once the overlaps of a set with all others are known, those of a set that
   differs from it little follow from the lists of the few shingles they differ in.
 """
@@ -27,6 +28,7 @@ from .common import ASCII_LOWER, BLANK_WORDS, small_batches, stored
 from .components import components
 
 BLOCK_SHINGLES = 250_000
+FETCH_BYTES = 4 << 20
 # Common shingles: those of at least COMMON_COUNT texts of a sample, COMMON_MOST of them at most.
 SAMPLE_ROWS = 8000
 COMMON_COUNT = 4
@@ -45,7 +47,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct shingle hashes of texts; remembers the hashes of words."""
 
-    def __init__(self, words: int, remember: int = 100_000):
+    def __init__(self, words: int, remember: int = 30_000):
         self.words, self.remember = words, remember
         self.known: dict[bytes, int] = {}
 
@@ -77,7 +79,7 @@ def class_bounds(most: int, ratio: float = CLASS_RATIO) -> list[int]:
 
 
 def signatures(shingles: np.ndarray, percent: int, bounds: list[int], common: np.ndarray | None = None) -> np.ndarray:
-    """Hashes of the parts of a set, for its size class and, near its end, for the next one.
+    """Hashes of the parts of a set, for its size class and every larger one that can hold a linked set.
 
     Two linked sets differ in at most ``gap`` shingles, which touch as many parts. If a set has
     more parts than that with something in them, one of these is untouched, so empty parts need
@@ -93,8 +95,8 @@ def signatures(shingles: np.ndarray, percent: int, bounds: list[int], common: np
         return np.zeros(0, np.int64)
     own = int(np.searchsorted(bounds, n, side="right")) - 1
     classes = [own]
-    if n * 100 // percent >= bounds[own + 1]:
-        classes.append(own + 1)
+    while n * 100 // percent >= bounds[classes[-1] + 1]:
+        classes.append(classes[-1] + 1)
     out = []
     for c in classes:
         gap = 2 * (bounds[c + 1] - 1) * (100 - percent) // (100 + percent)
@@ -137,20 +139,27 @@ def _common_shingles(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _set_rows(docs: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
-    """Per document: set size, set hash and the hashes of its parts."""
+    """Per document: set size, set hash and the hashes of its parts.
+
+    A task gives the parts of equal sets once, so a set with any number of copies meets others as
+    often as there are tasks.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(common)  # COMMON_MOST numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, bounds = Shingler(words), class_bounds(1 << 16)
+        shingler, bounds, given = Shingler(words), class_bounds(1 << 16), set()
+        none = np.zeros(0, np.int64)
         for batch in batches:
             sizes, names, parts = [], [], []
             for body in batch.column("_body"):
                 shingles = shingler(body.as_py())
-                while bounds[-1] <= len(shingles) * 2:
+                while bounds[-1] <= len(shingles) * 4:
                     bounds = class_bounds(bounds[-1] * 4)
+                name = xxhash.xxh3_64_intdigest(shingles.tobytes()) if len(shingles) else 0
                 sizes.append(len(shingles))
-                names.append(xxhash.xxh3_64_intdigest(shingles.tobytes()) if len(shingles) else 0)
-                parts.append(signatures(shingles, percent, bounds, sent.value))
+                names.append(name)
+                parts.append(none if name in given else signatures(shingles, percent, bounds, sent.value))
+                given.add(name)
             offsets = np.cumsum([0, *map(len, parts)], dtype=np.int32)
             flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -184,45 +193,63 @@ def join_sets(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterato
     ordered = [np.sort(ids[a:b]) for a, b in zip(edges[:-1], edges[1:])]
     flat, owner = np.concatenate(ordered), np.repeat(np.arange(count), sizes)
     position = np.arange(len(flat)) - np.repeat(edges[:-1], sizes)
-    # Whole lists, by shingle, and those of prefixes with their entries by position.
+    # Whole lists, by shingle, and those of prefixes with their entries by depth.
     by_shingle = np.argsort(flat, kind="stable")
     lists, starts = owner[by_shingle], np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(frequency)))])
     short = position <= sizes[owner] - needed(sizes[owner], -(-sizes[owner] * percent // 100), percent)
-    of_prefix = np.flatnonzero(short)[np.lexsort((position[short], flat[short]))]
-    prefix_owner, prefix_position = owner[of_prefix], position[of_prefix]
+    # An entry whose first shared shingle this is can give a probe of n shingles enough only if depth <= -n * percent.
+    depth = position * (100 + percent) - 100 * sizes[owner]
+    of_prefix = np.flatnonzero(short)[np.lexsort((depth[short], flat[short]))]
+    prefix_owner, prefix_depth = owner[of_prefix], depth[of_prefix]
     prefix_starts = np.concatenate([[0], np.cumsum(np.bincount(flat[of_prefix], minlength=len(frequency)))])
 
-    def has_candidate(i: int) -> bool:
+    def candidates(i: int) -> np.ndarray:
+        """Sets of which a first shared shingle leaves enough behind it in both."""
         n = sizes[i]
         low, high = -(-n * percent // 100), n * 100 // percent
+        found = []
         for at in range(n - needed(n, low, percent) + 1):
             shingle = ordered[i][at]
             a, b = prefix_starts[shingle], prefix_starts[shingle + 1]
             if b - a < 2:
                 continue
-            # Behind this position not even the largest partner has enough left.
-            b = a + np.searchsorted(prefix_position[a:b], high - needed(n, high, percent), side="right")
-            other, there = prefix_owner[a:b], prefix_position[a:b]
+            b = a + np.searchsorted(prefix_depth[a:b], -n * percent, side="right")
+            if a == b:
+                continue
+            other = prefix_owner[a:b]
             size = sizes[other]
-            left = 1 + np.minimum(n - at - 1, size - there - 1)
-            fits = (size >= low) & (size <= high) & (left + np.minimum(at, there) >= needed(n, size, percent)) & (other != i)
+            fits = (size >= low) & (size <= min(high, (100 * n - at * (100 + percent)) // percent)) & (other != i)
             if cross:
                 fits &= side[other] != side[i]
-            if fits.any():
-                return True
-        return False
+            found.append(other[fits])
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
     def tally(shingles: np.ndarray) -> np.ndarray:
         if not len(shingles):
             return np.zeros(count, np.int64)
         return np.bincount(np.concatenate([lists[starts[s] : starts[s + 1]] for s in shingles.tolist()]), minlength=count)
 
+    def verified(i: int, others: np.ndarray) -> np.ndarray:
+        """Those of a few candidates that are linked."""
+        present[ordered[i]] = True
+        overlap = np.array([np.count_nonzero(present[ordered[j]]) for j in others.tolist()])
+        present[ordered[i]] = False
+        return others[100 * overlap >= percent * (sizes[others] + sizes[i] - overlap)]
+
+    present = np.zeros(len(frequency), bool)
+    lengths = np.diff(starts)
     answered = np.zeros(count, bool)
     for begin in range(count):
         if answered[begin]:
             continue
         answered[begin] = True
-        if not has_candidate(begin):
+        found = candidates(begin)
+        if not len(found):
+            continue
+        if sizes[found].sum() < lengths[ordered[begin]].sum():
+            answers = verified(begin, found)
+            if len(answers):
+                yield begin, answers
             continue
         at, overlap = begin, tally(ordered[begin])
         while True:
@@ -269,20 +296,29 @@ def _group_links(group: list[tuple], percent: int) -> Iterator[tuple[int, int, i
         yield names[i], names[root(i)], weight
 
 
+def _worth(key: tuple | None, group: list[tuple]) -> bool:
+    """Two sets at least; of two different blocks, both must be there, as each meets its own sets elsewhere."""
+    return len(group) > 1 and (key[1] == key[2] or len({g[3] for g in group}) == 2)
+
+
 def _links(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Links of all sets (sid, n_shingles, weight, _doc, _th, root, blocks) with others of their group."""
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(words)
+        shingler, names = Shingler(words), ["root", "a", "b", "side", "sid", "weight", "shingles"]
         for batch in batches:
-            out = []
+            out, held = [], 0
             for packed, sid, root, blocks, weight in zip(batch["_packed"], batch["sid"], batch["root"], batch["blocks"], batch["weight"]):
-                shingles = shingler(zstandard.decompress(packed))
+                shingles = shingler(zstandard.decompress(packed)).tobytes()
                 mine = sid % blocks
                 for other in range(blocks):
                     a, b = min(mine, other), max(mine, other)
-                    out.append((root, a, b, int(mine == b and a != b), sid, weight, shingles.tobytes()))
-            yield pd.DataFrame(out, columns=["root", "a", "b", "side", "sid", "weight", "shingles"])
+                    out.append((root, a, b, int(mine == b and a != b), sid, weight, shingles))
+                    held += len(shingles)
+                    if held > FETCH_BYTES:
+                        yield pd.DataFrame(out, columns=names)
+                        out, held = [], 0
+            yield pd.DataFrame(out, columns=names)
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, group, out = None, [], []
@@ -290,13 +326,13 @@ def _links(members: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
         for batch in batches:
             for root, a, b, side, sid, weight, shingles in batch.itertuples(index=False):
                 if (root, a, b) != key:
-                    out += _group_links(group, percent) if len(group) > 1 else ()
+                    out += _group_links(group, percent) if _worth(key, group) else ()
                     key, group = (root, a, b), []
                     if len(out) > 20_000:
                         yield pd.DataFrame(out, columns=names)
                         out = []
                 group.append((sid, weight, np.frombuffer(shingles, np.uint64), side))
-        out += _group_links(group, percent) if len(group) > 1 else ()
+        out += _group_links(group, percent) if _worth(key, group) else ()
         if out:
             yield pd.DataFrame(out, columns=names)
 

@@ -16,7 +16,7 @@ BITS = 18
 WORD = re.compile(r"\w+")
 
 
-@functools.lru_cache(maxsize=1 << 18)
+@functools.lru_cache(maxsize=1 << 15)
 def hashed(kind: str, token: str) -> int:
     return zlib.crc32(f"{kind} {token}".encode("utf-8", "surrogatepass")) >> (32 - BITS)
 
@@ -97,5 +97,6 @@ def row_scores(df: DataFrame, text_col: str, score: Callable[[str], tuple], name
         ready = prepare()
         for texts in batches:
             yield pd.DataFrame([score(ready, t or "") for t in texts], columns=names, dtype=float)
+        hashed.cache_clear()  # workers live on in later stages
 
     return pandas_udf(run, ", ".join(f"{n} double" for n in names))(F.col(text_col))

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ def shingles(text):
     return {tuple(words[i : i + 3]) for i in range(len(words) - 2)} or {tuple(words)}
 
 
-def brute(rows):
+def brute(rows, percent=90):
     sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -27,7 +28,7 @@ def brute(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and 100 * both >= 90 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * both >= percent * len(sets[i] | sets[j]):
                 links[i] += 1
                 links[j] += 1
                 parent[root(i)] = root(j)
@@ -65,6 +66,54 @@ def test_equals_brute_force(spark, seed, block):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("percent", [50, 60, 65, 80, 100])
+def test_any_similarity_equals_brute_force(spark, percent):
+    rows = corpus(percent, 110)
+    rng = random.Random(percent)
+    for i in range(60):  # prefixes of one text: all sizes around each other
+        rows.append((1000 + i, " ".join(f"p{k}" for k in range(rng.randint(1, 40)))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.join(df, percent, block_shingles=500).collect()}
+    assert got == brute(rows, percent)
+
+
+def slow_links(sets, side, percent):
+    out = {}
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            both = len(np.intersect1d(a, b))
+            if i != j and (side[i] != side[j] or not side.any()) and 100 * both >= percent * (len(a) + len(b) - both):
+                out.setdefault(i, set()).add(j)
+    return out
+
+
+@pytest.mark.parametrize("percent", [50, 66, 80, 90, 100])
+def test_group_join_equals_all_pairs(percent):
+    rng = np.random.default_rng(percent)
+    for round in range(12):
+        base = rng.integers(0, 1 << 62, 40, dtype=np.uint64)
+        sets = []
+        for _ in range(60):
+            kept = base[rng.random(40) < rng.choice([0.3, 0.8, 0.97])]
+            sets.append(np.unique(np.concatenate([kept, rng.integers(0, 1 << 62, int(rng.integers(0, 5)), dtype=np.uint64), base[:1]])))
+        sets.sort(key=len)
+        side = rng.integers(0, 2, 60) if round % 2 else np.zeros(60, int)
+        got = {i: set(js.tolist()) for i, js in jaccard_join.join_sets(sets, side, percent)}
+        assert got == slow_links(sets, side, percent)
+
+
+def test_a_template_is_not_compared_pair_by_pair():
+    """Many texts of one template that do not link: 7 of 8 shingles, then 40 of 50, are common to all."""
+    for fixed, own, count in ((7, 1, 30_000), (40, 10, 4_000)):
+        rng = np.random.default_rng(1)
+        common = rng.integers(0, 1 << 62, fixed, dtype=np.uint64)
+        sets = [np.sort(np.concatenate([common, rng.integers(0, 1 << 62, own, dtype=np.uint64)])) for _ in range(count)]
+        sets += [sets[5]]
+        start = time.process_time()
+        got = dict(jaccard_join.join_sets(sets, np.zeros(len(sets), int), 80))
+        assert set(got) == {5, count} and time.process_time() - start < 20
+
+
 def test_signatures_meet_for_all_links():
     rng = np.random.default_rng(3)
     bounds = jaccard_join.class_bounds(5000)
