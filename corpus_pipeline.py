@@ -7,7 +7,7 @@ again as the next stage's ``docs``. All but the last return the columns of ``doc
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logweave.llm import byte_bpe, decontaminate, jaccard_join, suffix_dedup
 from logweave.llm.common import table
@@ -19,10 +19,23 @@ SIMILAR_PERCENT = 80
 REPEATED_BYTES = 400
 
 
+_ROW = "_whole_row"
+
+
+def set_aside(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the whole row beside them, out of reach of the names that operators add."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(_ROW), "doc_id", "text")
+
+
+def brought_back(found: DataFrame, docs: DataFrame, **changed) -> DataFrame:
+    """The columns of ``docs`` as they were, but for those in ``changed``."""
+    return found.select(*[changed[c].alias(c) if c in changed else F.col(f"{_ROW}.`{c}`").alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go; it learns from the labelled documents of the input tables."""
     model = toxicity_model(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), sf_dir)
-    return model.score(docs).filter("predicted = 0").select(*docs.columns)
+    return brought_back(model.score(set_aside(docs)).filter("predicted = 0"), docs)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,35 +45,34 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """
     groups = jaccard_join.join(docs.select("doc_id", "text"), SIMILAR_PERCENT, SHINGLE_WORDS, key_col="_text_key")
     others = groups.filter("component_id <> doc_id").select("doc_id", "_text_key").distinct()
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
+    keyed = set_aside(docs).withColumn("_text_key", F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
     rest = keyed.join(others, ["doc_id", "_text_key"], "left_anti")
     repeated = keyed.filter("doc_id IS NOT NULL").groupBy("doc_id", "_text_key").count().filter("count > 1").drop("count")
     if not repeated.isEmpty():
         once = rest.join(repeated, ["doc_id", "_text_key"], "left_semi").dropDuplicates(["doc_id", "_text_key"])
         rest = rest.join(repeated, ["doc_id", "_text_key"], "left_anti").unionByName(once)
-    return rest.select(*docs.columns)
+    return brought_back(rest, docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose their repeated passages; a character cut in two goes as well. Texts of which nothing is left go."""
-    cut = suffix_dedup.remove_repeats(docs, REPEATED_BYTES)
+    cut = suffix_dedup.remove_repeats(set_aside(docs), REPEATED_BYTES)
     changed = F.col("n_removed") > 0
     left = cut.filter(~changed | (F.octet_length("kept") > 0))
-    return whole_text(left).select(*docs.columns)
+    return brought_back(left, docs, text=whole_text(), n_chars=F.char_length(whole_text()).cast("long"))
 
 
-def whole_text(cut: DataFrame) -> DataFrame:
-    """Kept bytes as text, with n_chars brought up to date; null and empty texts come out empty."""
+def whole_text() -> Column:
+    """Kept bytes as text; null and empty texts come out empty."""
     # Replacement marks stand where a cut left part of a character; the input has its own only if the bytes had them.
     broken = F.make_valid_utf8(F.col("kept").cast("string"))
     own = F.instr(F.hex("kept"), "EFBFBD") > 0
-    text = F.when((F.col("n_removed") > 0) & ~own, F.translate(broken, "�", "")).otherwise(broken)
-    return cut.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long"))
+    return F.when((F.col("n_removed") > 0) & ~own, F.translate(broken, "�", "")).otherwise(broken)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten consecutive words of a benchmark item (or a whole shorter item) go."""
-    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"), 10)
+    return brought_back(decontaminate.remove_contaminated(set_aside(docs), table(spark, sf_dir, "benchmark"), 10), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -134,10 +134,25 @@ def _settle(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     return spans, whole.join(mixed, "kh")
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """Packed texts by key; a task gives equal texts once, so a text has at most as many rows here as there are tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, given = zstandard.ZstdCompressor(1), set()
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            first = [i for i, k in enumerate(keys) if k not in given and not given.add(k)]
+            packed = [packer.compress(batch.column(2)[i].as_py()) for i in first]
+            at = pa.array(first, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(packed, pa.binary())], names=["th", "nb", "_packed"])
+
+    return docs.select("_th", "_nb", "_body").mapInArrow(run, "th long, nb long, _packed binary")
+
+
 def _with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """Rows of a text collected beside its bytes; as many as its length allows."""
+    """Rows of a text collected beside its bytes, once for each text; as many as its length allows."""
     mine = rows.groupBy("th", "nb").agg(F.collect_list(F.struct("kh", "sh", "twin", "pos")).alias("rows"))
-    return docs.select(F.col("_th").alias("th"), F.col("_nb").alias("nb"), "_packed").join(mine, ["th", "nb"])
+    return _texts(docs).join(mine, ["th", "nb"]).dropDuplicates(["th", "nb"])
 
 
 def _common(a: bytes, b: bytes, known: int) -> int:
@@ -448,8 +463,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", g
     body: Column = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     keyed = kept.withColumn("_body", body).withColumns({"_th": F.xxhash64("_body"), "_nb": F.octet_length("_body").cast("long")}).drop(text_col)
     packed, cut_out = pandas_udf(_pack_bodies, "binary"), pandas_udf(_cut_bodies, "kept binary, n_removed long, n_spans long")
-    light = keyed.select("_th", "_nb", "_body")
-    spans = repeated_spans(light.withColumn("_packed", packed("_body")), length, group_limit)
+    spans = repeated_spans(keyed.select("_th", "_nb", "_body"), length, group_limit)
     mine = spans.groupBy(F.col("th").alias("_th"), F.col("nb").alias("_nb")).agg(F.collect_set(F.struct("start", "stop")).alias("_spans"))
     joined = keyed.withColumn("_packed", packed("_body")).drop("_body").join(mine, ["_th", "_nb"], "left")
     cut = joined.withColumn("_cut", cut_out("_packed", F.col("_spans.start"), F.col("_spans.stop")))

@@ -88,8 +88,19 @@ def test_odd_rows(spark, tmp_path):
 
 def test_cut_characters(spark):
     body = "aé\ufffd".encode()
-    df = spark.createDataFrame([(1, bytearray(b"x\xa9y"), 5, "t", 1), (2, bytearray(body), 0, "t", 1), (3, bytearray(b"q\xc3"), 3, "t", 1)], "doc_id long, kept binary, n_removed long, text string, n_chars long")
-    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.whole_text(df).collect()} == {1: ("xy", 2), 2: ("aé\ufffd", 3), 3: ("q", 1)}
+    df = spark.createDataFrame([(1, bytearray(b"x\xa9y"), 5), (2, bytearray(body), 0), (3, bytearray(b"q\xc3"), 3)], "doc_id long, kept binary, n_removed long")
+    assert {r["doc_id"]: r["t"] for r in df.select("doc_id", corpus_pipeline.whole_text().alias("t")).collect()} == {1: "xy", 2: "aé\ufffd", 3: "q"}
+
+
+def test_columns_named_like_those_of_operators_stay(spark):
+    names = ["score", "predicted", "n_bytes", "kept", "n_removed", "n_spans", "items", "n_words", "n_hit", "contaminated", "_text_key", "_th", "component_id", "decoded"]
+    docs = spark.createDataFrame([(i, f"{i} some words here", "en", "s", 1, *(f"mine {i} {n}" for n in names)) for i in range(4)],
+                                 "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert len(rows) == 4 and all(r[n] == f"mine {r['doc_id']} {n}" for r in rows for n in names)
 
 
 def test_registered():
