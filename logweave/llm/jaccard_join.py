@@ -1,10 +1,11 @@
 """Exact Jaccard join of documents on word shingles, with set-relation skipping.
 
-Sets are dealt to tasks so that no possible partner is missed: each set is cut by hash into parts,
-one more than two linked sets can differ in, so linked sets agree in a whole part. Sets that
-agree in a part form groups. Parts are first made of a set's uncommon shingles, as passages that many
-texts share would tie all groups together; only sets with too few of these are cut as a whole as well. A group's sets are sent to one task once,
-or in pairs of blocks if it is large, and joined there:
+Sets meet by their prefixes: if shingles are ordered from rare to common, linked sets share one of
+their first few. How many sets hold a shingle is counted exactly, in buckets of shingles. As most
+shingles stand in one text only, a set's prefix seldom reaches those it shares with others, unless
+it is largely made of them. Sets that share a prefix shingle form groups, which over-estimate the
+classes a little. A group's sets are sent to one task once, or in pairs of blocks if it is large,
+and joined there:
 
 * Index skipping: shingles of a group are ordered by frequency; lists of the rare ones (the
   prefixes) hold entries by position in relation to size, and a probe stops in a list where no
@@ -21,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .common import ASCII_LOWER, BLANK_WORDS, small_batches, stored
@@ -29,11 +30,9 @@ from .components import components
 
 BLOCK_SHINGLES = 250_000
 FETCH_BYTES = 4 << 20
-# Common shingles: those of at least COMMON_COUNT texts of a sample, COMMON_MOST of them at most.
-SAMPLE_ROWS = 8000
-COMMON_COUNT = 4
-COMMON_MOST = 200_000
-CLASS_RATIO = 1.5
+# Text for each bucket of shingles, and shingles that a task deals out at once.
+BUCKET_BYTES = 8 << 20
+DEAL_SHINGLES = 1 << 20
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -70,105 +69,124 @@ class Shingler:
         return np.unique(total)
 
 
-def class_bounds(most: int, ratio: float = CLASS_RATIO) -> list[int]:
-    """Size classes: class c holds sizes from bounds[c] up to bounds[c + 1]."""
-    bounds = [1]
-    while bounds[-1] <= most:
-        bounds.append(max(bounds[-1] + 1, int(bounds[-1] * ratio)))
-    return bounds
+def deal(sets: list[tuple[int, np.ndarray]], buckets: int) -> Iterator[tuple]:
+    """Shingles of (name, shingles) by bucket: bucket, names, sizes, shingles of each name, the shingles as 32 bits.
 
-
-def signatures(shingles: np.ndarray, percent: int, bounds: list[int], common: np.ndarray | None = None) -> np.ndarray:
-    """Hashes of the parts of a set, for its size class and every larger one that can hold a linked set.
-
-    Two linked sets differ in at most ``gap`` shingles, which touch as many parts. If a set has
-    more parts than that with something in them, one of these is untouched, so empty parts need
-    no hash. That holds for any part of the universe: leaving out the ``common`` shingles comes first. A set with too few
-    parts then is cut as a whole as well, then finer, until it holds; its partners are met at the first
-    of these steps that is enough for either.
+    Two shingles of a bucket may get the same 32 bits. They then count as one shingle, for every
+    set alike, which can only bring sets together that need not meet.
     """
-    n = len(shingles)
-    light = shingles
-    if common is not None and len(common):
-        light = shingles[common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] != shingles]
-    if n == 0:
-        return np.zeros(0, np.int64)
-    own = int(np.searchsorted(bounds, n, side="right")) - 1
-    classes = [own]
-    while n * 100 // percent >= bounds[classes[-1] + 1]:
-        classes.append(classes[-1] + 1)
-    out = []
-    for c in classes:
-        gap = 2 * (bounds[c + 1] - 1) * (100 - percent) // (100 + percent)
-        parts, step = gap + 2 + gap // 8, 0
-        while True:
-            chosen = light if step == 0 else shingles
-            if len(chosen):
-                part = (_mix(chosen + np.uint64(parts)) >> np.uint64(32)) % np.uint64(parts)
-                order = np.argsort(part, kind="stable")
-                sorted_part = part[order]
-                first = np.flatnonzero(np.concatenate([[True], sorted_part[1:] != sorted_part[:-1]]))
-                sums = np.add.reduceat(_mix(chosen[order] ^ _A), first)
-                scheme = (parts * int(_C) + 64 * c + min(step, 1)) & 0xFFFFFFFFFFFFFFFF
-                out.append(_mix(sums * _B + sorted_part[first] * _A + np.uint64(scheme)))
-                if len(first) > min(gap, n - 1):
-                    break
-            if step:
-                parts *= 2
-            step += 1
-    return np.concatenate(out).view(np.int64)
-
-
-def _common_shingles(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles that many texts share, as a sample of at most SAMPLE_ROWS texts shows them: sorted, COMMON_MOST at most.
-
-    Which ones they are decides how well groups are kept apart, not what is found.
+    names = np.array([name for name, _ in sets], np.uint64)
+    sizes = np.array([len(s) for _, s in sets], np.uint32)
+    h = _mix(np.concatenate([s for _, s in sets]) ^ _A)
+    bucket = (h >> np.uint64(32)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket, token, owner = bucket[order], (h[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.repeat(np.arange(len(sets)), sizes)[order]
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        own = owner[a:b]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        counts = np.diff(np.append(first, b - a)).astype(np.uint32)
+        yield int(bucket[a]), names[own[first]].tobytes(), sizes[own[first]].tobytes(), counts.tobytes(), token[a:b].tobytes()
+
+
+def shared_tokens(bucket: int, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows dealt to a bucket: names, sizes, ends and tokens of the shingles that several sets hold.
+
+    A token orders shingles from rare to common: its upper bits are the number of sets (65,535 at most).
     """
-    chosen = docs.select("_th").distinct().orderBy(F.xxhash64("_th"), "_th").limit(SAMPLE_ROWS)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(words)
-        for batch in batches:
-            for body in batch["_body"]:
-                yield pd.DataFrame({"shingle": shingler(body).view(np.int64)})
-
-    sample = docs.join(F.broadcast(chosen), "_th").select("_body")
-    counts = sample.mapInPandas(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
-    found = counts.filter(F.col("n") >= COMMON_COUNT).orderBy(F.desc("n"), "shingle").limit(COMMON_MOST).toPandas()
-    return np.sort(found["shingle"].to_numpy(np.int64).view(np.uint64))
-
-
-def _set_rows(docs: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
-    """Per document: set size, set hash and the hashes of its parts.
-
-    A task gives the parts of equal sets once, so a set with any number of copies meets others as
-    often as there are tasks.
+    names, sizes, counts, tokens = (np.concatenate([np.frombuffer(r[i], kind) for r in rows]) for i, kind in enumerate((np.uint64, np.uint32, np.uint32, np.uint32)))
+    once = np.zeros(len(names), bool)
+    once[np.unique(names, return_index=True)[1]] = True  # several tasks may have given a set
+    owner = np.repeat(np.arange(len(names)), counts)
+    owner, tokens = owner[once[owner]], tokens[once[owner]]
+    _, inverse, held = np.unique(tokens, return_inverse=True, return_counts=True)
+    held = held[inverse]
+    owner, tokens, held = owner[held > 1], tokens[held > 1], held[held > 1]
+    place = _mix((np.uint64(bucket) << np.uint64(32)) ^ tokens.astype(np.uint64)) >> np.uint64(17)
+    ordered = (np.minimum(held, 65_535).astype(np.uint64) << np.uint64(47)) | place
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+    return names[owner[first]], sizes[owner[first]], np.append(first, len(owner)), ordered.view(np.int64)
+
+
+def _set_rows(docs: DataFrame, words: int, buckets: int) -> DataFrame:
+    """Rows of two kinds: per document its set's size and hash, and per bucket the shingles of a task's sets.
+
+    A task deals out equal sets once, so a set with any number of copies counts as often as there are tasks.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(common)  # COMMON_MOST numbers at most
+    kind = dict(docs.dtypes)["_doc"]
+    blobs = ["names", "sizes", "counts", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, bounds, given = Shingler(words), class_bounds(1 << 16), set()
-        none = np.zeros(0, np.int64)
+        shingler, given, pending, held = Shingler(words), set(), [], 0
+
+        def dealt() -> pa.RecordBatch:
+            bucket, *parts = zip(*deal(pending, buckets))
+            n = len(bucket)
+            return pa.RecordBatch.from_arrays(
+                [pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(bucket, pa.int64()), *(pa.array(p, pa.binary()) for p in parts)],
+                names=["_doc", "_th", "n_shingles", "sid", "bucket", *blobs],
+            )
+
         for batch in batches:
-            sizes, names, parts = [], [], []
+            id_type = batch.column(0).type
+            sizes, names = [], []
             for body in batch.column("_body"):
                 shingles = shingler(body.as_py())
-                while bounds[-1] <= len(shingles) * 4:
-                    bounds = class_bounds(bounds[-1] * 4)
                 name = xxhash.xxh3_64_intdigest(shingles.tobytes()) if len(shingles) else 0
                 sizes.append(len(shingles))
                 names.append(name)
-                parts.append(none if name in given else signatures(shingles, percent, bounds, sent.value))
-                given.add(name)
-            offsets = np.cumsum([0, *map(len, parts)], dtype=np.int32)
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+                if len(shingles) and name not in given:
+                    given.add(name)
+                    pending.append((name, shingles))
+                    held += len(shingles)
+                if held > DEAL_SHINGLES:
+                    yield dealt()
+                    pending, held = [], 0
+            n = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(np.array(names, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["_doc", "_th", "n_shingles", "sid", "parts"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(np.array(names, np.uint64).view(np.int64)), pa.nulls(n, pa.int64()), *(pa.nulls(n, pa.binary()) for _ in blobs)],
+                names=["_doc", "_th", "n_shingles", "sid", "bucket", *blobs],
             )
+        if pending:
+            yield dealt()
 
-    kind = dict(docs.dtypes)["_doc"]
-    return docs.select("_doc", "_th", "_body").mapInArrow(run, f"_doc {kind}, _th long, n_shingles long, sid long, parts array<long>")
+    schema = f"_doc {kind}, _th long, n_shingles long, sid long, bucket long, names binary, sizes binary, counts binary, tokens binary"
+    return docs.select("_doc", "_th", "_body").mapInArrow(run, schema)
+
+
+def _prefix_length(n: Column, percent: int) -> Column:
+    """So many of its rarest shingles hold one of any linked set's."""
+    low = F.floor((n * percent + 99) / 100)
+    return n - F.ceil((n + low) * percent / (100 + percent)) + 1
+
+
+def _ties(dealt: DataFrame, percent: int) -> DataFrame:
+    """(sid, token) for each shingle in the prefix of a set that other sets hold too."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found() -> Iterator[pd.DataFrame]:
+            names, sizes, ends, tokens = shared_tokens(at, held)
+            if len(names):
+                yield pd.DataFrame({"sid": names.view(np.int64), "n": sizes.astype(np.int64), "tokens": np.split(tokens, ends[1:-1])})
+
+        at, held = None, []
+        for batch in batches:
+            for bucket, *blobs in batch.itertuples(index=False):
+                if bucket != at and held:
+                    yield from found()
+                    held = []
+                at = bucket
+                held.append(blobs)
+        if held:
+            yield from found()
+
+    sorted_rows = dealt.repartition("bucket").sortWithinPartitions("bucket")
+    shared = sorted_rows.mapInPandas(run, "sid long, n long, tokens array<long>")
+    sets = shared.groupBy("sid").agg(F.max("n").alias("n"), F.flatten(F.collect_list("tokens")).alias("tokens"))  # n tokens at most
+    # Shingles of no other set come first.
+    left = (_prefix_length(F.col("n"), percent) - (F.col("n") - F.size("tokens"))).cast("int")
+    reached = sets.withColumn("_left", left).filter("_left > 0")
+    return reached.select("sid", F.explode(F.slice(F.array_sort("tokens"), F.lit(1), F.col("_left"))).alias("token"))
 
 
 def needed(a, b, percent: int):
@@ -345,7 +363,7 @@ def _links(members: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
 
 
 def join(docs: DataFrame, percent: int = 90, words: int = 3, id_col: str = "doc_id", text_col: str = "text",
-         block_shingles: int = BLOCK_SHINGLES, key_col: str | None = None) -> DataFrame:
+         block_shingles: int = BLOCK_SHINGLES, key_col: str | None = None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(id, n_shingles, component_id, n_links) of every row.
 
     Rows link when 100 * intersection >= ``percent`` * union of their sets of ``words``-word shingles;
@@ -360,12 +378,16 @@ def join(docs: DataFrame, percent: int = 90, words: int = 3, id_col: str = "doc_
     packer = pandas_udf(_pack_bodies, "binary")
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     light = docs.select(F.col(id_col).alias("_doc"), body.alias("_body")).withColumn("_th", F.xxhash64("_body"))
-    rows = stored(_set_rows(light, words, percent, _common_shingles(light, words)), "sets")
-
-    parts = rows.filter("n_shingles > 0").select("sid", F.explode("parts").alias("part"))
-    # Groups are an over-estimate of the classes: every set with the least one that agrees in a part.
-    within = F.min("sid").over(_window("part"))
-    edges = parts.select("sid", within.alias("head")).filter("sid <> head").select(F.col("sid").alias("u"), F.col("head").alias("v")).distinct()
+    volume = light.agg(F.sum(F.octet_length("_body"))).first()[0] or 0
+    made = stored(_set_rows(light, words, -(-volume // bucket_bytes) or 1), "sets")
+    rows = made.filter("bucket IS NULL").select("_doc", "_th", "n_shingles", "sid")
+
+    # Groups are an over-estimate of the classes: every set with the least one that shares a prefix shingle.
+    # Stored, so that both sides of the join are plain exchanges, which a hot shingle can be split in.
+    ties = stored(_ties(made.filter("bucket IS NOT NULL").select("bucket", "names", "sizes", "counts", "tokens"), percent), "ties")
+    heads = ties.groupBy("token").agg(F.min("sid").alias("head"), F.max("sid").alias("_last")).filter("head < _last")
+    edges = ties.join(heads.select("token", "head"), "token").filter("sid <> head")
+    edges = edges.select(F.col("sid").alias("u"), F.col("head").alias("v")).distinct()
     groups = components(edges)
 
     sets = rows.filter("n_shingles > 0").groupBy("sid", "n_shingles").agg(F.count("*").alias("weight"), F.min(F.struct("_doc", "_th")).alias("_one"))
@@ -400,8 +422,3 @@ def _pack_bodies(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
     packer = zstandard.ZstdCompressor(1)
     for part in bodies:
         yield part.map(packer.compress)
-
-
-def _window(column: str):
-    # A running minimum in order needs one row at a time, however many sets share a part.
-    return Window.partitionBy(column).orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)

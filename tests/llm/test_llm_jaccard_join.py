@@ -73,7 +73,7 @@ def test_any_similarity_equals_brute_force(spark, percent):
     for i in range(60):  # prefixes of one text: all sizes around each other
         rows.append((1000 + i, " ".join(f"p{k}" for k in range(rng.randint(1, 40)))))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.join(df, percent, block_shingles=500).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.join(df, percent, block_shingles=500, bucket_bytes=2000).collect()}
     assert got == brute(rows, percent)
 
 
@@ -114,19 +114,40 @@ def test_a_template_is_not_compared_pair_by_pair():
         assert set(got) == {5, count} and time.process_time() - start < 20
 
 
-def test_signatures_meet_for_all_links():
+def test_prefixes_of_linked_sets_share_a_token(spark):
+    """Counting in buckets, by several tasks, with copies: the ties of linked sets meet."""
     rng = np.random.default_rng(3)
-    bounds = jaccard_join.class_bounds(5000)
-    for size in list(range(1, 60)) + [100, 333, 1000, 2500]:
-        for _ in range(6):
-            base = rng.integers(0, 2**63, size, dtype=np.uint64)
-            drop = int(rng.integers(0, size // 10 + 1))
-            other = np.concatenate([base[drop:], rng.integers(0, 2**63, int(rng.integers(0, size // 10 + 1)), dtype=np.uint64)])
-            both = len(np.intersect1d(base, other))
-            if both and 100 * both >= 90 * (len(base) + len(other) - both):
-                for common in (None, np.unique(base[rng.random(size) < 0.5]), np.unique(base)):
-                    a, b = (jaccard_join.signatures(np.unique(x), 90, bounds, common) for x in (base, other))
-                    assert len(np.intersect1d(a, b))
+    sets = []
+    passage = rng.integers(0, 2**63, 30, dtype=np.uint64)
+    for size in list(range(1, 40)) + [100, 333]:
+        base = rng.integers(0, 2**63, size, dtype=np.uint64)
+        for _ in range(4):
+            kept = base[rng.random(size) < rng.choice([0.85, 0.95, 1.0])]
+            own = rng.integers(0, 2**63, int(rng.integers(0, size // 10 + 2)), dtype=np.uint64)
+            sets.append(np.unique(np.concatenate([kept, own, passage[: rng.integers(0, 30)]])))
+    named = [(i + 1, s) for i, s in enumerate(sets) if len(s)]
+    dealt = [row for part in (named[::2], named[1::2], named[:50]) for row in jaccard_join.deal(part, 7)]
+    df = spark.createDataFrame([(b, *map(bytearray, rest)) for b, *rest in dealt], "bucket long, names binary, sizes binary, counts binary, tokens binary")
+    holders = {}
+    for s in sets:
+        for x in s.tolist():
+            holders[x] = holders.get(x, 0) + 1
+    for percent in (50, 80, 90, 100):
+        ties = {}
+        for r in jaccard_join._ties(df, percent).collect():
+            ties.setdefault(r["sid"], set()).add(r["token"])
+        met = 0
+        for i, a in named:
+            for j, b in named:
+                both = len(np.intersect1d(a, b))
+                if i < j and 100 * both >= percent * (len(a) + len(b) - both):
+                    met += 1
+                    assert ties[i] & ties[j]
+        assert met
+        for i, a in named:
+            alone = sum(holders[x] == 1 for x in a.tolist())
+            prefix = len(a) - -(-(len(a) + -(-len(a) * percent // 100)) * percent // (100 + percent)) + 1
+            assert len(ties.get(i, ())) == max(0, prefix - alone)
 
 
 def test_components(spark):
