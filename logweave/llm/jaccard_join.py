@@ -167,7 +167,8 @@ def _ties(dealt: DataFrame, percent: int) -> DataFrame:
         def found() -> Iterator[pd.DataFrame]:
             names, sizes, ends, tokens = shared_tokens(at, held)
             if len(names):
-                yield pd.DataFrame({"sid": names.view(np.int64), "n": sizes.astype(np.int64), "tokens": np.split(tokens, ends[1:-1])})
+                each = np.repeat(np.arange(len(names)), np.diff(ends))
+                yield pd.DataFrame({"sid": names.view(np.int64)[each], "n": sizes.astype(np.int64)[each], "token": tokens})
 
         at, held = None, []
         for batch in batches:
@@ -181,8 +182,8 @@ def _ties(dealt: DataFrame, percent: int) -> DataFrame:
             yield from found()
 
     sorted_rows = dealt.repartition("bucket").sortWithinPartitions("bucket")
-    shared = sorted_rows.mapInPandas(run, "sid long, n long, tokens array<long>")
-    sets = shared.groupBy("sid").agg(F.max("n").alias("n"), F.flatten(F.collect_list("tokens")).alias("tokens"))  # n tokens at most
+    shared = sorted_rows.mapInPandas(run, "sid long, n long, token long")
+    sets = shared.groupBy("sid").agg(F.max("n").alias("n"), F.collect_list("token").alias("tokens"))  # n tokens at most
     # Shingles of no other set come first.
     left = (_prefix_length(F.col("n"), percent) - (F.col("n") - F.size("tokens"))).cast("int")
     reached = sets.withColumn("_left", left).filter("_left > 0")
