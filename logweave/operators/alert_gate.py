@@ -14,6 +14,13 @@ Contract per key, over its slots in order, with ``t`` the slot's newest match:
    the counter restarts and the window closes.
 
 While cooling the counter keeps growing until its window ends.
+
+A key's slots are folded by many tasks, a day each. What came before a day is unknown there, but
+after two kinds of slots it no longer matters: one that follows a gap of at least window and
+cooldown starts afresh, and one that holds the threshold by itself after a gap of at least the
+cooldown fires in any case. From the first such slot on a day is settled on its own. The slots
+before it wait for the three numbers of the last settled day; a run of days without any such
+slot is folded in one go.
 """
 
 from __future__ import annotations
@@ -21,9 +28,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import severity, text
+from ..session import stored
 from .alert_match import AlertRule, by_rule, matched_rows, satisfied_conditions
 
 # Fixed value: the longest a live evaluator holds a batch back.
@@ -31,19 +39,30 @@ SLOT_US = 500_000
 
 MINUTE_US = 60_000_000
 
-GATE_COLUMNS = ("gate_key", "slot", "t_us", "matches", "threshold", "window_us", "cooldown_us")
-FIRING_SCHEMA = "gate_key string, slot long, t_us long, matches long, accumulated long"
-
+# Length of the chunks that are folded apart.
+CHUNK_US = 24 * 60 * MINUTE_US
 
-def slots(matches: DataFrame, key: Column, slot_us: int = SLOT_US) -> DataFrame:
-    """Matches per key and slot with the slot's newest row (by timestamp, then id)."""
+GATE_COLUMNS = ("gate_key", "slot", "t_us", "matches", "threshold", "window_us", "cooldown_us")
+STATE = ("count", "window_end", "cooldown_end")
+# Kinds of rows: a firing, a slot whose state is not known yet, the state at the end of a chunk
+# (only its count if it is not known yet).
+FOLDED_SCHEMA = (
+    "gate_key string, chunk long, kind string, slot long, t_us long, matches long, accumulated long, "
+    "threshold long, window_us long, cooldown_us long, count long, window_end long, cooldown_end long"
+)
+_FOLDED = [c.split()[0] for c in FOLDED_SCHEMA.split(", ")]
+
+
+def slots(matches: DataFrame, key: Column, slot_us: int = SLOT_US, carry: list[str] | None = None) -> DataFrame:
+    """Matches and newest time per key and slot; ``carry`` names columns of the slot's newest row (by timestamp, then id)."""
+    newest = [F.max_by(F.struct(*carry), F.struct("timestamp", "id")).alias("newest")] if carry else []
     micros = F.unix_micros("timestamp")
     slot = F.floor(micros / F.lit(slot_us)).cast("long") if slot_us > 1 else micros
     return (
         matches.withColumn("gate_key", key)
         .withColumn("slot", slot)
         .groupBy("gate_key", "slot")
-        .agg(F.count("*").alias("matches"), F.max(micros).alias("t_us"))
+        .agg(F.count("*").alias("matches"), F.max(micros).alias("t_us"), *newest)
     )
 
 
@@ -73,26 +92,111 @@ def fold_step(state: list[int | None], t: int, n: int, threshold: int, window: i
     return 0
 
 
-def fold_frames(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Run the gate over slots sorted by (key, slot); state carries over from frame to frame."""
-    current, state = None, [0, None, None]
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=_FOLDED)
+    return frame.astype({c: "Int64" for c in _FOLDED if c not in ("gate_key", "kind")})
+
+
+def fold_chunks(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Run the gate over slots sorted by (key, chunk, slot), each chunk without knowledge of those before."""
+    current, state, previous, out = None, None, None, []
+
+    def end() -> None:
+        if current is not None:
+            out.append((*current, "open" if state is None else "exit", None, None, None, None, None, None, None, *(state or (None,) * 3)))
+
     for frame in frames:
-        rows = zip(*(frame[c].tolist() for c in GATE_COLUMNS))
-        hits: list[tuple] = []
-        for key, slot, t, n, threshold, window, cooldown in rows:
-            if key != current:
-                current, state = key, [0, None, None]
-            accumulated = fold_step(state, t, n, threshold, window, cooldown)
+        rows = zip(*(frame[c].tolist() for c in ("chunk", *GATE_COLUMNS)))
+        for chunk, key, slot, t, n, threshold, window, cooldown in rows:
+            if (key, chunk) != current:
+                end()
+                current, state, previous = (key, chunk), None, None
+            gap = None if previous is None else t - previous
+            if state is None and gap is not None and gap >= max(window, cooldown):
+                state = [0, None, None]
+            if state is None:
+                out.append((key, chunk, "head", slot, t, n, None, threshold, window, cooldown, None, None, None))
+                if n >= threshold and (cooldown == 0 or gap is not None and gap >= cooldown):
+                    state = [0, None, t + cooldown]
+            else:
+                accumulated = fold_step(state, t, n, threshold, window, cooldown)
+                if accumulated:
+                    out.append((key, chunk, "fire", slot, t, n, accumulated, threshold, window, cooldown, None, None, None))
+            previous = t
+        if len(out) > 50_000:
+            yield _frame(out)
+            out.clear()
+    end()
+    if out:
+        yield _frame(out)
+
+
+def fold_chains(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Fold slots that waited, sorted by (key, chain, slot) with the known state of a chain, if any, first."""
+    current, state, last, out = None, [0, None, None], None, []
+
+    def end() -> None:
+        if last is not None:  # the state at the end of a chunk that had none
+            out.append((*last, "exit", None, None, None, None, None, None, None, *state))
+
+    for frame in frames.__iter__():
+        frame = frame.astype(object).where(frame.notna(), None)
+        for row in frame.itertuples(index=False):
+            if (row.gate_key, row.chain) != current:
+                end()
+                current, state, last = (row.gate_key, row.chain), [0, None, None], None
+            if row.kind == "exit":
+                state = [row.count_, row.window_end, row.cooldown_end]
+                continue
+            if last is not None and last[1] != row.chunk:
+                end()
+            last = (row.gate_key, row.chunk) if row.open else None
+            accumulated = fold_step(state, row.t_us, row.matches, row.threshold, row.window_us, row.cooldown_us)
             if accumulated:
-                hits.append((key, slot, t, n, accumulated))
-        if hits:
-            yield pd.DataFrame(hits, columns=["gate_key", "slot", "t_us", "matches", "accumulated"])
+                out.append((row.gate_key, row.chunk, "fire", row.slot, row.t_us, row.matches, accumulated, row.threshold, row.window_us, row.cooldown_us, None, None, None))
+        if len(out) > 50_000:
+            yield _frame(out)
+            out.clear()
+    end()
+    if out:
+        yield _frame(out)
+
+
+def fold(gated: DataFrame, entry: DataFrame | None = None) -> DataFrame:
+    """Firings (kind ``fire``) and the state at the end of each day (kind ``exit``) of slots that carry :data:`GATE_COLUMNS`.
+
+    ``entry`` has states (gate_key, chunk and :data:`STATE`) at the end of earlier chunks, one per key at most.
+    """
+    chunked = gated.select(F.floor(F.col("t_us") / F.lit(CHUNK_US)).cast("long").alias("chunk"), *GATE_COLUMNS)
+    ordered = chunked.repartition("gate_key", "chunk").sortWithinPartitions("gate_key", "chunk", "slot")
+    # Small from here on: firings, waiting slots and a row for each key and day.
+    first = stored(ordered.mapInPandas(fold_chunks, FOLDED_SCHEMA), "gate")
+    ends = first.filter("kind IN ('exit', 'open')").select("gate_key", "chunk", "kind", *STATE)
+    if entry is not None:
+        ends = ends.unionByName(entry.select("gate_key", "chunk", F.lit("exit").alias("kind"), *STATE))
+    settled = F.when(F.col("kind") == "exit", F.col("chunk"))
+    before = Window.partitionBy("gate_key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chains = ends.select("gate_key", "chunk", (F.col("kind") == "open").alias("open"), F.last(settled, True).over(before).alias("chain"))
+    nothing = F.lit(None).cast("long")
+    heads = first.filter("kind = 'head'").join(chains, ["gate_key", "chunk"]).select(
+        "gate_key", "chain", "kind", "chunk", "open", "slot", "t_us", "matches", "threshold", "window_us", "cooldown_us",
+        *[nothing.alias(c) for c in ("count_", "window_end", "cooldown_end")],
+    )
+    known = ends.filter("kind = 'exit'").join(chains.filter("chain IS NOT NULL").select("gate_key", F.col("chain").alias("chunk")).distinct(), ["gate_key", "chunk"])
+    known = known.select(
+        "gate_key", F.col("chunk").alias("chain"), "kind", "chunk", F.lit(False).alias("open"),
+        *[nothing.alias(c) for c in ("slot", "t_us", "matches", "threshold", "window_us", "cooldown_us")],
+        F.col("count").alias("count_"), "window_end", "cooldown_end",
+    )
+    waiting = known.unionByName(heads).repartition("gate_key", "chain").sortWithinPartitions(
+        "gate_key", "chain", F.col("slot").asc_nulls_first()
+    )
+    return first.filter("kind IN ('fire', 'exit')").unionByName(waiting.mapInPandas(fold_chains, FOLDED_SCHEMA))
 
 
 def fire(gated: DataFrame) -> DataFrame:
     """Firings of slots that carry :data:`GATE_COLUMNS`."""
-    ordered = gated.select(*GATE_COLUMNS).repartition("gate_key").sortWithinPartitions("gate_key", "slot")
-    return ordered.mapInPandas(fold_frames, FIRING_SCHEMA)
+    return fold(gated).filter("kind = 'fire'").select("gate_key", "slot", "t_us", "matches", "accumulated")
 
 
 def threshold_firings(logs: DataFrame, rules: list[AlertRule], slot_us: int = SLOT_US) -> DataFrame:
@@ -114,22 +218,18 @@ def threshold_firings(logs: DataFrame, rules: list[AlertRule], slot_us: int = SL
 def firing_records(logs: DataFrame, rules: list[AlertRule], slot_us: int = SLOT_US) -> DataFrame:
     """Threshold firings with title, text, severity, the triggering row and the satisfied conditions.
 
-    The trigger is the newest row of the firing slot. Firings are few, so they are joined back
-    to the matching rows on (rule, timestamp).
+    The trigger is the newest row of the firing slot (of equal times the highest id). Slots carry it
+    from the start, so rows are read and matched once; firings pick theirs up by (rule, slot).
     """
     gated_rules = [r for r in rules if not r.fire_on_every_match and r.is_active]
-    fired = threshold_firings(logs, gated_rules, slot_us)
-    rows = matched_rows(logs, gated_rules)
-    trigger = rows.join(
-        fired.withColumnRenamed("fired_at", "timestamp"), ["rule_id", "timestamp"], "inner"
-    )
     snapshot = ["timestamp", "hostname", "fromhost_ip", "app_name", "severity", "message"]
+    carried = [*snapshot, "parsed_fields", "matched_parsers", "id"]
+    rows = matched_rows(logs, gated_rules).select("rule_id", *carried)
+    counted = stored(slots(rows, F.col("rule_id").cast("string"), slot_us, carried), "slots")
+    with_rule = counted.withColumn("rule_id", F.col("gate_key").cast("long"))
+    fired = fire(with_rule.withColumns(gate_settings(gated_rules))).select("gate_key", "slot", "accumulated")
     listed = by_rule(gated_rules, satisfied_conditions)
-    # Several matches can share the newest timestamp: the highest id is the trigger.
-    newest = trigger.groupBy("rule_id", "slot", "matches", "accumulated").agg(
-        F.max_by(F.struct(*snapshot, "parsed_fields", "matched_parsers", "id"), F.col("id")).alias("log")
-    )
-    flat = newest.select("rule_id", "slot", "matches", "accumulated", "log.*")
+    flat = with_rule.join(fired, ["gate_key", "slot"]).select("rule_id", "slot", "matches", "accumulated", "newest.*")
     minutes = by_rule(gated_rules, lambda r: F.lit(r.window_minutes))
     required = by_rule(gated_rules, lambda r: F.lit(max(r.threshold, 1)))
     reached = F.format_string(

@@ -21,6 +21,7 @@ from .rollups import SILENCE_APPLIES, SILENCE_RULES, SILENCE_VALUES
 _STREAM_RULES = named("Cisco IOS BGP", "MikroTik User Login", "SSHD Auth", "PAM Session", "Generic IP Extraction")
 _STREAM_FIELDS = sorted({f for r in _STREAM_RULES for f in r.field_names})
 _NOW = {"availableNow": True}
+_MIDDLE = "2024-01-16T00:00:00"
 
 
 def _line_stream(inp: Inputs) -> DataFrame:
@@ -75,7 +76,7 @@ def stream_ingest_sink(inp: Inputs) -> DataFrame:
 @query(
     "load_compact",
     over_lines(
-        """SELECT count(*) + count(*) FILTER (WHERE id % 3 < 2) AS n_rows, count(*) + count(*) FILTER (WHERE id % 3 < 2) AS n_ids FROM repaired""",
+        """SELECT 2 * count(*) AS n_rows, 2 * count(*) AS n_ids FROM repaired""",
         **CTES,
     ),
 )
@@ -85,43 +86,51 @@ def load_compact(inp: Inputs) -> DataFrame:
     for half in (0, 1):
         inp.lines().filter(F.col("id") % 2 == half).select("line").write.text(f"{base}/text-{half}")
         jobs.load(spark, f"{base}/text-{half}", f"{base}/logs", [], AS_OF, index_text=False)
-    for third in (0, 1):
-        lines = _line_stream(inp).filter(F.col("id") % 3 == third).drop("id")
-        runs.drain(stream_ingest.ingest_to_table(lines, f"{base}/landing-{third}", f"{base}/checkpoint-{third}", [], clock.at(AS_OF), _NOW))
-        jobs.compact_stream(spark, f"{base}/landing-{third}", f"{base}/logs", dt.date(9999, 1, 1))
+    for half in (0, 1):  # the same lines once more, on two streams
+        lines = _line_stream(inp).filter(F.col("id") % 2 == half).drop("id")
+        runs.drain(stream_ingest.ingest_to_table(lines, f"{base}/landing-{half}", f"{base}/checkpoint-{half}", [], clock.at(AS_OF), _NOW))
+        jobs.compact_stream(spark, f"{base}/landing-{half}", f"{base}/logs", dt.date(9999, 1, 1))
     return tables.read_logs(spark, f"{base}/logs").agg(F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"))
 
 
-_MARK = "(SELECT date_trunc('milliseconds', max(timestamp)) FROM logs)"
-
-
-@query(
-    "stream_timeline",
-    over_logs(
-        f"""SELECT date_trunc('hour', timestamp) AS hour, count(*) AS cnt FROM logs GROUP BY 1
-        HAVING date_trunc('hour', min(timestamp)) + INTERVAL 1 HOUR <= {_MARK} - INTERVAL 1 HOUR"""
-    ),
-)
+@query("stream_timeline", over_logs("SELECT date_trunc('hour', timestamp) AS hour, count(*) AS cnt FROM logs GROUP BY 1"))
 def stream_timeline(inp: Inputs) -> DataFrame:
-    return _appended(inp, aggregates.hourly_timeline(inp.stream_logs()), "stream-timeline")
+    base = work_dir(inp.spark, "stream-timeline")
+    runs.drain(aggregates.hourly_timeline(inp.stream_logs(), base, f"{base}/checkpoint", _NOW))
+    return aggregates.read_timeline(inp.spark, base)
 
 
 @query(
     "stream_log_rate",
     over_logs(
-        f"""SELECT make_timestamp(w * 1000000) AS window_start, count(*) AS events, count(*) / 10.0 AS per_second
-        FROM (SELECT unnest(range(epoch_us(timestamp) // 1000000 - 9, epoch_us(timestamp) // 1000000 + 1)) AS w FROM logs) AS s
-        WHERE make_timestamp((w + 10) * 1000000) <= {_MARK} - INTERVAL 10 SECOND GROUP BY w"""
+        """SELECT make_timestamp(w * 1000000) AS window_start, count(*) AS events, count(*) / 10.0 AS per_second
+        FROM (SELECT unnest(range(epoch_us(timestamp) // 1000000 - 9, epoch_us(timestamp) // 1000000 + 1)) AS w FROM logs) AS s GROUP BY w"""
     ),
 )
 def stream_log_rate(inp: Inputs) -> DataFrame:
-    return _appended(inp, aggregates.log_rate(inp.stream_logs()), "stream-rate")
+    base = work_dir(inp.spark, "stream-rate")
+    runs.drain(aggregates.log_rate(inp.stream_logs(), base, f"{base}/checkpoint", _NOW))
+    return aggregates.read_rate(inp.spark, base)
+
+
+def _halves(inp: Inputs, purpose: str, run) -> str:
+    """Let the newer half of the events arrive first and the older half in a second run; returns the folder.
+
+    Both halves land as files of their own; the second run resumes from the first one's checkpoint.
+    """
+    spark, base = inp.spark, work_dir(inp.spark, purpose)
+    events = inp.table("events")
+    older = F.col("ts") < F.lit(_MIDDLE).cast("timestamp_ntz")
+    for half in (~older, older):
+        events.filter(half).write.mode("append").parquet(f"{base}/landing")
+        run(zoned(log_columns(spark.readStream.schema(events.schema).parquet(f"{base}/landing"))), base)
+    return base
 
 
 @query(
     "stream_alert_threshold",
     gate_sql(
-        f"SELECT * FROM ({SLOTS}) AS every WHERE (slot + 1) * 500000 <= (SELECT epoch_us(date_trunc('milliseconds', max(timestamp))) FROM logs)",
+        SLOTS,
         SETTINGS,
         "SELECT rule_id, t_us, matches, CAST(acc AS BIGINT) AS accumulated FROM g WHERE fired",
         over_logs,
@@ -129,31 +138,40 @@ def stream_log_rate(inp: Inputs) -> DataFrame:
     ),
 )
 def stream_alert_threshold(inp: Inputs) -> DataFrame:
-    logs = parsing.parse(inp.stream_logs(), PARSERS)
-    with runs.keyed_state(inp.spark):
-        return _appended(inp, stream_alerts.threshold_alerts(logs, RULES), "stream-alerts")
+    """Firings after the older half of the rows has come last."""
 
+    def run(logs: DataFrame, base: str) -> None:
+        runs.drain(stream_alerts.threshold_alerts(parsing.parse(logs, PARSERS), RULES, base, f"{base}/checkpoint", _NOW))
 
-_LEVELS = "(VALUES ('warning', 1), ('error', 2), ('critical', 4)) AS lv(level, factor)"
+    return stream_alerts.read_firings(inp.spark, _halves(inp, "stream-alerts", run))
 
 
-@query(
-    "stream_device_silence",
-    over_logs(
-        f"""SELECT rule_id, fromhost_ip, at_us, event, last_us FROM (
-            SELECT rule_id, fromhost_ip, t_us + factor * minutes * 60000000 AS at_us, level AS event, t_us AS last_us FROM gaps, {_LEVELS}
-            WHERE t_us + factor * minutes * 60000000 <= CASE WHEN next_us IS NULL THEN wm - 500000 ELSE next_us END
-            UNION ALL SELECT rule_id, fromhost_ip, next_us, 'recovered', t_us FROM gaps WHERE next_us - t_us >= minutes * 60000000) AS e""",
-        slots="""SELECT * FROM (SELECT coalesce(fromhost_ip, '') AS fromhost_ip, epoch_us(timestamp) // 500000 AS slot, max(epoch_us(timestamp)) AS t_us,
-            (SELECT epoch_us(date_trunc('milliseconds', max(timestamp))) FROM logs) AS wm FROM logs GROUP BY 1, 2) AS s WHERE (slot + 1) * 500000 <= wm""",
-        gaps=f"""SELECT *, lead(t_us) OVER (PARTITION BY rule_id, fromhost_ip ORDER BY slot) AS next_us
-            FROM slots, {SILENCE_VALUES} WHERE fromhost_ip <> '' AND {SILENCE_APPLIES}
-            UNION ALL SELECT *, lead(t_us) OVER (ORDER BY slot) AS next_us FROM slots, {SILENCE_VALUES} WHERE fromhost_ip = '' AND rule_id = 1""",
-    ),
+_LEVELS = "(VALUES ('warning', 1), ('error', 2), ('critical', 4)) AS lv(level, factor)"
+_SILENCE_SQL = over_logs(
+    f"""SELECT rule_id, fromhost_ip, at_us, event, last_us FROM (
+        SELECT rule_id, fromhost_ip, t_us + factor * minutes * 60000000 AS at_us, level AS event, t_us AS last_us FROM gaps, {_LEVELS}
+        WHERE t_us + factor * minutes * 60000000 <= coalesce(next_us, newest)
+        UNION ALL SELECT rule_id, fromhost_ip, next_us, 'recovered', t_us FROM gaps WHERE next_us - t_us >= minutes * 60000000) AS e""",
+    seen="""SELECT DISTINCT coalesce(fromhost_ip, '') AS fromhost_ip, epoch_us(timestamp) AS t_us, (SELECT epoch_us(max(timestamp)) FROM logs) AS newest FROM logs""",
+    gaps=f"""SELECT *, lead(t_us) OVER (PARTITION BY rule_id, fromhost_ip ORDER BY t_us) AS next_us
+        FROM seen, {SILENCE_VALUES} WHERE fromhost_ip <> '' AND {SILENCE_APPLIES}
+        UNION ALL SELECT *, lead(t_us) OVER (ORDER BY t_us) AS next_us FROM seen, {SILENCE_VALUES} WHERE fromhost_ip = '' AND rule_id = 1""",
 )
+
+
+@query("stream_device_silence", _SILENCE_SQL)
 def stream_device_silence(inp: Inputs) -> DataFrame:
-    with runs.keyed_state(inp.spark):
-        return _appended(inp, stream_alerts.device_silence(inp.stream_logs(), SILENCE_RULES), "stream-silence")
+    """Events after the older half of the rows has come last."""
+
+    def run(logs: DataFrame, base: str) -> None:
+        runs.drain(stream_alerts.device_silence(logs, SILENCE_RULES, base, f"{base}/checkpoint", _NOW))
+
+    return stream_alerts.read_silence(inp.spark, _halves(inp, "stream-silence", run))
+
+
+@query("device_silence_events", _SILENCE_SQL)
+def device_silence_events(inp: Inputs) -> DataFrame:
+    return stream_alerts.silence_events(inp.logs(), SILENCE_RULES)
 
 
 def _counted(inp: Inputs, keys: list, names: list[str], purpose: str) -> DataFrame:
@@ -176,31 +194,26 @@ def stream_device_counts(inp: Inputs) -> DataFrame:
     return _counted(inp, [device, F.col("severity")], ["fromhost_ip", "severity"], "stream-devices")
 
 
-_MIDDLE = "2024-01-16T00:00:00"
-
-
 @query(
     "stream_late_data",
     over_logs(
-        f"""SELECT hour, CAST(sum(n) AS BIGINT) AS ingested, CAST(CASE WHEN hour >= TIMESTAMP '2024-01-16 00:00:00' AND hour + INTERVAL 1 HOUR <= {_MARK} - INTERVAL 1 HOUR
-            THEN sum(n) END AS BIGINT) AS in_timeline FROM (SELECT date_trunc('hour', timestamp) AS hour, count(*) AS n FROM logs GROUP BY 1) AS h GROUP BY hour"""
+        """SELECT hour, n AS ingested, n AS in_timeline, CASE WHEN hour < TIMESTAMP '2024-01-16 00:00:00' THEN n ELSE 0 END AS counted_late
+        FROM (SELECT date_trunc('hour', timestamp) AS hour, count(*) AS n FROM logs GROUP BY 1) AS h"""
     ),
 )
 def stream_late_data(inp: Inputs) -> DataFrame:
-    """The newer half of the rows arrives first. The older half is then late: ingest keeps it, the timeline drops it.
-
-    Both halves land as files of their own; the second run resumes from the first one's checkpoint.
-    """
-    spark, base = inp.spark, work_dir(inp.spark, "stream-late")
-    events = inp.table("events")
-    late = F.col("ts") < F.lit(_MIDDLE).cast("timestamp_ntz")
-    landing = f"{base}/landing"
-    for half in (~late, late):
-        events.filter(half).write.mode("append").parquet(landing)
-        logs = zoned(log_columns(spark.readStream.schema(events.schema).parquet(landing))).select("timestamp")
-        timeline = aggregates.hourly_timeline(logs)
-        runs.drain(runs.to_table(timeline, f"{base}/timeline", f"{base}/timeline-checkpoint"))
-        runs.drain(runs.to_table(logs, f"{base}/rows", f"{base}/rows-checkpoint"))
-    kept = runs.read_table(spark, f"{base}/rows", logs).groupBy(F.date_trunc("hour", "timestamp").alias("hour"))
-    counted = runs.read_table(spark, f"{base}/timeline", timeline).withColumnRenamed("cnt", "in_timeline")
-    return kept.agg(F.count("*").alias("ingested")).join(counted, "hour", "left")
+    """The newer half of the rows arrives first. The older half is then late: it is stored, counted and reported as late."""
+
+    def run(logs: DataFrame, base: str) -> None:
+        only = logs.select("timestamp")
+        runs.drain(aggregates.hourly_timeline(only, base, f"{base}/timeline-checkpoint", _NOW))
+        runs.drain(runs.to_table(only, f"{base}/rows", f"{base}/rows-checkpoint"))
+
+    base = _halves(inp, "stream-late", run)
+    rows = inp.spark.read.schema("timestamp timestamp").parquet(f"{base}/rows")
+    kept = rows.groupBy(F.date_trunc("hour", "timestamp").alias("hour")).agg(F.count("*").alias("ingested"))
+    counted = aggregates.read_timeline(inp.spark, base).withColumnRenamed("cnt", "in_timeline")
+    late = aggregates.read_changes(inp.spark, base).groupBy(F.col("window_start").alias("hour")).agg(
+        F.sum(F.when(F.col("late"), F.col("cnt") - F.col("was")).otherwise(0)).alias("counted_late")
+    )
+    return kept.join(counted, "hour", "left").join(late, "hour", "left")

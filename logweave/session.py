@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Cluster-wide settings that every job here relies on. Shuffle partition counts are left
 # to AQE: it starts from a high number and coalesces down to the advisory size.
@@ -24,8 +24,6 @@ RECOMMENDED_CONF = {
 
 _SHIPPED: set[str] = set()
 
-ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """A session with the recommended settings; ``conf`` entries win."""
@@ -86,3 +84,12 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
             _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="logweave-")
         base = _LOCAL_DIRS[app]
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write to the shared working folder and read back: computed once, whoever loses an executor."""
+    spark = df.sparkSession
+    ship_package(spark)
+    path = work_dir(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,4 +1,10 @@
-"""Running counts over a log stream."""
+"""Running counts over a log stream.
+
+Nothing here waits for a watermark, so no row is ever too late. Every micro-batch is counted on
+its own and stored as a small delta; totals are sums of deltas, complete at any time, with the
+windows that are still open among them. Beside them each batch writes what it changed: a new
+total for each window it touched, marked as late if the window had been closed by then.
+"""
 
 from __future__ import annotations
 
@@ -8,29 +14,76 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources import versions
+from . import runs
 
+RATE_SECONDS = 10
 
-def hourly_timeline(logs: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Rows per hour, emitted once the hour is older than the allowed delay; later rows are dropped."""
-    window = F.window("timestamp", "1 hour")
-    counted = logs.withWatermark("timestamp", delay).groupBy(window).agg(F.count("*").alias("cnt"))
-    return counted.select(F.col("window.start").alias("hour"), "cnt")
 
+def _windows(seconds: DataFrame, *kept: str) -> DataFrame:
+    """The sliding windows (``slot``: first second) that each second belongs to."""
+    first = F.sequence(F.col("slot") - (RATE_SECONDS - 1), F.col("slot"))
+    return seconds.select(F.explode(first).alias("slot"), *kept)
 
-def log_rate(logs: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """Rows per second over the last ten seconds, every second.
 
-    Rows are counted per second first, so each one enters a single state row instead of ten.
-    """
-    seconds = logs.withWatermark("timestamp", delay).groupBy(F.window("timestamp", "1 second")).agg(
-        F.count("*").alias("n")
-    )
-    sliding = seconds.groupBy(F.window("window", "10 seconds", "1 second")).agg(F.sum("n").alias("events"))
-    return sliding.select(
-        F.col("window.start").alias("window_start"),
-        "events",
-        (F.col("events") / F.lit(10.0)).alias("per_second"),
-    )
+def _revised(logs: DataFrame, seconds: int, sliding: bool, path: str, checkpoint: str, trigger: dict, delay_seconds: int) -> StreamingQuery:
+    spark = logs.sparkSession
+    length = RATE_SECONDS if sliding else seconds
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        slot = F.floor(F.unix_seconds("timestamp") / seconds).cast("long") * seconds
+        counted = batch.filter("timestamp IS NOT NULL").groupBy(slot.alias("slot")).agg(
+            F.count("*").alias("n"), F.max("timestamp").alias("newest")
+        )
+        delta = runs.put(counted, f"{path}/deltas", batch_id)
+        earlier = runs.until(spark, f"{path}/deltas", batch_id, counted)
+        added = _windows(delta, "n") if sliding else delta
+        added = added.groupBy("slot").agg(F.sum("n").alias("n"))
+        # Only seconds near the batch are read again.
+        edge = delta.agg(F.min("slot").alias("a"), F.max("slot").alias("b")).first()
+        low, high = (edge["a"] or 0) - length, (edge["b"] or 0) + length
+        near = earlier.filter(F.col("slot").between(low, high))
+        had = (_windows(near, "n") if sliding else near).groupBy("slot").agg(F.sum("n").alias("was"))
+        newest = earlier.agg(F.max("newest")).first()[0]
+        mark = F.unix_seconds(F.lit(newest)) - delay_seconds if newest else F.lit(None).cast("long")
+        runs.put(
+            added.join(had, "slot", "left").select(
+                "slot", (F.col("n") + F.coalesce("was", F.lit(0))).alias("cnt"), F.coalesce("was", F.lit(0)).alias("was"),
+                F.coalesce(F.col("slot") + length <= mark, F.lit(False)).alias("late"),
+            ),
+            f"{path}/changes",
+            batch_id,
+        )
+
+    return runs.each_batch(logs.select("timestamp"), write, checkpoint, trigger)
+
+
+def hourly_timeline(logs: DataFrame, path: str, checkpoint: str, trigger: dict, delay_seconds: int = 3600) -> StreamingQuery:
+    """Count rows per hour, late ones too. An hour counts as closed ``delay_seconds`` after its end."""
+    return _revised(logs, 3600, False, path, checkpoint, trigger, delay_seconds)
+
+
+def read_timeline(spark: SparkSession, path: str) -> DataFrame:
+    """(hour, cnt) of everything read so far."""
+    totals = spark.read.parquet(f"{path}/deltas").groupBy("slot").agg(F.sum("n").alias("cnt"))
+    return totals.select(F.timestamp_seconds("slot").alias("hour"), "cnt")
+
+
+def log_rate(logs: DataFrame, path: str, checkpoint: str, trigger: dict, delay_seconds: int = 10) -> StreamingQuery:
+    """Rows per second over ten seconds, every second. Rows are stored as one count per second and batch."""
+    return _revised(logs, 1, True, path, checkpoint, trigger, delay_seconds)
+
+
+def read_rate(spark: SparkSession, path: str) -> DataFrame:
+    """(window_start, events, per_second) of every window with rows."""
+    seconds = spark.read.parquet(f"{path}/deltas").groupBy("slot").agg(F.sum("n").alias("n"))
+    sliding = _windows(seconds, "n").groupBy("slot").agg(F.sum("n").alias("events"))
+    per_second = (F.col("events") / F.lit(float(RATE_SECONDS))).alias("per_second")
+    return sliding.select(F.timestamp_seconds("slot").alias("window_start"), "events", per_second)
+
+
+def read_changes(spark: SparkSession, path: str) -> DataFrame:
+    """What each batch made of the windows it touched: (window_start, cnt, was, late, batch)."""
+    return spark.read.parquet(f"{path}/changes").select(F.timestamp_seconds("slot").alias("window_start"), "cnt", "was", "late", "batch")
 
 
 def running_counts(logs: DataFrame, keys: Sequence[Column], path: str, checkpoint: str, trigger: dict) -> StreamingQuery:

@@ -1,153 +1,172 @@
-"""Alert gate and silence detection on a stream.
-
-Both reduce the stream to one row per key and event-time slot with a windowed count before
-any keyed state is touched: a key that receives a third of all rows still reaches its state
-as a few slot rows. Slots close when the watermark passes them, so the state sees them in
-order and the output equals the batch result.
+"""Alert gate and silence detection on a stream, with rows in any order.
+
+Both keep what they have seen as small tables in the shared folder, one folder per micro-batch:
+counts per rule and half second, sightings per device and minute. A row of any age changes its
+slot; what follows from that slot on is derived again, and the difference to what had been
+published goes out as retractions (``op`` -1) and additions (``op`` 1). Summed up, the output
+always equals the batch result over all rows read so far. A batch that is run again replaces its
+own folders and reads only those of earlier ones.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import alert_gate, silence
 from ..operators.alert_match import AlertRule, matched_rows
+from . import runs
 
-SLOT = "500 milliseconds"
+MINUTE_US = alert_gate.MINUTE_US
+FIRING = ("rule_id", "t_us", "matches", "accumulated")
+EVENT = ("rule_id", "fromhost_ip", "at_us", "event", "last_us")
+NO_FIRING = "gate_key string, slot long, t_us long, matches long, accumulated long, op int"
+NO_STATE = "gate_key string, chunk long, count long, window_end long, cooldown_end long"
+NO_EVENT = "rule_id long, fromhost_ip string, at_us long, event string, last_us long, op int"
 
 
-def _slots(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Matches and newest time per key and slot. ``rows`` already carry the watermark."""
-    return rows.groupBy(*keys, F.window("timestamp", SLOT)).agg(
-        F.count("*").alias("matches"), F.max(F.unix_micros("timestamp")).alias("t_us")
-    )
+def _empty(spark: SparkSession, schema: str) -> DataFrame:
+    return spark.createDataFrame([], schema)
 
 
-class GateProcessor(StatefulProcessor):
-    """Counter, window end and cooldown end per rule."""
+def net(changes: DataFrame, *columns: str) -> DataFrame:
+    """What additions and retractions leave."""
+    return changes.groupBy(*columns).agg(F.sum("op").alias("_op")).filter("_op > 0").select(*columns)
 
-    def __init__(self, settings: dict[int, tuple[int, int, int]]):
-        self._settings = settings
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._gate = handle.getValueState("gate", "count long, window_end long, cooldown_end long")
+def _difference(now: DataFrame, before: DataFrame, columns: list[str]) -> DataFrame:
+    """Additions and retractions that turn ``before`` into ``now``."""
+    both = now.select(*columns, F.lit(1).alias("op")).unionByName(before.select(*columns, F.lit(-1).alias("op")))
+    return both.groupBy(*columns).agg(F.sum("op").cast("int").alias("op")).filter("op <> 0")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        slots = pd.concat(rows).sort_values("t_us")
-        state = list(self._gate.get()) if self._gate.exists() else [0, None, None]
-        threshold, window, cooldown = self._settings[key[0]]
-        hits = []
-        for t, n in zip(slots["t_us"].tolist(), slots["matches"].tolist()):
-            accumulated = alert_gate.fold_step(state, t, n, threshold, window, cooldown)
-            if accumulated:
-                hits.append((key[0], t, n, accumulated))
-        self._gate.update(tuple(state))
-        if hits:
-            yield pd.DataFrame(hits, columns=["rule_id", "t_us", "matches", "accumulated"])
 
-    def close(self) -> None:
-        pass
+def threshold_alerts(logs: DataFrame, rules: list[AlertRule], path: str, checkpoint: str, trigger: dict) -> StreamingQuery:
+    """Evaluate the threshold rules as rows arrive; read the result with :func:`read_firings`.
 
-
-def threshold_alerts(logs: DataFrame, rules: list[AlertRule], delay: str = "0 seconds") -> DataFrame:
-    """Firings of the threshold rules: (rule_id, t_us, matches, accumulated)."""
+    State is kept by rule and day: the counts of its slots and the gate's three numbers at its end.
+    A batch replays each rule it has matches of from the first day it touches, starting with
+    the state at the end of the day before.
+    """
+    spark = logs.sparkSession
     gated = [r for r in rules if not r.fire_on_every_match and r.is_active]
-    settings = {
-        r.id: (max(r.threshold, 1), r.window_minutes * alert_gate.MINUTE_US, r.cooldown_minutes * alert_gate.MINUTE_US)
-        for r in gated
-    }
-    matches = matched_rows(logs.withWatermark("timestamp", delay), gated).select("rule_id", "timestamp")
-    slots = _slots(matches, ["rule_id"]).select("rule_id", "window", "matches", "t_us")
-    return slots.groupBy("rule_id").transformWithStateInPandas(
-        GateProcessor(settings),
-        outputStructType="rule_id long, t_us long, matches long, accumulated long",
-        outputMode="append",
-        timeMode="EventTime",
-    )
-
-
-class SilenceProcessor(StatefulProcessor):
-    """Last sighting and the silence level already reported, per rule and device."""
-
-    def __init__(self, slot_us: int):
-        self._slot_us = slot_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._seen = handle.getValueState("seen", "last_us long, level int, limit_us long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        slots = pd.concat(rows).sort_values("t_us")
-        last, level, limit = self._seen.get() if self._seen.exists() else (None, 0, None)
-        events: list[tuple] = []
-        for t, limit in zip(slots["t_us"].tolist(), slots["limit_us"].tolist()):
-            if last is not None and t > last:
-                level = self._reach(key, last, level, limit, t, events)
-                if level:
-                    events.append((*key, t, "recovered", last))
-            if last is None or t > last:
-                last, level = t, 0
-        level = self._reach(key, last, level, limit, self._closed_us(timerValues), events)
-        self._seen.update((last, level, limit))
-        self._schedule(last, level, limit)
-        yield from self._frame(events)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last, level, limit = self._seen.get()
-        events: list[tuple] = []
-        level = self._reach(key, last, level, limit, self._closed_us(timerValues), events)
-        self._seen.update((last, level, limit))
-        self._schedule(last, level, limit)
-        yield from self._frame(events)
-
-    def _closed_us(self, timerValues) -> int:
-        """Every slot that may hold a row up to this time has been seen."""
-        return timerValues.getCurrentWatermarkInMs() * 1000 - self._slot_us
-
-    def _reach(self, key, last: int, level: int, limit: int, now: int, events: list[tuple]) -> int:
-        """Report every level due by ``now`` that has not been reported yet."""
-        for position, (name, factor) in enumerate(silence.LEVELS, start=1):
-            if position > level and last + factor * limit <= now:
-                events.append((*key, last + factor * limit, name, last))
-                level = position
-        return level
-
-    def _schedule(self, last: int, level: int, limit: int) -> None:
-        """One timer for the next level, a slot late so that the slot holding a newer row closes first."""
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        if level < len(silence.LEVELS):
-            due = last + silence.LEVELS[level][1] * limit + self._slot_us
-            self._handle.registerTimer(-(-due // 1000))
-
-    @staticmethod
-    def _frame(events: list[tuple]) -> Iterator[pd.DataFrame]:
-        if events:
-            yield pd.DataFrame(events, columns=["rule_id", "fromhost_ip", "at_us", "event", "last_us"])
-
-    def close(self) -> None:
-        pass
-
-
-def device_silence(logs: DataFrame, rules: list[silence.SilenceRule], delay: str = "0 seconds") -> DataFrame:
-    """Silence levels and recoveries as they are reached: (rule_id, fromhost_ip, at_us, event, last_us)."""
-    marked = logs.withWatermark("timestamp", delay).withColumn("fromhost_ip", F.coalesce("fromhost_ip", F.lit("")))
-    # Slots first: rules are attached to the few slot rows, not to every log row.
-    slots = _slots(marked, ["fromhost_ip"])
-    watched = silence.applicable(slots, rules).select(
-        "rule_id",
-        "fromhost_ip",
-        "window",
-        "t_us",
-        (F.col("threshold_minutes").cast("long") * alert_gate.MINUTE_US).alias("limit_us"),
-    )
-    return watched.groupBy("rule_id", "fromhost_ip").transformWithStateInPandas(
-        SilenceProcessor(alert_gate.SLOT_US),
-        outputStructType="rule_id long, fromhost_ip string, at_us long, event string, last_us long",
-        outputMode="append",
-        timeMode="EventTime",
-    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        matches = matched_rows(batch, gated).select("rule_id", "timestamp")
+        day = F.floor(F.col("t_us") / F.lit(alert_gate.CHUNK_US)).cast("long")
+        counted = alert_gate.slots(matches, F.col("rule_id").cast("string")).withColumn("chunk", day)
+        delta = runs.put(counted, f"{path}/slots", batch_id, "chunk")
+        earlier = runs.until(spark, f"{path}/slots", batch_id, counted).drop("batch")
+        first = delta.groupBy("gate_key").agg(F.min("chunk").alias("first"))  # a row for each rule
+        touched = earlier.join(F.broadcast(first), "gate_key").filter("chunk >= first").drop("first")
+        whole = touched.unionByName(delta.select(*touched.columns)).groupBy("gate_key", "slot").agg(
+            F.sum("matches").alias("matches"), F.max("t_us").alias("t_us")
+        )
+        states = runs.until(spark, f"{path}/states", batch_id, _empty(spark, NO_STATE))
+        # Of a day the newest state counts, of a rule the last day before the first one touched.
+        newest = states.join(F.broadcast(first), "gate_key").filter("chunk < first")
+        entry = newest.groupBy("gate_key").agg(F.max_by(F.struct("chunk", *alert_gate.STATE), F.struct("chunk", "batch")).alias("s"))
+        with_rule = whole.withColumn("rule_id", F.col("gate_key").cast("long"))
+        settings = alert_gate.gate_settings(gated)
+        folded = runs.put(alert_gate.fold(with_rule.withColumns(settings), entry.select("gate_key", "s.*")), f"{path}/folded", batch_id)
+        runs.put(folded.filter("kind = 'exit'").select("gate_key", "chunk", *alert_gate.STATE), f"{path}/states", batch_id)
+        columns = ["gate_key", "slot", "t_us", "matches", "accumulated"]
+        published = runs.until(spark, f"{path}/firings", batch_id, _empty(spark, NO_FIRING))
+        same = published.join(F.broadcast(first), "gate_key").filter(F.floor(F.col("t_us") / F.lit(alert_gate.CHUNK_US)) >= F.col("first"))
+        runs.put(_difference(folded.filter("kind = 'fire'"), net(same, *columns), columns), f"{path}/firings", batch_id)
+
+    return runs.each_batch(logs, write, checkpoint, trigger)
+
+
+def read_firings(spark: SparkSession, path: str) -> DataFrame:
+    """Firings that stand: (rule_id, t_us, matches, accumulated)."""
+    changes = spark.read.parquet(f"{path}/firings").select(F.col("gate_key").cast("long").alias("rule_id"), "t_us", "matches", "accumulated", "op")
+    return net(changes, *FIRING)
+
+
+def _events(stretches: DataFrame, rules: list[silence.SilenceRule], now_us: int) -> DataFrame:
+    """Levels and recoveries of (fromhost_ip, last_us, next_us); ``next_us`` is null for the newest sighting."""
+    watched = silence.applicable(stretches, rules).withColumn("limit_us", F.col("threshold_minutes").cast("long") * MINUTE_US)
+    long_enough = watched.filter(F.coalesce("next_us", F.lit(now_us)) - F.col("last_us") >= F.col("limit_us"))
+    due = [
+        F.when(F.col("last_us") + factor * F.col("limit_us") <= F.coalesce("next_us", F.lit(now_us)),
+               F.struct((F.col("last_us") + factor * F.col("limit_us")).alias("at_us"), F.lit(name).alias("event")))
+        for name, factor in silence.LEVELS
+    ]
+    back = F.when(F.col("next_us").isNotNull(), F.struct(F.col("next_us").alias("at_us"), F.lit("recovered").alias("event")))
+    each = long_enough.withColumn("_e", F.explode(F.array_compact(F.array(*due, back))))
+    return each.select("rule_id", "fromhost_ip", "_e.at_us", "_e.event", "last_us")
+
+
+def _stretches(sightings: DataFrame) -> DataFrame:
+    """Each minute's last sighting with the next minute's first one, per device.
+
+    Rows within a minute cannot be a silence. Minutes are compared day by day; a day's last one is
+    followed by the first one of the next day with rows, so no task sorts more than a day of a device.
+    """
+    day = F.floor(F.col("minute") / 1440)
+    minutes = sightings.groupBy("fromhost_ip", "minute").agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us")).withColumn("day", day)
+    within = Window.partitionBy("fromhost_ip", "day").orderBy("minute")
+    days = minutes.groupBy("fromhost_ip", "day").agg(F.min("first_us").alias("day_first"))
+    after = days.select("fromhost_ip", "day", F.lead("day_first").over(Window.partitionBy("fromhost_ip").orderBy("day")).alias("after_us"))
+    following = minutes.withColumn("next_us", F.lead("first_us").over(within)).join(after, ["fromhost_ip", "day"])
+    return following.select("fromhost_ip", "last_us", F.coalesce("next_us", "after_us").alias("next_us"))
+
+
+def _sightings(logs: DataFrame) -> DataFrame:
+    us = F.unix_micros("timestamp")
+    device = F.coalesce("fromhost_ip", F.lit("")).alias("fromhost_ip")
+    minute = F.floor(us / F.lit(MINUTE_US)).cast("long").alias("minute")
+    return logs.filter("timestamp IS NOT NULL").groupBy(device, minute).agg(F.min(us).alias("first_us"), F.max(us).alias("last_us"))
+
+
+def silence_events(logs: DataFrame, rules: list[silence.SilenceRule]) -> DataFrame:
+    """The same over a table: silence levels and recoveries up to its newest row."""
+    seen = _sightings(logs)
+    newest = seen.agg(F.max("last_us")).first()[0]
+    return _events(_stretches(seen), rules, newest or 0)
+
+
+def device_silence(logs: DataFrame, rules: list[silence.SilenceRule], path: str, checkpoint: str, trigger: dict) -> StreamingQuery:
+    """Silence levels and recoveries as they are reached; read the result with :func:`read_silence`.
+
+    Time is the newest row of all devices. A batch looks again at the devices it has rows of, from
+    the last sighting before its first row on, and at those that reach a level while time moves on. A
+    row that falls into a silence takes back what was reported of it.
+    """
+    spark = logs.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        counted = _sightings(batch)
+        delta = runs.put(counted, f"{path}/sightings", batch_id)
+        earlier = runs.until(spark, f"{path}/sightings", batch_id, counted).drop("batch")
+        was, comes = earlier.agg(F.max("last_us")).first()[0], delta.agg(F.max("last_us")).first()[0]
+        if comes is None and was is None:
+            return
+        now_us = max(x for x in (was, comes) if x is not None)
+        # Devices at rest that reach a level now: their silence began at their newest sighting.
+        newest = earlier.groupBy("fromhost_ip").agg(F.max("last_us").alias("from_us"))
+        limits = sorted({factor * r.minutes * MINUTE_US for r in rules for _, factor in silence.LEVELS})
+        reached = F.lit(False)
+        for limit in limits:
+            reached = reached | ((F.col("from_us") + limit > F.lit(was)) & (F.col("from_us") + limit <= now_us))
+        resting = newest.filter(reached) if was is not None else newest.limit(0)
+        started = delta.groupBy("fromhost_ip").agg(F.min("first_us").alias("began"))
+        # The newest sighting before the batch's first row; rows of its own minute may be on both sides.
+        before = earlier.join(started, "fromhost_ip").filter(F.col("last_us") < F.floor(F.col("began") / F.lit(MINUTE_US)) * MINUTE_US)
+        before = before.groupBy("fromhost_ip").agg(F.max("last_us").alias("prior"))
+        active = started.join(before, "fromhost_ip", "left").select(
+            "fromhost_ip", F.coalesce("prior", F.floor(F.col("began") / F.lit(MINUTE_US)) * MINUTE_US).alias("from_us")
+        )
+        again = active.unionByName(resting.select("fromhost_ip", "from_us")).groupBy("fromhost_ip").agg(F.min("from_us").alias("from_us"))
+        again = runs.put(again, f"{path}/again", batch_id)
+        part = earlier.unionByName(delta.select(*earlier.columns)).join(again, "fromhost_ip").filter("last_us >= from_us").drop("from_us")
+        published = runs.until(spark, f"{path}/events", batch_id, _empty(spark, NO_EVENT))
+        same = net(published.join(again, "fromhost_ip").filter("last_us >= from_us"), *EVENT)
+        runs.put(_difference(_events(_stretches(part), rules, now_us), same, list(EVENT)), f"{path}/events", batch_id)
+
+    return runs.each_batch(logs.select("fromhost_ip", "timestamp"), write, checkpoint, trigger)
+
+
+def read_silence(spark: SparkSession, path: str) -> DataFrame:
+    """Events that stand: (rule_id, fromhost_ip, at_us, event, last_us)."""
+    return net(spark.read.parquet(f"{path}/events"), *EVENT)

@@ -106,12 +106,71 @@ def test_gate_against_the_contract(spark):
         assert sorted(r["t"] // 1_000_000 for r in got if r["rule_id"] == rule.id) == wanted
 
 
-def test_fold_state_crosses_frames():
-    columns = list(alert_gate.GATE_COLUMNS)
-    rows = [("k", i, i * 10, 1, 3, 1000, 0) for i in range(6)]
-    whole = pd.concat(alert_gate.fold_frames([pd.DataFrame(rows, columns=columns)]))
-    split = pd.concat(alert_gate.fold_frames([pd.DataFrame([r], columns=columns) for r in rows]))
-    assert whole.values.tolist() == split.values.tolist() and whole["slot"].tolist() == [2, 5]
+def _folded(spark, slots, threshold, window, cooldown, entry=None):
+    rows = [("k", i, t, n, threshold, window, cooldown) for i, (t, n) in enumerate(slots)]
+    kinds = "gate_key string, slot long, t_us long, matches long, threshold long, window_us long, cooldown_us long"
+    return alert_gate.fold(spark.createDataFrame(rows, kinds), entry).collect()
+
+
+def _plain(slots, threshold, window, cooldown, state=None):
+    state, fired = state or [0, None, None], []
+    for t, n in slots:
+        accumulated = alert_gate.fold_step(state, t, n, threshold, window, cooldown)
+        if accumulated:
+            fired.append((t, n, accumulated))
+    return fired, state
+
+
+DAY = alert_gate.CHUNK_US
+HOUR = DAY // 24
+
+
+@pytest.mark.parametrize(
+    "seed, step, threshold, window, cooldown",
+    [(1, HOUR, 3, 5 * HOUR, 0), (2, HOUR, 4, 3 * HOUR, 9 * HOUR), (3, DAY, 2, 3 * DAY, DAY), (4, HOUR // 9, 40, 2 * HOUR, 60 * HOUR), (5, 3 * HOUR, 1, HOUR, 2 * HOUR), (6, HOUR, 9, 100 * DAY, 0)],
+)
+def test_days_folded_apart_equal_one_fold(spark, seed, step, threshold, window, cooldown):
+    rng = random.Random(seed)
+    slots, t = [], 5 * DAY + 17
+    for _ in range(700):
+        t += rng.choice([1, step // 7, step, step, 2 * step, 4 * step])
+        slots.append((t, rng.choice([1, 1, 2, 5])))
+    got = _folded(spark, slots, threshold, window, cooldown)
+    fired, state = _plain(slots, threshold, window, cooldown)
+    assert sorted((r["t_us"], r["matches"], r["accumulated"]) for r in got if r["kind"] == "fire") == fired and fired
+    ends = {r["chunk"]: [r["count"], r["window_end"], r["cooldown_end"]] for r in got if r["kind"] == "exit"}
+    assert set(ends) == {t // DAY for t, _ in slots} and len(ends) == sum(r["kind"] == "exit" for r in got)
+    # Going on from the state of any day gives the rest: what does not matter any more may differ.
+    middle = sorted(ends)[len(ends) // 2]
+    rest = [s for s in slots if s[0] // DAY > middle]
+    entry = spark.createDataFrame([("k", middle, *ends[middle])], "gate_key string, chunk long, count long, window_end long, cooldown_end long")
+    again = _folded(spark, rest, threshold, window, cooldown, entry)
+    assert sorted(r["t_us"] for r in again if r["kind"] == "fire") == [t for t, _, _ in fired if t // DAY > middle]
+
+
+def test_a_busy_rule_is_settled_day_by_day():
+    """A year of one rule: all but a few slots are decided where they are, without the days before."""
+    rng = random.Random(5)
+    seconds = sorted(rng.sample(range(365 * 86_400), 60_000))
+    columns = ["chunk", *alert_gate.GATE_COLUMNS]
+    rows = [(s // 86_400, "k", s * 2, s * 1_000_000, 1, 3, 20 * alert_gate.MINUTE_US, 30 * alert_gate.MINUTE_US) for s in seconds]
+    out = pd.concat(alert_gate.fold_chunks([pd.DataFrame(rows, columns=columns)]))
+    assert (out["kind"] == "exit").sum() > 355 and (out["kind"] == "head").sum() < len(rows) / 5
+
+
+def test_chunks_cross_frames():
+    columns = ["chunk", *alert_gate.GATE_COLUMNS]
+    rows = [(i // 20, "k", i, i * 10, 1, 3, 15, 0) for i in range(60)]
+    whole = pd.concat(alert_gate.fold_chunks([pd.DataFrame(rows, columns=columns)]))
+    split = pd.concat(alert_gate.fold_chunks([pd.DataFrame([r], columns=columns) for r in rows]))
+    assert whole.astype(str).values.tolist() == split.astype(str).values.tolist()
+
+
+def test_firings_match_rows_once(logs):
+    rule = AlertRule(1, "burst", threshold=2, window_minutes=5, cooldown_minutes=0)
+    records = alert_gate.firing_records(logs({}, {}, {}), [rule])
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "LocalRelation" not in plan  # only the stored slots are read
 
 
 def test_one_slot_counts_as_one_evaluation(logs):
