@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..functions import clock, search
 from ..operators import ingest, parsing, retention
-from ..sources import lines, tables, versions
+from ..sources import lines, snapshots, tables, versions
 from ..sources.library import Rule
 
 ROLLUP_GRAIN = ("hour", "fromhost_ip", "hostname", "severity", "via_relay")
@@ -24,7 +24,7 @@ def load(
     index_text: bool = True,
     load_id: str | None = None,
 ) -> DataFrame:
-    """Load raw line files into the log table; returns lines per outcome.
+    """Load raw line files into the log table as one committed piece; returns lines per outcome.
 
     One pass: lines are read, decoded and parsed once, and counted on the way. Rows wider than
     the usual limits are stored with the column's name in ``over_length``. ``index_text`` stores the
@@ -37,21 +37,23 @@ def load(
     if index_text:
         whole = search.message_text(F.col("message"), F.col("raw_message"))
         parsed = parsed.withColumn("search_line", search.stemmed_line(whole))
-    tables.write_logs(parsed, table_path)
+    snapshots.commit(spark, table_path, tables.add_piece(parsed, table_path, "load"))
     found = [(name, n) for name, n in counted.get.items() if name != "processed" and n]
     return spark.createDataFrame(found, "outcome string, lines long")
 
 
 def reparse_table(spark: SparkSession, table_path: str, rules: list[Rule], days: list[dt.date] | None = None) -> int:
-    """Parse unparsed rows of the table again and rewrite the day folders that change; returns how many.
+    """Parse unparsed rows of the table again and replace the days that change; returns how many.
 
-    Only days that hold unparsed rows a rule now matches are rewritten.
+    Only days that hold unparsed rows a rule now matches are written anew; other days and rows that
+    had fields stay as they are.
     """
+    base = snapshots.current(spark, table_path)
     logs = tables.read_logs(spark, table_path)
     if days:
         logs = logs.filter(F.col("log_date").isin(*days))
     hits = parsing.reparse(logs, rules).filter("updated").select("log_date").distinct()
-    changed = [r["log_date"] for r in hits.collect()]
+    changed = {r["log_date"] for r in hits.collect()}  # one row per day
     if not changed:
         return 0
     affected = logs.filter(F.col("log_date").isin(*changed))
@@ -63,30 +65,30 @@ def reparse_table(spark: SparkSession, table_path: str, rules: list[Rule], days:
             "matched_parsers": F.when(had, F.col("_oldp")).otherwise(F.col("matched_parsers")),
         }
     ).select(*logs.columns)
-    tables.write_logs(merged.drop("log_date"), table_path, mode="overwrite")
+    piece = tables.add_piece(merged, table_path, "reparse")
+    snapshots.commit(spark, table_path, piece, lambda e: e.log_date in changed, base)
     return len(changed)
 
 
 def compact_stream(spark: SparkSession, landing_path: str, table_path: str, before: dt.date) -> list[dt.date]:
     """Move finished days from the per-batch folders of stream ingest into the log table; returns the days.
 
-    Each day is rewritten as the union of the batches and the table's rows of other loads, and
-    only then do its batch folders go. A run that stops in between is repeated safely: rows of a
-    batch that is still there replace those it has left in the table.
+    The rows become a piece of the table, and only when that is committed do the batch folders go.
+    A run that stops in between is repeated safely: batches that the table already holds are not
+    added again.
     """
     landed = spark.read.parquet(landing_path).drop("batch").filter(F.col("log_date") < F.lit(before))
     # One row per day.
     days = sorted(r["log_date"] for r in landed.select("log_date").distinct().collect())
     if not days:
         return []
+    base = snapshots.current(spark, table_path)
     rows = landed
-    fs, where = versions.file_system(spark, table_path)
-    if fs.exists(where):
-        stored = tables.read_logs(spark, table_path).filter(F.col("log_date").isin(*days))
-        if "load_id" in stored.columns:
-            stored = stored.join(landed.select("load_id", "log_date").distinct(), ["load_id", "log_date"], "left_anti")
-        rows = landed.unionByName(stored, True)
-    tables.write_logs(rows.drop("log_date"), table_path, mode="overwrite")
+    held = [e for e in snapshots.entries(spark, table_path, base) if e.log_date in days] if base is not None else []
+    stored = snapshots.read(spark, table_path, held)
+    if "load_id" in stored.columns:
+        rows = landed.join(stored.select("load_id", "log_date").distinct(), ["load_id", "log_date"], "left_anti")
+    snapshots.commit(spark, table_path, tables.add_piece(rows, table_path, "stream"), base=base)
     fs, where = versions.file_system(spark, landing_path)
     for batch in fs.listStatus(where):
         if batch.getPath().getName().startswith("batch="):
@@ -106,35 +108,70 @@ def rollup_grain(logs: DataFrame) -> DataFrame:
     ).agg(F.count("*").alias("cnt"), F.max("timestamp").alias("last_seen"))
 
 
+# A day's roll-up is summed up again when it has come to consist of so many pieces.
+ROLLUP_PIECES = 16
+
+
 def refresh_rollups(spark: SparkSession, table_path: str, rollup_path: str, force: bool = False) -> list[dt.date]:
-    """Bring the roll-up up to date; returns the days rebuilt.
+    """Bring the roll-up up to date with the log table; returns the days that changed.
 
-    A day is rebuilt when its row count or newest timestamp differs from what the roll-up was
-    built from. Versions are recorded only after the roll-up is written, so a failed refresh
-    is repeated; ``force`` and retention start from nothing.
+    What was rolled up is kept as a list of (day, piece). Pieces that are new to a day are counted
+    and added, without a look at the others. A day that has lost a piece is counted anew, also if
+    the number of its rows is the same. The list is written after the roll-up, with a mark of
+    the roll-up's version, so a refresh that failed in between starts from what is there. Read with
+    :func:`read_rollup`.
     """
-    logs = tables.read_logs(spark, table_path)
+    now = {(e.log_date, e.piece): e for e in snapshots.entries(spark, table_path)}
     state_path = f"{rollup_path}_state"
-    current = logs.groupBy("log_date").agg(F.count("*").alias("rows"), F.unix_micros(F.max("timestamp")).alias("version"))
+    base = snapshots.current(spark, rollup_path)
     stored = None if force else versions.read(spark, state_path)
-    # One row per day of retention.
-    now = {r["log_date"]: (r["rows"], r["version"]) for r in current.collect()}
-    then = {r["log_date"]: (r["rows"], r["version"]) for r in stored.collect()} if stored is not None else {}
-    stale = sorted(day for day, seen in now.items() if then.get(day) != seen)
-    gone = sorted(day for day in then if day not in now)
-    if stale:
-        rebuilt = rollup_grain(logs.filter(F.col("log_date").isin(*stale)))
-        (
-            rebuilt.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("log_date")
-            .parquet(rollup_path)
-        )
-    drop_days(spark, rollup_path, gone)
-    if stale or gone or stored is None:
-        state = spark.createDataFrame([(d, n, v) for d, (n, v) in now.items()], "log_date date, rows long, version long")
-        versions.write(state, state_path)
-    return stale
+    # One row per day and piece.
+    seen = [tuple(r) for r in stored.select("log_date", "piece", "version").collect()] if stored is not None else []
+    if any(v != base for _, _, v in seen):  # the roll-up has moved on without its list
+        seen = []
+    then = {(day, piece) for day, piece, _ in seen}
+    before = {day for day, _ in then}
+    lost = {day for day, piece in then if (day, piece) not in now}
+    fresh = {key for key in now if key not in then}
+    anew = {day for day, _ in fresh if day not in before} | {day for day in lost if any(d == day for d, _ in now)}
+    gone = (before if seen else {e.log_date for e in snapshots.entries(spark, rollup_path, base)} if base is not None else set()) - {d for d, _ in now}
+    wanted = [e for key, e in now.items() if key in fresh or e.log_date in anew]
+    changed = sorted({e.log_date for e in wanted}, key=str)
+    if not wanted and not gone and seen:
+        return []
+    if not wanted and not gone and not now:
+        return []
+    add = []
+    if wanted:
+        piece = snapshots.new_piece("rollup")
+        rollup_grain(snapshots.read(spark, table_path, wanted)).write.partitionBy("log_date").parquet(snapshots.piece_path(rollup_path, piece))
+        add = snapshots.written(spark, rollup_path, piece)
+    version = snapshots.commit(spark, rollup_path, add, lambda e: e.log_date in anew or e.log_date in gone, base)
+    version = _merge_pieces(spark, rollup_path, version)
+    rows = [(day, piece, version) for day, piece in now]
+    versions.write(spark.createDataFrame(rows, "log_date date, piece string, version int"), state_path)
+    return changed
+
+
+def _merge_pieces(spark: SparkSession, rollup_path: str, version: int) -> int:
+    """Sum up days of many pieces; returns the version."""
+    held = snapshots.entries(spark, rollup_path, version)
+    many = {e.log_date for e in held if sum(x.log_date == e.log_date for x in held) > ROLLUP_PIECES}
+    if not many:
+        return version
+    piece = snapshots.new_piece("merged")
+    summed = _summed(snapshots.read(spark, rollup_path, [e for e in held if e.log_date in many]))
+    summed.write.partitionBy("log_date").parquet(snapshots.piece_path(rollup_path, piece))
+    return snapshots.commit(spark, rollup_path, snapshots.written(spark, rollup_path, piece), lambda e: e.log_date in many, version)
+
+
+def _summed(pieces: DataFrame) -> DataFrame:
+    return pieces.groupBy("log_date", *ROLLUP_GRAIN).agg(F.sum("cnt").alias("cnt"), F.max("last_seen").alias("last_seen"))
+
+
+def read_rollup(spark: SparkSession, rollup_path: str) -> DataFrame:
+    """Counts at the grain of :func:`rollup_grain`, whatever pieces they were counted in."""
+    return _summed(snapshots.read(spark, rollup_path))
 
 
 def drop_days(spark: SparkSession, path: str, days: list[dt.date]) -> None:
@@ -145,19 +182,20 @@ def drop_days(spark: SparkSession, path: str, days: list[dt.date]) -> None:
 
 
 def apply_retention(spark: SparkSession, table_path: str, as_of: dt.datetime | str, days: int | None = None) -> dict:
-    """Drop expired day folders and rewrite the one the cutoff falls into."""
-    logs = tables.read_logs(spark, table_path)
+    """Drop expired days and replace the one the cutoff falls into; :func:`snapshots.vacuum` frees the space."""
+    base = snapshots.current(spark, table_path)
+    held = snapshots.entries(spark, table_path, base)
     limit = retention.cutoff(as_of, days)
-    # Days present, from the partition column alone.
-    present = sorted(r["log_date"] for r in logs.select("log_date").distinct().collect())
-    expired = [d for d in present if d < limit.date()]
-    straddles = limit.time() != dt.time(0) and limit.date() in present
-    if straddles:
-        rest = logs.filter(F.col("log_date") == limit.date()).filter(F.col("timestamp") >= clock.at(limit))
-        if rest.limit(1).count():
-            tables.write_logs(rest.drop("log_date"), table_path, mode="overwrite")
-        else:
+    present = {e.log_date for e in held if e.log_date}
+    expired = sorted(d for d in present if d < limit.date())
+    straddling = [e for e in held if e.log_date == limit.date()] if limit.time() != dt.time(0) else []
+    rest = []
+    if straddling:
+        kept = snapshots.read(spark, table_path, straddling).filter(F.col("timestamp") >= clock.at(limit))
+        rest = tables.add_piece(kept, table_path, "retained")
+        if not rest:
             expired.append(limit.date())
-            straddles = False
-    drop_days(spark, table_path, expired)
-    return {"dropped": expired, "rewritten": [limit.date()] if straddles else []}
+    replaced = {*expired, *(e.log_date for e in straddling)}
+    if replaced:
+        snapshots.commit(spark, table_path, rest, lambda e: e.log_date in replaced, base)
+    return {"dropped": expired, "rewritten": [limit.date()] if rest else []}

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import parsing
+from ..session import ship_package
 from ..sources.library import Rule, builtin_rules
 from .inputs import LINES_SQL, LOGS_SQL, Inputs, plain
 
@@ -16,6 +17,7 @@ ORACLE: dict[str, str] = {}
 
 def register(name: str, build: Callable[[Inputs], DataFrame], sql: str | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
         return plain(build(Inputs(spark, sf_dir)))
 
     run.__name__ = name

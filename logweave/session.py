@@ -45,7 +45,8 @@ def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once per session.
 
     Functions that run there are pickled by reference, so they need the package wherever the
-    program was started. Not needed where the package is installed on all machines.
+    program was started and whoever made the session. Not needed where the package is installed
+    on all machines.
     """
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
@@ -75,6 +76,7 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     Lives under ``spark.checkpoint.dir`` so that it survives the loss of executors. Only a
     local master, where no such setting exists, falls back to a temporary folder.
     """
+    ship_package(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):
@@ -89,7 +91,6 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write to the shared working folder and read back: computed once, whoever loses an executor."""
     spark = df.sparkSession
-    ship_package(spark)
     path = work_dir(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import clock
+from . import snapshots
 
 
 def with_log_date(logs: DataFrame) -> DataFrame:
@@ -34,8 +35,16 @@ def write_logs(logs: DataFrame, path: str, mode: str = "append", files_per_day:
     )
 
 
+def add_piece(logs: DataFrame, path: str, kind: str) -> list[snapshots.Entry]:
+    """Write rows as a piece of the table at ``path``; they count once the entries are committed."""
+    piece = snapshots.new_piece(kind)
+    write_logs(logs.drop("log_date"), snapshots.piece_path(path, piece), mode="overwrite")
+    return snapshots.written(logs.sparkSession, path, piece)
+
+
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The newest committed version, or plain day folders where nothing is ever committed."""
+    return spark.read.parquet(path) if snapshots.current(spark, path) is None else snapshots.read(spark, path)
 
 
 def day_bounds(columns: list[str], start: dt.datetime | str | None, end: dt.datetime | str | None) -> list[Column]:

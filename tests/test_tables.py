@@ -9,7 +9,7 @@ from logweave.functions import clock
 from logweave.operators import devices, export, filters, paging, rollups, saved_query, timeline
 from logweave.operators.filters import FieldFilter, LogFilter
 from logweave.plans import jobs
-from logweave.sources import tables, versions
+from logweave.sources import snapshots, tables, versions
 from logweave.sources.library import Rule, builtin_rules
 
 START = dt.datetime(2024, 3, 1, tzinfo=dt.timezone.utc)
@@ -194,7 +194,7 @@ def test_load_reparse_rollup_retention(spark, tmp_path):
     (Path(source) / "a.log").unlink()
     jobs.load(spark, source, table, [rule], as_of)
     assert jobs.refresh_rollups(spark, table, rollup) == [dt.date(2024, 3, 2)]
-    assert spark.read.parquet(rollup).agg(F.sum("cnt")).first()[0] == tables.read_logs(spark, table).count() == 18
+    assert jobs.read_rollup(spark, rollup).agg(F.sum("cnt")).first()[0] == tables.read_logs(spark, table).count() == 18
 
     done = jobs.apply_retention(spark, table, "2024-03-04T02:00:00", 2)
     assert done == {"dropped": [dt.date(2024, 3, 1)], "rewritten": [dt.date(2024, 3, 2)]}
@@ -202,7 +202,80 @@ def test_load_reparse_rollup_retention(spark, tmp_path):
     assert left.filter(F.col("timestamp") < clock.at("2024-03-02T02:00:00")).count() == 0
     assert left.count() == 18 - 4 - 4
     assert jobs.refresh_rollups(spark, table, rollup) == [dt.date(2024, 3, 2)]
-    assert spark.read.parquet(rollup).agg(F.sum("cnt")).first()[0] == 10
+    assert jobs.read_rollup(spark, rollup).agg(F.sum("cnt")).first()[0] == 10
+
+
+def _loaded(spark, tmp_path, *days):
+    source, table = tmp_path / f"in-{'-'.join(map(str, days))}", str(tmp_path / "logs")
+    source.mkdir(exist_ok=True)
+    (source / "a.log").write_text(lines_for(days))
+    jobs.load(spark, str(source), table, [], "2024-03-09T00:00:00", index_text=False)
+    return table
+
+
+def _spoil(table, piece):
+    """Make the files of a piece unreadable."""
+    for file in (Path(table) / "data" / f"piece={piece}").rglob("*.parquet"):
+        file.write_bytes(b"not parquet")
+        (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+
+
+def test_refresh_reads_new_pieces_only(spark, tmp_path):
+    table, rollup = _loaded(spark, tmp_path, 1, 2), str(tmp_path / "rollup")
+    assert len(jobs.refresh_rollups(spark, table, rollup)) == 2
+    old = {e.piece for e in snapshots.entries(spark, table)}
+    _loaded(spark, tmp_path, 2, 3)
+    for piece in old:
+        _spoil(table, piece)
+    assert jobs.refresh_rollups(spark, table, rollup) == [dt.date(2024, 3, 2), dt.date(2024, 3, 3)]
+    per_day = {r["log_date"].day: r["n"] for r in jobs.read_rollup(spark, rollup).groupBy("log_date").agg(F.sum("cnt").alias("n")).collect()}
+    assert per_day == {1: 4, 2: 8, 3: 4}
+    assert jobs.refresh_rollups(spark, table, rollup) == []
+
+
+def test_equal_counts_of_other_rows_are_seen(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "ROLLUP_PIECES", 3)
+    table, rollup = _loaded(spark, tmp_path, 1, 2), str(tmp_path / "rollup")
+    jobs.refresh_rollups(spark, table, rollup)
+    other = tables.read_logs(spark, table).filter("log_date = '2024-03-02'").withColumn("hostname", F.lit("other"))
+    snapshots.commit(spark, table, tables.add_piece(other, table, "other"), lambda e: e.log_date.day == 2)
+    assert jobs.refresh_rollups(spark, table, rollup) == [dt.date(2024, 3, 2)]
+    hosts = {r["hostname"] for r in jobs.read_rollup(spark, rollup).filter("log_date = '2024-03-02'").collect()}
+    assert hosts == {"other"}
+    snapshots.commit(spark, table, [], lambda e: e.log_date.day == 1)
+    assert jobs.refresh_rollups(spark, table, rollup) == []
+    assert jobs.read_rollup(spark, rollup).agg(F.sum("cnt")).first()[0] == 4
+    for _ in range(jobs.ROLLUP_PIECES + 1):
+        snapshots.commit(spark, table, tables.add_piece(other, table, "more"))
+        jobs.refresh_rollups(spark, table, rollup)
+    assert len(snapshots.entries(spark, rollup)) <= jobs.ROLLUP_PIECES
+    assert jobs.read_rollup(spark, rollup).agg(F.sum("cnt")).first()[0] == 4 * (jobs.ROLLUP_PIECES + 2)
+    assert jobs.refresh_rollups(spark, table, rollup, force=True) == [dt.date(2024, 3, 2)]
+    assert jobs.read_rollup(spark, rollup).agg(F.sum("cnt")).first()[0] == 4 * (jobs.ROLLUP_PIECES + 2)
+
+
+def test_a_failure_before_the_switch_loses_nothing(spark, tmp_path, monkeypatch):
+    table = _loaded(spark, tmp_path, 1, 2)
+    rule = Rule(1, "k", "all", None, r"k=(\d) day [12]", (("k", "K", "string"),))
+    want = sorted(map(str, tables.read_logs(spark, table).collect()))
+
+    def fail(*_, **__):
+        raise OSError("lost before the commit")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(jobs.snapshots, "commit", fail)
+        for job in (lambda: jobs.reparse_table(spark, table, [rule]), lambda: jobs.apply_retention(spark, table, "2024-03-04T02:00:00", 2), lambda: _loaded(spark, tmp_path, 3)):
+            with pytest.raises(OSError):
+                job()
+    assert sorted(map(str, tables.read_logs(spark, table).collect())) == want
+    old = snapshots.entries(spark, table)
+    assert len(snapshots.vacuum(spark, table)) == 3
+    base = snapshots.current(spark, table)
+    assert jobs.reparse_table(spark, table, [rule]) == 2
+    assert sorted(map(str, snapshots.read(spark, table, old).collect())) == want  # readers of the old version go on
+    with pytest.raises(RuntimeError):
+        snapshots.commit(spark, table, [], base=base)
+    assert len(snapshots.vacuum(spark, table)) == 1 and tables.read_logs(spark, table).filter("size(matched_parsers) = 1").count() == 8
 
 
 def test_versions(spark, tmp_path):
