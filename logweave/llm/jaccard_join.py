@@ -31,8 +31,8 @@ from .components import components
 BLOCK_SHINGLES = 250_000
 FETCH_BYTES = 4 << 20
 # Text for each bucket of shingles, and shingles that a task deals out at once.
-BUCKET_BYTES = 8 << 20
-DEAL_SHINGLES = 1 << 20
+BUCKET_BYTES = 4 << 20
+DEAL_SHINGLES = 1 << 19
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
