@@ -31,7 +31,7 @@ from .components import components
 BLOCK_SHINGLES = 250_000
 FETCH_BYTES = 4 << 20
 # Text for each bucket of shingles, and shingles that a task deals out at once.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 8 << 20
 DEAL_SHINGLES = 1 << 19
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -70,42 +70,48 @@ class Shingler:
 
 
 def deal(sets: list[tuple[int, np.ndarray]], buckets: int) -> Iterator[tuple]:
-    """Shingles of (name, shingles) by bucket: bucket, names, sizes, shingles of each name, the shingles as 32 bits.
+    """Shingles of (name, shingles) by bucket: bucket, names, shingles of each name (as bytes if they are few), the shingles as 32 bits.
 
     Two shingles of a bucket may get the same 32 bits. They then count as one shingle, for every
     set alike, which can only bring sets together that need not meet.
     """
     names = np.array([name for name, _ in sets], np.uint64)
-    sizes = np.array([len(s) for _, s in sets], np.uint32)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for _, s in sets])
     h = _mix(np.concatenate([s for _, s in sets]) ^ _A)
     bucket = (h >> np.uint64(32)) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
-    bucket, token, owner = bucket[order], (h[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.repeat(np.arange(len(sets)), sizes)[order]
+    bucket, token, owner = bucket[order], (h[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), owner[order]
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
         own = owner[a:b]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        counts = np.diff(np.append(first, b - a)).astype(np.uint32)
-        yield int(bucket[a]), names[own[first]].tobytes(), sizes[own[first]].tobytes(), counts.tobytes(), token[a:b].tobytes()
+        counts = np.diff(np.append(first, b - a))
+        yield int(bucket[a]), names[own[first]].tobytes(), counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes(), token[a:b].tobytes()
 
 
-def shared_tokens(bucket: int, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the rows dealt to a bucket: names, sizes, ends and tokens of the shingles that several sets hold.
+def shared_tokens(bucket: int, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows dealt to a bucket: names and tokens of the shingles that several sets hold.
 
     A token orders shingles from rare to common: its upper bits are the number of sets (65,535 at most).
     """
-    names, sizes, counts, tokens = (np.concatenate([np.frombuffer(r[i], kind) for r in rows]) for i, kind in enumerate((np.uint64, np.uint32, np.uint32, np.uint32)))
+    names = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows])
+    counts = np.concatenate([np.frombuffer(r[1], np.uint8 if len(r[1]) * 8 == len(r[0]) else np.uint32).astype(np.int64) for r in rows])
+    tokens = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows])
     once = np.zeros(len(names), bool)
     once[np.unique(names, return_index=True)[1]] = True  # several tasks may have given a set
-    owner = np.repeat(np.arange(len(names)), counts)
-    owner, tokens = owner[once[owner]], tokens[once[owner]]
-    _, inverse, held = np.unique(tokens, return_inverse=True, return_counts=True)
-    held = held[inverse]
-    owner, tokens, held = owner[held > 1], tokens[held > 1], held[held > 1]
-    place = _mix((np.uint64(bucket) << np.uint64(32)) ^ tokens.astype(np.uint64)) >> np.uint64(17)
+    owner = np.repeat(np.arange(len(names), dtype=np.int32), counts)
+    mine = once[owner]
+    owner, tokens = owner[mine], tokens[mine]
+    order = np.argsort(tokens, kind="stable")
+    edges = np.flatnonzero(np.diff(tokens[order], prepend=np.uint32(0)) != 0)
+    edges = np.unique(np.concatenate([[0], edges, [len(order)]]))
+    runs = np.diff(edges)
+    several = np.repeat(runs > 1, runs)
+    held, order = np.repeat(runs[runs > 1], runs[runs > 1]), order[several]
+    place = _mix((np.uint64(bucket) << np.uint64(32)) ^ tokens[order].astype(np.uint64)) >> np.uint64(17)
     ordered = (np.minimum(held, 65_535).astype(np.uint64) << np.uint64(47)) | place
-    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-    return names[owner[first]], sizes[owner[first]], np.append(first, len(owner)), ordered.view(np.int64)
+    by_set = np.argsort(owner[order], kind="stable")
+    return names[owner[order][by_set]], ordered[by_set].view(np.int64)
 
 
 def _set_rows(docs: DataFrame, words: int, buckets: int) -> DataFrame:
@@ -114,7 +120,7 @@ def _set_rows(docs: DataFrame, words: int, buckets: int) -> DataFrame:
     A task deals out equal sets once, so a set with any number of copies counts as often as there are tasks.
     """
     kind = dict(docs.dtypes)["_doc"]
-    blobs = ["names", "sizes", "counts", "tokens"]
+    blobs = ["names", "counts", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, given, pending, held = Shingler(words), set(), [], 0
@@ -150,7 +156,7 @@ def _set_rows(docs: DataFrame, words: int, buckets: int) -> DataFrame:
         if pending:
             yield dealt()
 
-    schema = f"_doc {kind}, _th long, n_shingles long, sid long, bucket long, names binary, sizes binary, counts binary, tokens binary"
+    schema = f"_doc {kind}, _th long, n_shingles long, sid long, bucket long, names binary, counts binary, tokens binary"
     return docs.select("_doc", "_th", "_body").mapInArrow(run, schema)
 
 
@@ -160,15 +166,14 @@ def _prefix_length(n: Column, percent: int) -> Column:
     return n - F.ceil((n + low) * percent / (100 + percent)) + 1
 
 
-def _ties(dealt: DataFrame, percent: int) -> DataFrame:
-    """(sid, token) for each shingle in the prefix of a set that other sets hold too."""
+def _ties(dealt: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(sid, token) for each shingle in the prefix of a set that other sets hold too; ``sizes`` has sid and n."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found() -> Iterator[pd.DataFrame]:
-            names, sizes, ends, tokens = shared_tokens(at, held)
+            names, tokens = shared_tokens(at, held)
             if len(names):
-                each = np.repeat(np.arange(len(names)), np.diff(ends))
-                yield pd.DataFrame({"sid": names.view(np.int64)[each], "n": sizes.astype(np.int64)[each], "token": tokens})
+                yield pd.DataFrame({"sid": names.view(np.int64), "token": tokens})
 
         at, held = None, []
         for batch in batches:
@@ -182,8 +187,8 @@ def _ties(dealt: DataFrame, percent: int) -> DataFrame:
             yield from found()
 
     sorted_rows = dealt.repartition("bucket").sortWithinPartitions("bucket")
-    shared = sorted_rows.mapInPandas(run, "sid long, n long, token long")
-    sets = shared.groupBy("sid").agg(F.max("n").alias("n"), F.collect_list("token").alias("tokens"))  # n tokens at most
+    shared = sorted_rows.mapInPandas(run, "sid long, token long")
+    sets = shared.groupBy("sid").agg(F.collect_list("token").alias("tokens")).join(sizes, "sid")  # n tokens at most
     # Shingles of no other set come first.
     left = (_prefix_length(F.col("n"), percent) - (F.col("n") - F.size("tokens"))).cast("int")
     reached = sets.withColumn("_left", left).filter("_left > 0")
@@ -385,7 +390,8 @@ def join(docs: DataFrame, percent: int = 90, words: int = 3, id_col: str = "doc_
 
     # Groups are an over-estimate of the classes: every set with the least one that shares a prefix shingle.
     # Stored, so that both sides of the join are plain exchanges, which a hot shingle can be split in.
-    ties = stored(_ties(made.filter("bucket IS NOT NULL").select("bucket", "names", "sizes", "counts", "tokens"), percent), "ties")
+    sizes = rows.filter("n_shingles > 0").select("sid", F.col("n_shingles").alias("n")).distinct()
+    ties = stored(_ties(made.filter("bucket IS NOT NULL").select("bucket", "names", "counts", "tokens"), sizes, percent), "ties")
     heads = ties.groupBy("token").agg(F.min("sid").alias("head"), F.max("sid").alias("_last")).filter("head < _last")
     edges = ties.join(heads.select("token", "head"), "token").filter("sid <> head")
     edges = edges.select(F.col("sid").alias("u"), F.col("head").alias("v")).distinct()

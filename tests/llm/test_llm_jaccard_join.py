@@ -127,14 +127,15 @@ def test_prefixes_of_linked_sets_share_a_token(spark):
             sets.append(np.unique(np.concatenate([kept, own, passage[: rng.integers(0, 30)]])))
     named = [(i + 1, s) for i, s in enumerate(sets) if len(s)]
     dealt = [row for part in (named[::2], named[1::2], named[:50]) for row in jaccard_join.deal(part, 7)]
-    df = spark.createDataFrame([(b, *map(bytearray, rest)) for b, *rest in dealt], "bucket long, names binary, sizes binary, counts binary, tokens binary")
+    df = spark.createDataFrame([(b, *map(bytearray, rest)) for b, *rest in dealt], "bucket long, names binary, counts binary, tokens binary")
+    sizes = spark.createDataFrame([(i, len(s)) for i, s in named], "sid long, n long")
     holders = {}
     for s in sets:
         for x in s.tolist():
             holders[x] = holders.get(x, 0) + 1
     for percent in (50, 80, 90, 100):
         ties = {}
-        for r in jaccard_join._ties(df, percent).collect():
+        for r in jaccard_join._ties(df, sizes, percent).collect():
             ties.setdefault(r["sid"], set()).add(r["token"])
         met = 0
         for i, a in named:
