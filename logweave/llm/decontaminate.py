@@ -30,7 +30,7 @@ def words_of(body: bytes) -> list[bytes]:
 
 
 class Searcher:
-    """Benchmark items as word numbers, with all their suffixes."""
+    """Benchmark items as word numbers. A suffix is an item and a place in it: no suffix is held as text of its own."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.window = window
@@ -45,10 +45,9 @@ class Searcher:
         #: A match counts from this many words on: a window, or a whole shorter item.
         self.needed = [min(window, len(i)) for i in self.items]
         self.least = min(self.needed, default=0)
-        # The suffixes as keys: word numbers in byte order, so that bytes compare like words.
-        self.suffixes = sorted(
-            (self.key(item[at:]), i, at) for i, item in enumerate(self.items) for at in range(len(item) - self.needed[i] + 1)
-        )
+        # Word numbers in byte order, so that bytes compare like words.
+        self.raw = [self.key(item) for item in self.items]
+        self.key_words = max(KEY_WORDS, window)
 
     @staticmethod
     def key(ids: np.ndarray) -> bytes:
@@ -68,7 +67,7 @@ class Searcher:
         raw = stream.astype(">u4").tobytes()
         # Each suffix ends before the next unknown word, or after KEY_WORDS words.
         stops = np.flatnonzero(stream == 0)
-        until = np.minimum(stops[np.searchsorted(stops, starts)], starts + max(KEY_WORDS, self.window))
+        until = np.minimum(stops[np.searchsorted(stops, starts)], starts + self.key_words)
         order = sorted(zip((raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), until.tolist())), starts.tolist()))
         return [k for k, _ in order], [s for _, s in order], stream
 
@@ -77,21 +76,26 @@ class Searcher:
         keys, starts, stream = self.shard(texts)
         if not keys:
             return
-        for suffix, item, at in self.suffixes:
-            short = suffix[: 4 * self.needed[item]]
-            first = bisect_left(keys, short)
-            while first < len(keys) and keys[first].startswith(short):
-                # Neighbours in the array: as many words as the longest match in common with each.
-                key = keys[first]
-                same = self.needed[item]
-                while 4 * same < min(len(key), len(suffix)) and key[4 * same : 4 * same + 4] == suffix[4 * same : 4 * same + 4]:
-                    same += 1
-                if 4 * same == len(key):
-                    whole, begin = self.items[item], starts[first]
-                    while at + same < len(whole) and stream[begin + same] == whole[at + same]:
+        for item, (raw, whole, needed) in enumerate(zip(self.raw, self.items, self.needed)):
+            before: dict[int, int] = {}  # matches of the suffix one word longer, by start
+            for at in range(len(whole) - needed + 1):
+                found: dict[int, int] = {}
+                suffix = raw[4 * at : 4 * (at + self.key_words)]
+                short = suffix[: 4 * needed]
+                first = bisect_left(keys, short)
+                while first < len(keys) and keys[first].startswith(short):
+                    key, begin = keys[first], starts[first]
+                    # What the longer suffix matched from one word earlier is known to match.
+                    same = max(needed, before.get(begin - 1, 0) - 1)
+                    while 4 * same < min(len(key), len(suffix)) and key[4 * same : 4 * same + 4] == suffix[4 * same : 4 * same + 4]:
                         same += 1
-                yield starts[first], same, item, at
-                first += 1
+                    if 4 * same >= len(key):
+                        while at + same < len(whole) and stream[begin + same] == whole[at + same]:
+                            same += 1
+                    found[begin] = same
+                    yield begin, same, item, at
+                    first += 1
+                before = found
 
 
 def _search(searcher: Searcher, bodies: list[bytes]) -> list[tuple]:
@@ -149,9 +153,19 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int = BLOC
 FOUND = ["n_words", "n_hit", "items", "longest", "hit_starts", "hit_stops"]
 
 
+_built: list = []  # the items, the window and the searcher this worker made last
+
+
+def _searcher(items: list[tuple[str, bytes]], window: int) -> Searcher:
+    """One searcher for all tasks that a worker runs over the same block."""
+    if not (_built and _built[0] is items and _built[1] == window):
+        _built[:] = [items, window, Searcher(items, window)]
+    return _built[2]
+
+
 def _first_pass(sent, window: int):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        searcher = Searcher(sent.value, window)
+        searcher = _searcher(sent.value, window)
         for bodies in batches:
             yield pd.DataFrame(_search(searcher, list(bodies)), columns=FOUND)
 
@@ -160,7 +174,7 @@ def _first_pass(sent, window: int):
 
 def _further_pass(sent, window: int):
     def run(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
-        searcher = Searcher(sent.value, window)
+        searcher = _searcher(sent.value, window)
         for bodies, was in batches:
             now = pd.DataFrame(_search(searcher, list(bodies)), columns=FOUND)
             yield pd.DataFrame([_merge(a, b) for a, b in zip(was.itertuples(index=False), now.itertuples(index=False))], columns=FOUND)

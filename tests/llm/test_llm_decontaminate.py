@@ -65,3 +65,32 @@ def test_empty_tables(spark):
     assert decontaminate.mark(docs.limit(0), none).count() == 0
     bench = spark.createDataFrame([(1, "some text")], "item_id long, text string")
     assert decontaminate.remove_contaminated(docs, bench).count() == 0
+
+
+def test_long_items_hold_no_suffix_texts():
+    """A benchmark item of 100,000 words costs four bytes a word, and its matches are followed to their end."""
+    item = " ".join(f"w{i * 7919 % 50021}x{i % 13}" for i in range(100_000)).encode()
+    searcher = decontaminate.Searcher([("1", item)], 10)
+    assert sum(map(len, searcher.raw)) == 400_000 and not hasattr(searcher, "suffixes")
+    part = b" ".join(item.split(b" ")[500:60_500])
+    got = decontaminate._search(searcher, [b"q " + part + b" q", b"q"])
+    assert [(g[1], g[2], g[3]) for g in got] == [(60_000, ["1"], 60_000), (0, [], 0)]
+    assert decontaminate._searcher(["x"], 10) is not searcher
+
+
+def test_longest_match_beyond_the_keys_by_brute_force():
+    rng = random.Random(5)
+    items = [" ".join(rng.choice("abc") for _ in range(rng.choice([4, 90, 200]))) for _ in range(6)]
+    searcher = decontaminate.Searcher([(str(i), t.encode()) for i, t in enumerate(items)], 10)
+    texts = [" ".join([*"zz", *items[i].split()[3:], "z", *items[5].split()]) for i in range(5)]
+    got = decontaminate._search(searcher, [t.encode() for t in texts])
+    for text, found in zip(texts, got):
+        own, best = text.split(), 0
+        for item in (t.split() for t in items):
+            for a in range(len(own)):
+                for b in range(len(item)):
+                    n = 0
+                    while a + n < len(own) and b + n < len(item) and own[a + n] == item[b + n]:
+                        n += 1
+                    best = max(best, n if n >= min(10, len(item)) else 0)
+        assert found[3] == best
