@@ -75,7 +75,7 @@ def test_long_items_hold_no_suffix_texts():
     part = b" ".join(item.split(b" ")[500:60_500])
     got = decontaminate._search(searcher, [b"q " + part + b" q", b"q"])
     assert [(g[1], g[2], g[3]) for g in got] == [(60_000, ["1"], 60_000), (0, [], 0)]
-    assert decontaminate._searcher(["x"], 10) is not searcher
+    assert decontaminate._searcher([("2", b"q")], 10) is not searcher
 
 
 def test_longest_match_beyond_the_keys_by_brute_force():
