@@ -10,6 +10,7 @@ word by word in an Arrow UDF; tables that are searched often should store that l
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -49,6 +50,16 @@ def _stem_line(lines: pd.Series) -> pd.Series:
     return lines.map(one)
 
 
+@F.pandas_udf(T.StringType())
+def _stem_word(words: pd.Series) -> pd.Series:
+    return words.map(lambda w: None if w is None else stem(w))
+
+
+def stemmed_word(word: Column) -> Column:
+    """The stem of a single lower-case word; meant for distinct words."""
+    return _stem_word(word)
+
+
 def stemmed_line(text: Column) -> Column:
     """Token line with every word stemmed; stop words leave a gap that keeps positions."""
     return _stem_line(token_line(text))
@@ -96,16 +107,42 @@ def _term(line: Column, words: list[str], stemming: bool) -> Column:
 
 def matches(line: Column, query: str, stemming: bool) -> Column:
     """Predicate over a token line (stemmed or not). A query of stop words matches nothing."""
+    return _combined(query, lambda words: _term(line, words, stemming))
+
+
+def matches_forms(line: Column, query: str, forms: dict[str, list[str]]) -> Column:
+    """The stemmed search over an unstemmed token line, given all words of the rows that share a stem with the query."""
+
+    def term(words: list[str]) -> Column:
+        known = [None if w in STOP_WORDS else sorted(forms.get(stem(w), ())) for w in words]
+        if [] in known:
+            return F.lit(False)
+        body = " ".join(r"\S+" if k is None else "(?:" + "|".join(map(re.escape, k)) + ")" for k in known)
+        return line.rlike(f" {body} ")
+
+    return _combined(query, term)
+
+
+def _combined(query: str, term: Callable[[list[str]], Column]) -> Column:
     groups = parse_query(query)
     if not groups:
         return F.lit(False)
     clauses = []
     for group in groups:
-        terms = [~_term(line, words, stemming) if neg else _term(line, words, stemming) for neg, words in group]
+        terms = [~term(words) if neg else term(words) for neg, words in group]
         clauses.append(reduce(lambda a, b: a & b, terms))
     return reduce(lambda a, b: a | b, clauses)
 
 
+def needed_stems(query: str) -> list[tuple[list[str], list[str]]]:
+    """(stems a match has to have, all stems) of each OR-ed group."""
+    groups = []
+    for group in parse_query(query):
+        stems = [(neg, stem(w)) for neg, words in group for w in words if w not in STOP_WORDS]
+        groups.append((sorted({s for neg, s in stems if not neg}), sorted({s for _, s in stems})))
+    return groups
+
+
 def necessary_text(text: Column, query: str) -> Column | None:
     """A cheap test every stemmed match passes, evaluated before any row reaches Python.
 

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import filters, saved_query
 from ..operators.filters import FieldFilter, LogFilter, Scope
+from ..plans import lookup
+from ..session import work_dir
+from ..sources import snapshots, tables, term_index
 from .inputs import Inputs
 from .registry import LIBRARY, over_logs, owners, parsed_logs, parsed_sql, query, register
 
@@ -49,6 +52,23 @@ _logs_filter(
     f"list_has_any({_WORDS}, {_FORMS}) AND list_has_any({_WORDS}, {_LATE}) AND NOT list_has_any({_WORDS}, ['signup', 'signups', 'signuped'])",
 )
 
+
+
+@query(
+    "filter_search_indexed",
+    over_logs(
+        f"""SELECT {', '.join(_SHOWN)} FROM logs WHERE (list_has_any({_WORDS}, {_FORMS}) AND list_has_any({_WORDS}, {_LATE})
+        AND NOT list_has_any({_WORDS}, ['signup', 'signups', 'signuped'])) OR contains(array_to_string({_WORDS}, ' '), ' invalid user guest')"""
+    ),
+)
+def filter_search_indexed(inp: Inputs) -> DataFrame:
+    """The stored table, searched through the word lists of its files."""
+    path = work_dir(inp.spark, "searched")
+    snapshots.commit(inp.spark, path, tables.add_piece(inp.logs(), path, "load"))
+    term_index.refresh(inp.spark, path)
+    return lookup.search_table(inp.spark, path, LogFilter(search='connection timeouts -signup or "invalid users"')).select(*_SHOWN)
+
+
 _ALL = LIBRARY
 _parsed_filter("filter_has_fields", LogFilter(has_fields=True), [], "len(parsers) > 0", rules=_ALL)
 _NEEDED = ("Cisco IOS BGP", "SSHD Auth")

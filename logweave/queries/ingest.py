@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import clock
 from ..operators import ingest
+from ..session import work_dir
 from ..sources import library, syslog
 from .inputs import AS_OF, AS_OF_SQL, SYSLOG_SQL, Inputs
-from .registry import LIBRARY, library_sql, over_lines, over_logs, parsed_logs, parsed_sql, query
+from .registry import LIBRARY, library_sql, over_lines, over_logs, parsed_logs, parsed_sql, query, text
 
 _OK = "(json_valid(line) AND left(ltrim(line), 1) = '{')"
 DECODED = f"""SELECT id, line, CASE WHEN {_OK} THEN line ELSE '{{}}' END AS doc,
@@ -216,3 +217,32 @@ def parser_library(inp: Inputs) -> DataFrame:
         F.size("fields").cast("long").alias("n_fields"),
         F.coalesce("count", F.lit(0)).alias("matched_rows"),
     )
+
+
+@query(
+    "library_folder",
+    over_logs(
+        """SELECT l.parser_id AS id, l.name, l.description, l.labels, coalesce(c.n, 0) AS matched_rows, 'broken.json' AS broken_files
+        FROM rules l LEFT JOIN (SELECT p, count(*) AS n FROM (SELECT unnest(parsers) AS p FROM parsed) AS u GROUP BY p) c ON c.p = l.name""",
+        lib=library_sql(LIBRARY),
+        about="SELECT * FROM (VALUES " + ", ".join(f"({r.id}, {text(r.description)})" for r in LIBRARY) + ") AS v(about_id, description)",
+        rules="SELECT parser_id, any_value(parser_name) AS name, any_value(description) AS description, string_agg(field_label, ', ' ORDER BY pos) AS labels"
+        " FROM lib JOIN about ON about_id = parser_id GROUP BY parser_id",
+        parsed=parsed_sql(LIBRARY, []),
+    ),
+)
+def library_folder(inp: Inputs) -> DataFrame:
+    """Logs parsed by a library that is read from a folder of rule files, one of them broken."""
+    folder = work_dir(inp.spark, "rules")
+    library.write_files(inp.spark, folder, {**library.builtin_files(), "broken.json": '[{"name": "cut off'})
+    rules, errors = library.read_library(inp.spark, folder)
+    broken = ", ".join(r["file"] for r in errors.orderBy("file").collect())  # one row a file
+    used = parsed_logs(inp, library.collect_rules(rules)).select(F.explode("matched_parsers").alias("name")).groupBy("name").count()
+    return rules.join(used, "name", "left").select(
+        "id",
+        "name",
+        "description",
+        F.array_join(F.transform("fields", lambda f: f["label"]), ", ").alias("labels"),
+        F.coalesce("count", F.lit(0)).alias("matched_rows"),
+        F.lit(broken).alias("broken_files"),
+    )

@@ -49,6 +49,16 @@ def logs_by_hostname(inp: Inputs) -> DataFrame:
     return paging.page(inp.logs(), 100, sort="hostname", offset=50).select(*_NAMES, "has_more")
 
 
+@query("logs_by_severity_after", _page_sql(f"severity, {_NEWEST}", 100, f"severity > 'err' OR (severity = 'err' AND (timestamp, id) < ({_CURSOR_SQL}, 4800))"))
+def logs_by_severity_after(inp: Inputs) -> DataFrame:
+    return paging.page(inp.logs(), 100, sort="severity", after=("err", *_CURSOR)).select(*_NAMES, "has_more")
+
+
+@query("logs_page_deep", _page_sql(f"hostname, {_NEWEST}", 100, offset=5000))
+def logs_page_deep(inp: Inputs) -> DataFrame:
+    return paging.page(inp.logs(), 100, sort="hostname", offset=5000, deep=1000).select(*_NAMES, "has_more")
+
+
 @query(
     "logs_with_alias",
     over_logs(

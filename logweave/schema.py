@@ -23,6 +23,7 @@ RULE_LIBRARY = T.StructType(
         T.StructField("match_value", T.StringType()),
         T.StructField("regex", T.StringType()),
         T.StructField("fields", FIELDS),
+        T.StructField("description", T.StringType()),
     ]
 )
 

@@ -1,13 +1,50 @@
-"""Extraction-rule libraries: the built-in one and folders of JSON files."""
+"""Extraction-rule libraries: folders of JSON files, the built-in one among them.
+
+A file is an array of rules. A field without a label gets one from its name, one without a type is a string.
+The files in ``rules`` are fixed values: names, selectors, patterns (RE2 syntax), field names and labels
+belong to the stored data format and must not change. Ids follow file names, then positions.
+"""
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from importlib import resources
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import schema
-from .builtin_patterns import BUILTIN_RULES
+from . import versions
+
+# Words of field names that a label does not simply capitalise.
+LABEL_WORDS = {
+    "ap": "AP",
+    "dst": "Destination",
+    "id": "ID",
+    "iface": "Interface",
+    "ip": "IP",
+    "isp": "ISP",
+    "len": "Length",
+    "mac": "MAC",
+    "msg": "Message",
+    "newlogon": "New Logon",
+    "proto": "Protocol",
+    "rdp": "RDP",
+    "rssi": "RSSI",
+    "sid": "SID",
+    "sla": "SLA",
+    "src": "Source",
+    "ssid": "SSID",
+    "tty": "TTY",
+    "uid": "UID",
+    "unifi": "UniFi",
+    "utc": "UTC",
+    "utm": "UTM",
+    "ver": "Version",
+    "vlan": "VLAN",
+    "wan": "WAN",
+    "wifi": "WiFi",
+}
 
 
 @dataclass(frozen=True)
@@ -23,6 +60,7 @@ class Rule:
     device_type: str = "custom"
     enabled: bool = True
     is_builtin: bool = False
+    description: str = ""
 
     @property
     def field_names(self) -> list[str]:
@@ -30,27 +68,49 @@ class Rule:
 
 
 def label_for(name: str) -> str:
-    return name.replace("_", " ").title()
+    return " ".join(LABEL_WORDS.get(w, w.capitalize()) for w in name.split("_"))
+
+
+def label_column(name: Column) -> Column:
+    """:func:`label_for` as an expression."""
+    words = F.create_map(*[F.lit(x) for pair in LABEL_WORDS.items() for x in pair])
+    return F.array_join(F.transform(F.split(name, "_"), lambda w: F.coalesce(F.try_element_at(words, w), F.initcap(w))), " ")
+
+
+def builtin_files() -> dict[str, str]:
+    """The built-in library's files by name."""
+    folder = resources.files(__package__) / "rules"
+    return {f.name: f.read_text("utf-8") for f in sorted(folder.iterdir(), key=lambda f: f.name) if f.name.endswith(".json")}
 
 
 def builtin_rules() -> list[Rule]:
-    """The built-in library; ids follow list order."""
-    rules = []
-    for rule_id, (name, device_type, kind, value, regex, fields) in enumerate(BUILTIN_RULES, start=1):
-        parts = [f.partition(":") for f in fields.split()]
-        rules.append(
-            Rule(
-                id=rule_id,
-                name=name,
-                device_type=device_type,
-                match_type=kind,
-                match_value=value or None,
-                regex=regex,
-                fields=tuple((n, label_for(n), t or "string") for n, _, t in parts),
-                is_builtin=True,
-            )
+    """The built-in library."""
+    items = [item for content in builtin_files().values() for item in json.loads(content)]
+    return [
+        Rule(
+            id=rule_id,
+            name=item["name"],
+            device_type=item["device_type"],
+            match_type=item["match_type"],
+            match_value=item["match_value"] or None,
+            regex=item["regex"],
+            fields=tuple((f["name"], f.get("label") or label_for(f["name"]), f.get("type") or "string") for f in item["fields"]),
+            is_builtin=True,
+            description=item["description"],
         )
-    return rules
+        for rule_id, item in enumerate(items, start=1)
+    ]
+
+
+def write_files(spark: SparkSession, folder: str, files: dict[str, str]) -> None:
+    """Put rule files into a folder of any file system Spark knows."""
+    for name, content in files.items():
+        fs, where = versions.file_system(spark, f"{folder}/{name}")
+        out = fs.create(where, True)
+        try:
+            out.write(bytearray(content, "utf-8"))
+        finally:
+            out.close()
 
 
 def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
@@ -64,6 +124,7 @@ def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
             r.match_value,
             r.regex,
             [{"name": n, "label": l, "type": t} for n, l, t in r.fields],
+            r.description,
         )
         for r in rules
     ]
@@ -77,7 +138,7 @@ def read_library(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     reported and skipped; the others load.
     """
     files = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
-    item = "struct<name:string,device_type:string,match_type:string,match_value:string,regex:string,fields:%s>" % (
+    item = "struct<name:string,description:string,device_type:string,match_type:string,match_value:string,regex:string,fields:%s>" % (
         schema.FIELDS.simpleString()
     )
     parsed = files.select(
@@ -95,11 +156,21 @@ def read_library(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
         "r.match_type",
         F.nullif("r.match_value", F.lit("")).alias("match_value"),
         "r.regex",
-        F.coalesce("r.fields", F.array().cast(schema.FIELDS)).alias("fields"),
+        F.transform(F.coalesce("r.fields", F.array().cast(schema.FIELDS)), _completed).alias("fields"),
+        F.coalesce("r.description", F.lit("")).alias("description"),
     )
     return rules, errors
 
 
+def _completed(field: Column) -> Column:
+    given = lambda part: F.nullif(field[part], F.lit(""))
+    return F.struct(
+        field["name"].alias("name"),
+        F.coalesce(given("label"), label_column(field["name"])).alias("label"),
+        F.coalesce(given("type"), F.lit("string")).alias("type"),
+    )
+
+
 def collect_rules(library: DataFrame) -> list[Rule]:
     """Bring a rule table to the driver, where it becomes part of the plan."""
     has = set(library.columns)
@@ -114,6 +185,7 @@ def collect_rules(library: DataFrame) -> list[Rule]:
             fields=tuple((f["name"], f["label"], f["type"]) for f in r["fields"]),
             enabled=bool(r["enabled"]) if "enabled" in has else True,
             is_builtin=bool(r["is_builtin"]) if "is_builtin" in has else False,
+            description=(r["description"] or "") if "description" in has else "",
         )
         for r in library.orderBy("id").collect()
     ]

@@ -113,6 +113,18 @@ def test_lone_carriage_returns_and_open_tails(spark, tmp_path):
     whole = read()
     assert len(whole) == 5 and {"one\rtwo", "same", "x", "y"} < set(whole)
     assert len(read(whole_lines=False)) == 8
+    text = spark.read.option("lineSep", "\n").text(str(tmp_path))
+    by_blocks = lines._open_tails(spark, text, text.inputFiles())
+    assert sorted(by_blocks) == sorted(tuple(r) for r in lines._tails_by_sums(text, text.inputFiles()).collect())
+    assert sorted(size for _, size, _ in by_blocks) == [4, 9, 200_001]
+
+
+def test_tails_of_many_files_and_odd_names(spark, tmp_path):
+    folder = tmp_path / "with space é%20"
+    folder.mkdir()
+    for i in range(30):
+        (folder / f"f {i}.log").write_bytes(b"a\n" + (b"open" if i % 3 else b""))
+    assert sorted(r["line"] for r in lines.read_lines(spark, str(folder)).collect()) == ["a"] * 30
 
 
 @pytest.mark.parametrize(

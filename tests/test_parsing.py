@@ -149,6 +149,17 @@ def test_library_folder(spark, tmp_path):
     assert [r["file"] for r in errors.collect()] == ["c.json"]
 
 
+def test_builtin_library_as_a_folder(spark, tmp_path):
+    library.write_files(spark, str(tmp_path), library.builtin_files())
+    rules, errors = library.read_library(spark, str(tmp_path))
+    assert errors.count() == 0
+    plain = lambda r: (r.id, r.name, r.device_type, r.match_type, r.match_value, r.regex, r.fields, r.description)
+    assert [plain(r) for r in library.collect_rules(rules)] == [plain(r) for r in builtin_rules()]
+    labels = {(r.name, n): l for r in builtin_rules() for n, l, _ in r.fields}
+    assert labels["Cisco IOS Interface", "msec"] == "MSEC Code" and labels["PAM Session", "service"] == "PAM Service"
+    assert labels["FortiGate Traffic", "dst_ip"] == "Destination IP" and labels["Firewall Drop", "dst_ip"] == "Dest IP"
+
+
 def test_registry_queries(spark, logs):
     registry = library.field_registry(library.rules_frame(spark, builtin_rules()))
     assert registry.count() == 255

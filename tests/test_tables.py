@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from logweave.functions import clock
 from logweave.operators import devices, export, filters, paging, rollups, saved_query, timeline
 from logweave.operators.filters import FieldFilter, LogFilter
-from logweave.plans import jobs
-from logweave.sources import snapshots, tables, versions
+from logweave.plans import jobs, lookup
+from logweave.sources import snapshots, tables, term_index, versions
 from logweave.sources.library import Rule, builtin_rules
 
 START = dt.datetime(2024, 3, 1, tzinfo=dt.timezone.utc)
@@ -292,3 +292,66 @@ def test_alias_names(spark, logs):
     table = logs({"fromhost_ip": "1.1.1.1"}, {"hostname": "old-h"}, {"hostname": "x", "fromhost_ip": "2.2.2.2"}, {"hostname": "", "fromhost_ip": "3.3.3.3"}, {"hostname": "", "fromhost_ip": None})
     got = {r["id"]: r["shown_name"] for r in devices.resolve_names(table, aliases).collect()}
     assert got == {1: "Router", 2: "Router", 3: "x", 4: "3.3.3.3", 5: "-"}
+
+
+_WORDY = [
+    ("link connected to core", None), ("the connections were closed", "raw Timeouts"), ("nothing here", None), ("user logged in", None),
+    ("users never logged", None), ("connect timeout", "x"), ("", None), ("connecting the dots timeouts", None),
+]
+
+
+_ASKED = ["connection", "connection -timeouts or user", '"user logged"', '"connecting the dot"', "the", "absent or nothing"]
+
+
+def test_indexed_search_equals_row_search(spark, logs, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [{"message": m, "raw_message": r, "timestamp": START + dt.timedelta(days=i % 2)} for i, (m, r) in enumerate(_WORDY)]
+    table = logs(*rows).coalesce(1)
+    snapshots.commit(spark, path, tables.add_piece(table.filter("id % 2 = 0"), path, "load"))
+    assert len(term_index.refresh(spark, path)) == 1
+    snapshots.commit(spark, path, tables.add_piece(table.filter("id % 2 = 1"), path, "load"))
+    want = {q: ids(filters.apply(table, LogFilter(search=q))) for q in [*_ASKED, "-connect"]}
+    assert ids(lookup.search_table(spark, path, LogFilter(search="-connect"))) == want["-connect"]  # a piece with word lists, one without
+    assert len(term_index.refresh(spark, path)) == 1 and term_index.refresh(spark, path) == []
+    for query in _ASKED:
+        found = lookup.search_table(spark, path, LogFilter(search=query))
+        assert ids(found) == want[query]
+        assert "ArrowEvalPython" not in found._jdf.queryExecution().toString()
+    bounded = LogFilter(search="connection", start=START + dt.timedelta(days=1))
+    assert ids(lookup.search_table(spark, path, bounded)) == ids(filters.apply(table, bounded))
+    assert lookup.search_table(spark, path, LogFilter(search="connection", start=START + dt.timedelta(days=90))).count() == 0
+
+
+def test_indexed_search_skips_files(spark, logs, tmp_path):
+    path = str(tmp_path / "t")
+    table = logs(*[{"message": f"day {i} " + ("rarely" if i == 7 else "often"), "timestamp": START + dt.timedelta(days=i)} for i in range(20)])
+    snapshots.commit(spark, path, tables.add_piece(table, path, "load"))
+    term_index.refresh(spark, path)
+    found = lookup.search_table(spark, path, LogFilter(search="rare or rarely"))
+    assert len(found.inputFiles()) == 1 and found.count() == 1
+    assert len(lookup.search_table(spark, path, LogFilter(search="oftenly or often")).inputFiles()) == 19
+
+
+@pytest.mark.parametrize("sort", ["newest", "oldest", "severity", "hostname"])
+def test_deep_pages_equal_plain_offsets(logs, sort):
+    rows = [{"hostname": f"h{i % 3}", "severity": ["err", "info"][i % 2], "timestamp": START + dt.timedelta(minutes=(i * 37) % 400)} for i in range(60)]
+    table = logs(*rows)
+    for offset in (1, 20, 59, 60):
+        plain = [(r["id"], r["has_more"]) for r in paging.page(table, 7, sort, offset=offset).collect()]
+        assert [(r["id"], r["has_more"]) for r in paging.page(table, 7, sort, offset=offset, deep=0).collect()] == plain
+
+
+def test_keyset_over_severity_and_host(spark, logs):
+    table = logs(*[{"hostname": f"h{i % 3}", "timestamp": START + dt.timedelta(minutes=i % 4)} for i in range(20)])
+    table = table.withColumn("hostname", F.when(F.col("id") % 5 != 0, F.col("hostname")))
+    everything = [r["id"] for r in paging.page(table, 100, "hostname").collect()]
+    seen, cursor = [], None
+    while True:
+        rows = paging.page(table, 3, "hostname", after=cursor).collect()
+        seen += [r["id"] for r in rows]
+        if not rows or not rows[-1]["has_more"]:
+            break
+        cursor = (rows[-1]["hostname"], rows[-1]["timestamp"].astimezone(dt.timezone.utc), rows[-1]["id"])
+    assert seen == everything and len(seen) == 20
+    with pytest.raises(ValueError):
+        paging.page(table, 3, "severity", after=(START, 1))
