@@ -26,6 +26,7 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 1 << 21
 TASK_GRAMS = 500_000
 PACKED_ROWS = 1 << 18
+MODEL_BYTES = 512 << 20  # arrays of a model that are sent to every worker; larger models stay tables
 BUCKET_BITS = 18  # at least; a bucket holds about one hash in larger models too
 
 
@@ -246,7 +247,7 @@ class Model:
         small_batches(df.sparkSession, 512)
         names = ["lang_pred", "score", "entropy", "rejected"]
         kept = without(df, *names, "_language")
-        sent = df.sparkSession.sparkContext.broadcast(self)  # every n-gram of the training texts: grows with their kinds, not with their length
+        sent = df.sparkSession.sparkContext.broadcast(self)  # MODEL_BYTES at most, see build_distributed
 
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for texts in batches:
@@ -256,6 +257,79 @@ class Model:
         return kept.withColumn("_language", found).select(*[F.col(f"`{c}`") for c in kept.columns], *[F.col(f"_language.{n}").alias(n) for n in names])
 
 
+@dataclass
+class TableModel:
+    """The same model as tables by order, (gram, p) and (context, weight), for any number of n-grams.
+
+    Texts are scored by joins: their windows are counted by text, each distinct window is looked up once, and the
+    log probabilities are summed up by text.
+    """
+
+    langs: list[str]
+    order: int
+    grams: list[DataFrame]
+    contexts: list[DataFrame]
+    floor: float
+    limits: dict[str, float]
+    limit_else: float = np.inf
+
+    def windows(self, distinct: DataFrame) -> DataFrame:
+        """(window, logs) of distinct windows: the longest known n-gram at its end, and the back-off weights above it."""
+        found = distinct
+        last = lambda n, size: F.substring("window", self.order - n + 1, size)
+        for n in range(self.order, 0, -1):
+            grams = self.grams[n].select(F.col("gram").alias(f"g{n}"), F.col("p").alias(f"p{n}"))
+            contexts = self.contexts[n].select(F.col("context").alias(f"c{n}"), F.col("weight").alias(f"w{n}"))
+            # Joined whether or not a longer one is known: null keys would all meet in one task.
+            found = found.join(grams, last(n, n) == F.col(f"g{n}"), "left").join(contexts, last(n, n - 1) == F.col(f"c{n}"), "left").drop(f"g{n}", f"c{n}")
+
+        def log(j: int) -> Column:
+            out = F.lit(self.floor)
+            for n in range(1, self.order + 1):
+                weight = F.coalesce(F.log(F.col(f"w{n}")[j]), F.lit(0.0))
+                out = F.coalesce(F.log(F.col(f"p{n}")[j]), weight + out)
+            return out
+
+        return found.select("window", F.array(*[log(j) for j in range(len(self.langs))]).alias("logs"))
+
+    def label(self, df: DataFrame, text_col: str = "text") -> DataFrame:
+        """As :meth:`Model.label`, with shuffles by window and by text. Frequent windows are split by AQE's skew join."""
+        small_batches(df.sparkSession, 512)
+        names = ["lang_pred", "score", "entropy", "rejected"]
+        kept = stored(without(df, *names, "_language", "_row").withColumn("_row", F.monotonically_increasing_id()), "texts")
+        order, each = self.order, range(len(self.langs))
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for row, text in zip(batch["_row"], batch["text"]):
+                    plain = normalised(text or "")
+                    padded = plain.ljust(order) if plain else ""
+                    for a in range(0, max(0, len(padded) - order + 1), CHUNK):
+                        part = padded[a : a + CHUNK + order - 1]
+                        counted = pd.Series([part[i : i + order] for i in range(len(part) - order + 1)]).value_counts()
+                        for b in range(0, len(counted), PACKED_ROWS):
+                            piece = counted.iloc[b : b + PACKED_ROWS]
+                            yield pd.DataFrame({"_row": row, "size": len(plain), "window": piece.index, "n": piece.to_numpy()})
+
+        texts = kept.select("_row", F.col(text_col).cast("string").alias("text"))
+        counted = stored(texts.mapInPandas(count, "_row long, size long, window string, n long"), "windows")
+        logs = stored(self.windows(counted.select("window").distinct()), "window-logs")
+        sums = counted.join(logs, "window").groupBy("_row").agg(
+            F.max("size").alias("size"), F.array(*[-F.sum(F.col("n") * F.col("logs")[j]) / F.sum("n") for j in each]).alias("entropies")
+        )
+        least = F.array_min("entropies")
+        weight = F.aggregate(F.transform("entropies", lambda e: F.exp(-(e - least) * F.least(F.lit(50), F.col("size")))), F.lit(0.0), lambda a, b: a + b)
+        best = F.element_at(F.array(*[F.lit(x) for x in self.langs]), F.array_position("entropies", least).cast("int"))
+        limits = F.create_map(*[F.lit(x) for pair in sorted(self.limits.items()) for x in pair]) if self.limits else F.lit(None).cast("map<string,double>")
+        judged = sums.select("_row", best.alias("lang_pred"), (1 / weight).alias("score"), least.alias("entropy"))
+        judged = judged.withColumn("rejected", F.col("entropy") > F.coalesce(F.try_element_at(limits, F.col("lang_pred")), F.lit(float(self.limit_else))))
+        judged = judged.select("_row", F.struct(*names).alias("_language"))
+        joined = kept.join(judged, "_row", "left")
+        given = {"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "entropy": F.lit(None).cast("double"), "rejected": F.lit(True)}
+        found = [F.coalesce(F.col(f"_language.{n}"), given[n]).alias(n) for n in names]
+        return joined.select(*[F.col(f"`{c}`") for c in kept.columns if c != "_row"], *found)
+
+
 def _discount(ones: int, twos: int) -> float:
     return min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
 
@@ -319,12 +393,13 @@ def _sorted(names: list[str], values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return hashes[order], values[order].astype(np.float32)
 
 
-def build_distributed(counts: DataFrame, order: int = ORDER) -> Model:
+def build_distributed(counts: DataFrame, order: int = ORDER, model_bytes: int | None = None) -> Model | TableModel:
     """The model of :func:`build`, made by Spark from all top-order counts (lang, gram, n).
 
-    A row has an n-gram's counts in all languages side by side. The driver gets hashes and log
-    probabilities alone, in packed pieces.
+    A row has an n-gram's counts in all languages side by side. If the arrays take ``model_bytes`` (MODEL_BYTES unless told)
+    at most, the driver gets hashes and log probabilities, in packed pieces; a larger model stays in its tables.
     """
+    model_bytes = MODEL_BYTES if model_bytes is None else model_bytes
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())  # one row per language
     each = range(len(langs))
 
@@ -343,7 +418,7 @@ def build_distributed(counts: DataFrame, order: int = ORDER) -> Model:
     none = (np.zeros(0, np.uint64), np.zeros((0, len(langs)), np.float32))
     if not langs:
         return Model([], order, [none] * (order + 1), [none] * (order + 1), np.zeros(0, np.float32), {})
-    model = Model(langs, order, [none], [none], np.full(len(langs), -np.log(letters), np.float32), {})
+    tables: list[tuple[DataFrame, DataFrame]] = []
     below = None
     for n in range(1, order + 1):
         level = levels[n].withColumn("context", F.substring("gram", 1, n - 1))
@@ -358,9 +433,14 @@ def build_distributed(counts: DataFrame, order: int = ORDER) -> Model:
         low = lambda j: F.lit(1 / letters) if below is None else F.col("low")[j]
         own = lambda j: F.when(F.col("c")[j] > 0, (F.col("c")[j] - F.lit(discounts[j])) / F.col("total")[j]).otherwise(0.0)
         below = stored(joined.select("gram", of_each(lambda j: F.col("weight")[j] * low(j) + own(j)).alias("p")), f"probabilities-{n}")
-        model.grams.append(_packed(below.select("gram", "p"), len(langs)))
-        model.contexts.append(_packed(contexts.select("context", "weight"), len(langs)))
-    return model
+        tables.append((below.select("gram", "p"), contexts.select("context", "weight")))
+    rows = sum(t.count() for pair in tables for t in pair)
+    if rows * (8 + 4 * len(langs)) > model_bytes:
+        first = tables[0]  # stands at place 0, where no n-gram is
+        return TableModel(langs, order, [first[0], *[g for g, _ in tables]], [first[1], *[c for _, c in tables]], float(-np.log(letters)), {})
+    packed = [(_packed(g, len(langs)), _packed(c, len(langs))) for g, c in tables]
+    floor = np.full(len(langs), -np.log(letters), np.float32)
+    return Model(langs, order, [none, *[g for g, _ in packed]], [none, *[c for _, c in packed]], floor, {})
 
 
 def _packed(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -393,24 +473,26 @@ def _packed(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], np.concatenate([v for _, v in both])[order]
 
 
-def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = 0.999) -> Model:
+def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = 0.999,
+        model_bytes: int | None = None) -> Model | TableModel:
     """Learn from all rows with a text and a language for which ``learn`` holds.
 
-    Counts cover every such text and the model keeps every n-gram of them. It is sent to all executors, so it has to
-    fit in a Python worker: 8 bytes and 4 more per language for each n-gram and context. Rejection limits are those
-    of :func:`calibrated`, over every training text.
+    Counts cover every such text and the model keeps every n-gram of them: 8 bytes and 4 more per language for each n-gram
+    and context. Up to ``model_bytes`` (MODEL_BYTES unless told) it is sent to all executors as arrays; a larger one
+    stays a set of tables that texts are joined with, with the same results. Rejection limits are those of
+    :func:`calibrated`, over every training text.
     """
     rows = _training(docs, learn, text_col, lang_col)
-    model = _uncalibrated(rows, order)
+    model = _uncalibrated(rows, order, model_bytes)
     if model.langs:
         calibrated(model, stored(model.label(rows).select("lang", "lang_pred", "entropy"), "entropies"), quantile)
     return model
 
 
 def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER,
-             quantile: float = 0.999) -> DataFrame:
+             quantile: float = 0.999, model_bytes: int | None = None) -> DataFrame:
     """(id, lang_pred, score, entropy, rejected) of every row, as ``fit(docs, learn).label(docs)`` gives them, with each text scored once."""
-    model = _uncalibrated(_training(docs, learn, text_col, lang_col), order)
+    model = _uncalibrated(_training(docs, learn, text_col, lang_col), order, model_bytes)
     taught = F.coalesce(learn, F.lit(False)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
     rows = docs.select(F.col(id_col).alias("_id"), F.when(taught, F.col(lang_col)).alias("lang"), F.col(text_col).alias("text"))
     scored = stored(model.label(rows).select("_id", "lang", "lang_pred", "score", "entropy", "rejected"), "entropies")
@@ -427,12 +509,12 @@ def _training(docs: DataFrame, learn: Column, text_col: str, lang_col: str) -> D
     return rows.filter("lang IS NOT NULL AND text IS NOT NULL")
 
 
-def _uncalibrated(rows: DataFrame, order: int) -> Model:
+def _uncalibrated(rows: DataFrame, order: int, model_bytes: int | None = None) -> Model | TableModel:
     small_batches(rows.sparkSession, 512)
-    return build_distributed(stored(count_grams(rows, order), "grams"), order)
+    return build_distributed(stored(count_grams(rows, order), "grams"), order, model_bytes)
 
 
-def calibrated(model: Model, scored: DataFrame, quantile: float) -> None:
+def calibrated(model: Model | TableModel, scored: DataFrame, quantile: float) -> None:
     """Set the rejection limits from (lang, lang_pred, entropy) of all training rows.
 
     A language's limit is the least step of 1 / ENTROPY_STEPS that ``quantile`` of its rightly labelled rows do not

@@ -116,3 +116,21 @@ def test_limits_come_from_all_training_rows_and_every_language_has_one(spark):
     language_id.calibrated(model, scored, 0.999)
     assert model.limits.keys() == {"aa"} and abs(model.limits["aa"] - 1.999) < 0.0021
     assert math.isfinite(model.limit_else) and abs(model.limit_else - 1.999) < 0.0021
+
+
+def test_a_model_too_large_for_workers_gives_the_same_results(spark):
+    odd = [None, "", "123 !?", "a", "b\u00e9", "qqq xxx www", "ba be tion " * 300, "\u65e5\u672c \U0001f600 x"]
+    rows = [(i, t, lang, None, None) for i, t, lang, *_ in corpus(3, 120)] + [(900 + i, t, None, None, None) for i, t in enumerate(odd)]
+    docs = spark.createDataFrame([*rows, rows[0]], DOCS)
+    learn = F.col("doc_id") % 4 != 2
+    arrays = language_id.fit(docs, learn)
+    tables = language_id.fit(docs, learn, model_bytes=1000)
+    assert isinstance(arrays, language_id.Model) and isinstance(tables, language_id.TableModel)
+    assert tables.langs == arrays.langs and tables.limits.keys() == arrays.limits.keys()
+    got = [m.label(docs).orderBy("doc_id").collect() for m in (arrays, tables)]
+    assert len(got[0]) == len(got[1]) == len(rows) + 1
+    for a, b in zip(*got):
+        assert (a["doc_id"], a["text"], a["lang_pred"]) == (b["doc_id"], b["text"], b["lang_pred"])
+        assert math.isclose(a["score"], b["score"], abs_tol=1e-3) and (a["entropy"] is None) == (b["entropy"] is None)
+        assert a["entropy"] is None or math.isclose(a["entropy"], b["entropy"], abs_tol=1e-4)
+    assert tables.label(docs.limit(0)).count() == 0
