@@ -134,3 +134,13 @@ def as_datetime(ts: dt.datetime | str) -> dt.datetime:
     if ts.tzinfo is None:
         return ts.replace(tzinfo=dt.timezone.utc)
     return ts.astimezone(dt.timezone.utc)
+
+
+def rfc3339(ts: str) -> Column:
+    """A time as text to the second, in UTC, whatever zone the session has."""
+    # Built from the epoch, as date_format writes the session's zone.
+    us = F.floor(F.unix_micros(ts) / 1_000_000)
+    days, rest = F.floor(us / 86_400).cast("int"), F.pmod(us, F.lit(86_400))
+    part = lambda n: F.lpad(n.cast("int").cast("string"), 2, "0")
+    day = F.date_from_unix_date(days).cast("string")
+    return F.concat(day, F.lit("T"), part(F.floor(rest / 3600)), F.lit(":"), part(F.pmod(F.floor(rest / 60), F.lit(60))), F.lit(":"), part(F.pmod(rest, F.lit(60))), F.lit("Z"))

@@ -8,11 +8,13 @@ of a row then give both the ordered rule names and the merged field map.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import regex
-from ..sources.library import Rule
+from ..functions import clock, regex
+from ..sources import tables
+from ..sources.library import Edition, Rule
 
 _SEP = "\0"
 # Between a field and its value; values may contain it, names may not.
@@ -260,3 +262,33 @@ def sync_diff(existing: DataFrame, library: DataFrame) -> DataFrame:
             "action"
         ),
     )
+
+
+def parse_as_of(df: DataFrame, editions: list[Edition], target: Target = Target(), at: str = "timestamp") -> DataFrame:
+    """Parse each row with the library edition that held at its time; adds ``library_edition`` as well.
+
+    Rows before the first edition, or without a time, get no fields and a null edition. Each edition reads its range of
+    time only, so on a table by day no file is read for editions that it lies outside of.
+    """
+    parts = []
+    for i, edition in enumerate(editions):
+        end = editions[i + 1].valid_from if i + 1 < len(editions) else None
+        within = F.col(at) >= clock.at(edition.valid_from)
+        if end is not None:
+            within = within & (F.col(at) < clock.at(end))
+        for bound in tables.day_bounds(df.columns, edition.valid_from, end) if at == "timestamp" else []:
+            within = within & bound
+        parts.append(parse(df.filter(within), list(edition.rules), target).withColumn("library_edition", F.lit(edition.number)))
+    earlier = F.col(at).isNull() | (F.col(at) < clock.at(editions[0].valid_from)) if editions else F.lit(True)
+    rest = parse(df.filter(earlier), [], target).withColumn("library_edition", F.lit(None).cast("int"))
+    return reduce(DataFrame.unionByName, parts, rest)
+
+
+def described(parsed: DataFrame, history: DataFrame, *keep: str) -> DataFrame:
+    """One row per row and rule that matched it: the ``keep`` columns, edition, rule name, its description and fields as that edition has them.
+
+    ``history`` is small (the rules of all editions); Spark broadcasts it by its size.
+    """
+    each = parsed.select(*keep, "library_edition", F.explode("matched_parsers").alias("name"))
+    rules = history.select("library_edition", "name", "description", "fields").dropDuplicates(["library_edition", "name"])
+    return each.join(rules, ["library_edition", "name"], "left")

@@ -103,9 +103,26 @@ def transitions(
         action.alias("action"),
         F.when(silent, severity).otherwise("info").alias("severity"),
         since.alias("silent_since"),
+        "last_seen",
+        "threshold_minutes",
     )
 
 
+def firings(changes: DataFrame) -> DataFrame:
+    """Records to deliver for the transitions that fire: (rule_id, fromhost_ip, title, text, notify_severity)."""
+    # The titles and texts of delivered records.
+    host = F.coalesce("hostname", F.lit(""))
+    back = F.col("action") == "recovered"
+    title = F.concat(F.when(back, F.lit("Device back online: ")).otherwise(F.lit("Device silent: ")), host)
+    resumed = F.concat(host, F.lit(" ("), "fromhost_ip", F.lit(") has resumed sending logs (was silent since "), clock.rfc3339("silent_since"), F.lit(")."))
+    silent = F.concat(
+        F.lit("No logs received from "), host, F.lit(" ("), "fromhost_ip", F.lit(") in over "), F.col("threshold_minutes").cast("string"),
+        F.lit(" minutes. Last seen: "), clock.rfc3339("last_seen"),
+    )
+    fired = changes.filter(F.col("action") != "quiet")
+    return fired.select("rule_id", "fromhost_ip", title.alias("title"), F.when(back, resumed).otherwise(silent).alias("text"), F.col("severity").alias("notify_severity"))
+
+
 def next_state(state: DataFrame, changes: DataFrame, as_of: dt.datetime | str) -> DataFrame:
     """State table after the transitions: fired rows are upserted (keeping ``silent_since``), recovered ones removed."""
     fired = changes.filter(F.col("action").isin("silent", "escalated", "repeat", "recovered")).select(

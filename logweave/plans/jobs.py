@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..functions import clock, search
-from ..operators import ingest, parsing, retention
+from ..operators import ingest, parsing, retention, rollups
 from ..sources import lines, snapshots, tables, versions
 from ..sources.library import Rule
 
@@ -23,17 +25,21 @@ def load(
     as_of: dt.datetime | str,
     index_text: bool = True,
     load_id: str | None = None,
+    edition: int | None = None,
 ) -> DataFrame:
     """Load raw line files into the log table as one committed piece; returns lines per outcome.
 
     One pass: lines are read, decoded and parsed once, and counted on the way. Rows wider than
     the usual limits are stored with the column's name in ``over_length``. ``index_text`` stores the
-    stemmed token line that search then uses.
+    stemmed token line that search then uses. ``edition`` is kept with the rows as the library edition
+    that ``rules`` are.
     """
     counted = Observation()
     classified = ingest.classify(lines.read_lines(spark, lines_path)).observe(counted, *ingest.quality_metrics())
     rows = ingest.mark_over_length(ingest.finalize(ingest.storable(classified), clock.at(as_of)))
     parsed = parsing.parse(ingest.assign_ids(rows, load_id or uuid.uuid4().hex), rules).drop("line", "defect", "outcome")
+    if edition is not None:
+        parsed = parsed.withColumn("library_edition", F.lit(edition))
     if index_text:
         whole = search.message_text(F.col("message"), F.col("raw_message"))
         parsed = parsed.withColumn("search_line", search.stemmed_line(whole))
@@ -42,11 +48,13 @@ def load(
     return spark.createDataFrame(found, "outcome string, lines long")
 
 
-def reparse_table(spark: SparkSession, table_path: str, rules: list[Rule], days: list[dt.date] | None = None) -> int:
+def reparse_table(
+    spark: SparkSession, table_path: str, rules: list[Rule], days: list[dt.date] | None = None, edition: int | None = None
+) -> int:
     """Parse unparsed rows of the table again and replace the days that change; returns how many.
 
     Only days that hold unparsed rows a rule now matches are written anew; other days and rows that
-    had fields stay as they are.
+    had fields stay as they are, with the edition that gave them; newly parsed ones get ``edition``.
     """
     base = snapshots.current(spark, table_path)
     logs = tables.read_logs(spark, table_path)
@@ -64,7 +72,12 @@ def reparse_table(spark: SparkSession, table_path: str, rules: list[Rule], days:
             "parsed_fields": F.when(had, F.col("_old")).otherwise(F.col("parsed_fields")),
             "matched_parsers": F.when(had, F.col("_oldp")).otherwise(F.col("matched_parsers")),
         }
-    ).select(*logs.columns)
+    )
+    if edition is not None:
+        before = F.col("library_edition") if "library_edition" in logs.columns else F.lit(None).cast("int")
+        newly = ~F.coalesce(had, F.lit(False)) & (F.size("matched_parsers") > 0)
+        merged = merged.withColumn("library_edition", F.when(newly, F.lit(edition)).otherwise(before))
+    merged = merged.select(*logs.columns, *(["library_edition"] if edition is not None and "library_edition" not in logs.columns else []))
     piece = tables.add_piece(merged, table_path, "reparse")
     snapshots.commit(spark, table_path, piece, lambda e: e.log_date in changed, base)
     return len(changed)
@@ -108,18 +121,33 @@ def rollup_grain(logs: DataFrame) -> DataFrame:
     ).agg(F.count("*").alias("cnt"), F.max("timestamp").alias("last_seen"))
 
 
+def _summed(pieces: DataFrame) -> DataFrame:
+    return pieces.groupBy("log_date", *ROLLUP_GRAIN).agg(F.sum("cnt").alias("cnt"), F.max("last_seen").alias("last_seen"))
+
+
+@dataclass(frozen=True)
+class Rollup:
+    """How rows become a stored roll-up (with ``log_date``), and how pieces of it are put together."""
+
+    build: Callable[[DataFrame], DataFrame]
+    merge: Callable[[DataFrame], DataFrame]
+
+
+COUNTS = Rollup(rollup_grain, _summed)
+UNIQUES = Rollup(rollups.unique_sketches, rollups.merged_sketches)
+
 # A day's roll-up is summed up again when it has come to consist of so many pieces.
 ROLLUP_PIECES = 16
 
 
-def refresh_rollups(spark: SparkSession, table_path: str, rollup_path: str, force: bool = False) -> list[dt.date]:
+def refresh_rollups(spark: SparkSession, table_path: str, rollup_path: str, force: bool = False, kind: Rollup = COUNTS) -> list[dt.date]:
     """Bring the roll-up up to date with the log table; returns the days that changed.
 
     What was rolled up is kept as a list of (day, piece). Pieces that are new to a day are counted
     and added, without a look at the others. A day that has lost a piece is counted anew, also if
     the number of its rows is the same. The list is written after the roll-up, with a mark of
     the roll-up's version, so a refresh that failed in between starts from what is there. Read with
-    :func:`read_rollup`.
+    :func:`read_rollup`, of the same ``kind``.
     """
     now = {(e.log_date, e.piece): e for e in snapshots.entries(spark, table_path)}
     state_path = f"{rollup_path}_state"
@@ -144,34 +172,30 @@ def refresh_rollups(spark: SparkSession, table_path: str, rollup_path: str, forc
     add = []
     if wanted:
         piece = snapshots.new_piece("rollup")
-        rollup_grain(snapshots.read(spark, table_path, wanted)).write.partitionBy("log_date").parquet(snapshots.piece_path(rollup_path, piece))
+        kind.build(snapshots.read(spark, table_path, wanted)).write.partitionBy("log_date").parquet(snapshots.piece_path(rollup_path, piece))
         add = snapshots.written(spark, rollup_path, piece)
     version = snapshots.commit(spark, rollup_path, add, lambda e: e.log_date in anew or e.log_date in gone, base)
-    version = _merge_pieces(spark, rollup_path, version)
+    version = _merge_pieces(spark, rollup_path, version, kind)
     rows = [(day, piece, version) for day, piece in now]
     versions.write(spark.createDataFrame(rows, "log_date date, piece string, version int"), state_path)
     return changed
 
 
-def _merge_pieces(spark: SparkSession, rollup_path: str, version: int) -> int:
+def _merge_pieces(spark: SparkSession, rollup_path: str, version: int, kind: Rollup) -> int:
     """Sum up days of many pieces; returns the version."""
     held = snapshots.entries(spark, rollup_path, version)
     many = {e.log_date for e in held if sum(x.log_date == e.log_date for x in held) > ROLLUP_PIECES}
     if not many:
         return version
     piece = snapshots.new_piece("merged")
-    summed = _summed(snapshots.read(spark, rollup_path, [e for e in held if e.log_date in many]))
+    summed = kind.merge(snapshots.read(spark, rollup_path, [e for e in held if e.log_date in many]))
     summed.write.partitionBy("log_date").parquet(snapshots.piece_path(rollup_path, piece))
     return snapshots.commit(spark, rollup_path, snapshots.written(spark, rollup_path, piece), lambda e: e.log_date in many, version)
 
 
-def _summed(pieces: DataFrame) -> DataFrame:
-    return pieces.groupBy("log_date", *ROLLUP_GRAIN).agg(F.sum("cnt").alias("cnt"), F.max("last_seen").alias("last_seen"))
-
-
-def read_rollup(spark: SparkSession, rollup_path: str) -> DataFrame:
-    """Counts at the grain of :func:`rollup_grain`, whatever pieces they were counted in."""
-    return _summed(snapshots.read(spark, rollup_path))
+def read_rollup(spark: SparkSession, rollup_path: str, kind: Rollup = COUNTS) -> DataFrame:
+    """The roll-up at its grain, whatever pieces it was made in."""
+    return kind.merge(snapshots.read(spark, rollup_path))
 
 
 def drop_days(spark: SparkSession, path: str, days: list[dt.date]) -> None:

@@ -302,20 +302,24 @@ _STATE = """SELECT rule_id, fromhost_ip AS device_ip, last_silent AS silent_sinc
     FROM logs WHERE fromhost_ip IS NOT NULL AND severity = 'emergency' GROUP BY 1, 2) AS s"""
 
 
-@query(
-    "silence_transitions",
-    over_logs(
-        f"""SELECT rule_id, fromhost_ip, CASE WHEN NOT silent THEN 'recovered' WHEN last_severity IS NULL THEN 'silent'
+_CHANGES = f"""SELECT rule_id, fromhost_ip, CASE WHEN NOT silent THEN 'recovered' WHEN last_severity IS NULL THEN 'silent'
             WHEN sev_rank > CASE last_severity WHEN 'warning' THEN 1 WHEN 'error' THEN 2 ELSE 3 END THEN 'escalated' WHEN cooled THEN 'repeat' ELSE 'quiet' END AS action,
-            CASE WHEN silent THEN ['warning', 'error', 'critical'][sev_rank] ELSE 'info' END AS severity, since AS silent_since
+            CASE WHEN silent THEN ['warning', 'error', 'critical'][sev_rank] ELSE 'info' END AS severity, since AS silent_since, hostname, last_seen, minutes
         FROM (SELECT *, CASE WHEN epoch_us({AS_OF_SQL}) - epoch_us(since) >= minutes * 240000000 THEN 3
                 WHEN epoch_us({AS_OF_SQL}) - epoch_us(since) >= minutes * 120000000 THEN 2 ELSE 1 END AS sev_rank
             FROM (SELECT p.*, s.last_severity, coalesce(s.silent_since, p.last_seen) AS since, {_AGE} >= minutes * 60000000 AS silent,
                     coalesce(epoch_us({AS_OF_SQL}) - epoch_us(s.last_fired) >= cooldown * 60000000, TRUE) AS cooled
                 FROM (SELECT * FROM devices, {SILENCE_VALUES} WHERE {SILENCE_APPLIES}) p LEFT JOIN state s ON s.rule_id = p.rule_id AND s.device_ip = p.fromhost_ip) AS a
-            WHERE silent OR last_severity IS NOT NULL) AS b""",
+            WHERE silent OR last_severity IS NOT NULL) AS b"""
+
+
+@query(
+    "silence_transitions",
+    over_logs(
+        "SELECT rule_id, fromhost_ip, action, severity, silent_since FROM changes",
         devices=LAST_SEEN,
         state=_STATE,
+        changes=_CHANGES,
     ),
 )
 def silence_transitions(inp: Inputs) -> DataFrame:
@@ -324,6 +328,28 @@ def silence_transitions(inp: Inputs) -> DataFrame:
     return changes.select("rule_id", "fromhost_ip", "action", "severity", "silent_since")
 
 
+_STAMP = "strftime({}, '%Y-%m-%dT%H:%M:%SZ')"
+
+
+@query(
+    "silence_firings",
+    over_logs(
+        f"""SELECT rule_id, fromhost_ip, CASE WHEN action = 'recovered' THEN 'Device back online: ' ELSE 'Device silent: ' END || hostname AS title,
+            CASE WHEN action = 'recovered' THEN hostname || ' (' || fromhost_ip || ') has resumed sending logs (was silent since ' || {_STAMP.format('silent_since')} || ').'
+            ELSE 'No logs received from ' || hostname || ' (' || fromhost_ip || ') in over ' || minutes || ' minutes. Last seen: ' || {_STAMP.format('last_seen')} END AS text,
+            severity AS notify_severity
+        FROM changes WHERE action <> 'quiet'""",
+        devices=LAST_SEEN,
+        state=_STATE,
+        changes=_CHANGES,
+    ),
+)
+def silence_firings(inp: Inputs) -> DataFrame:
+    """What is delivered for devices that fell silent, got worse, stay silent or came back."""
+    state = inp.sql(_STATE, with_logs=True)
+    return silence.firings(silence.transitions(last_seen(inp), SILENCE_RULES, state, AS_OF))
+
+
 @query(
     "cert_expiring",
     f"""WITH certs AS ({CERTIFICATES_SQL}) SELECT id, label, expires_at, CAST(trunc((epoch_us(expires_at) - epoch_us(TIMESTAMP '1998-06-01 07:00:00')) / 86400000000.0) AS BIGINT) AS days_left

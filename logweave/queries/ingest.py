@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import clock
-from ..operators import ingest
+from ..operators import ingest, parsing
 from ..session import work_dir
 from ..sources import library, syslog
 from .inputs import AS_OF, AS_OF_SQL, SYSLOG_SQL, Inputs
@@ -246,3 +248,40 @@ def library_folder(inp: Inputs) -> DataFrame:
         F.coalesce("count", F.lit(0)).alias("matched_rows"),
         F.lit(broken).alias("broken_files"),
     )
+
+
+# The first edition has every second rule, under other descriptions; rows before it are not parsed.
+_FIRST_EDITION = [replace(r, description=f"As first shipped: {r.name}") for r in LIBRARY if r.id % 2]
+_FIRST_FROM, _SECOND_FROM = "2024-01-05 00:00:00", "2024-01-18 06:30:00"
+
+
+def _edition_sql(number: int, rules: list, source: str) -> str:
+    about = ", ".join(f"({text(r.name)}, {text(r.description)}, {len(r.fields)})" for r in rules)
+    return (
+        f"SELECT {number} AS library_edition, u.name, v.description, v.n_fields, count(*) AS n FROM (SELECT unnest(parsers) AS name FROM ({parsed_sql(rules, [], source)})) AS u"
+        f" JOIN (VALUES {about}) AS v(name, description, n_fields) ON v.name = u.name GROUP BY ALL"
+    )
+
+
+@query(
+    "library_editions",
+    over_logs(
+        f"""SELECT library_edition, name, description, CAST(n_fields AS BIGINT) AS n_fields, n AS matched_rows FROM (SELECT * FROM first_matches UNION ALL SELECT * FROM second_matches) AS m
+        UNION ALL SELECT NULL, NULL, NULL, NULL, count(*) FROM logs WHERE timestamp < TIMESTAMP '{_FIRST_FROM}'""",
+        first_rows=f"SELECT * FROM logs WHERE timestamp >= TIMESTAMP '{_FIRST_FROM}' AND timestamp < TIMESTAMP '{_SECOND_FROM}'",
+        second_rows=f"SELECT * FROM logs WHERE timestamp >= TIMESTAMP '{_SECOND_FROM}'",
+        first_matches=_edition_sql(0, _FIRST_EDITION, "first_rows"),
+        second_matches=_edition_sql(1, LIBRARY, "second_rows"),
+    ),
+)
+def library_editions(inp: Inputs) -> DataFrame:
+    """Rows parsed by the library edition of their time, counted by edition and rule with the rule's text of then; and rows older than any edition."""
+    path = work_dir(inp.spark, "editions")
+    library.record_edition(inp.spark, path, _FIRST_EDITION, _FIRST_FROM)
+    library.record_edition(inp.spark, path, LIBRARY, _SECOND_FROM)
+    parsed = parsing.parse_as_of(inp.logs(spread=True), library.editions(inp.spark, path))
+    matched = parsing.described(parsed, library.edition_history(inp.spark, path))
+    counted = matched.groupBy("library_edition", "name", "description", F.size("fields").cast("long").alias("n_fields")).agg(F.count("*").alias("matched_rows"))
+    none = F.lit(None)
+    older = parsed.filter("library_edition IS NULL").agg(F.count("*").alias("matched_rows"))
+    return counted.unionByName(older.select(none.cast("int").alias("library_edition"), none.cast("string").alias("name"), none.cast("string").alias("description"), none.cast("long").alias("n_fields"), "matched_rows"))

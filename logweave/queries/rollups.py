@@ -26,6 +26,28 @@ def dashboard_summary(inp: Inputs) -> DataFrame:
     return rollups.summary(inp.logs(), AS_OF)
 
 
+_CLOSE = ("hosts", "devices", "messages")
+
+
+@query(
+    "unique_sketches",
+    over_logs(
+        f"""SELECT CAST(timestamp AS DATE) AS log_date, count(DISTINCT hostname) AS unique_hosts, count(DISTINCT fromhost_ip) AS unique_devices, count(DISTINCT message) AS unique_messages,
+        {', '.join(f'TRUE AS {name}_close' for name in _CLOSE)} FROM logs WHERE {_RANGE_SQL} GROUP BY 1"""
+    ),
+)
+def unique_sketches(inp: Inputs) -> DataFrame:
+    """Distinct counts a day, and whether those merged from the sketches of its hours lie within four standard errors of them."""
+    logs = filters.apply(inp.logs(), _RANGE)
+    estimated = rollups.unique_estimates(rollups.unique_sketches(logs), "log_date")
+    guesses = estimated.select("log_date", *[F.col(kind).alias(f"_{kind}") for kind in rollups.UNIQUE_KINDS])
+    exact = logs.groupBy(F.to_date("timestamp").alias("log_date")).agg(*[F.countDistinct(c).alias(kind) for kind, c in rollups.UNIQUE_KINDS.items()])
+    close = [
+        (F.abs(F.col(f"_unique_{n}") - F.col(f"unique_{n}")) <= 4 * rollups.UNIQUE_ERROR * F.col(f"unique_{n}")).alias(f"{n}_close") for n in _CLOSE
+    ]
+    return exact.join(guesses, "log_date").select("log_date", *rollups.UNIQUE_KINDS, *close)
+
+
 @query("severity_counts", over_logs("SELECT severity, count(*) AS cnt FROM logs GROUP BY severity"))
 def severity_counts(inp: Inputs) -> DataFrame:
     return rollups.severity_counts(inp.logs())

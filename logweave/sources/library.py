@@ -7,6 +7,7 @@ belong to the stored data format and must not change. Ids follow file names, the
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 from dataclasses import dataclass
 from importlib import resources
@@ -14,6 +15,7 @@ from importlib import resources
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import schema
+from ..functions import clock
 from . import versions
 
 # Words of field names that a label does not simply capitalise.
@@ -207,3 +209,48 @@ def field_registry(library: DataFrame) -> DataFrame:
         F.col("f.label").alias("field_label"),
         F.col("f.type").alias("field_type"),
     )
+
+
+@dataclass(frozen=True)
+class Edition:
+    """A library that holds from a time on, until the next edition does."""
+
+    number: int
+    valid_from: dt.datetime
+    rules: tuple[Rule, ...]
+
+
+def record_edition(spark: SparkSession, path: str, rules: list[Rule], valid_from: dt.datetime | str) -> int:
+    """Keep a library as the edition that holds from ``valid_from`` on; returns its number.
+
+    A library equal to the newest edition makes none. Editions follow each other in time.
+    """
+    if not rules:
+        raise ValueError("an edition needs a rule")
+    known = editions(spark, path)
+    start = clock.as_datetime(valid_from)
+    if known and list(known[-1].rules) == sorted(rules, key=lambda r: r.id):
+        return known[-1].number
+    if known and start <= known[-1].valid_from:
+        raise ValueError(f"edition {known[-1].number} holds from {known[-1].valid_from} on")
+    number = known[-1].number + 1 if known else 0
+    flags = spark.createDataFrame([(r.id, r.enabled, r.is_builtin) for r in rules], "id long, enabled boolean, is_builtin boolean")
+    table = rules_frame(spark, rules).join(flags, "id").withColumns({"library_edition": F.lit(number), "valid_from": clock.at(start)})
+    return versions.write(table.coalesce(1), path, number)
+
+
+def edition_history(spark: SparkSession, path: str) -> DataFrame:
+    """The rules of all editions, with ``library_edition`` and ``valid_from``."""
+    return spark.read.parquet(*[f"{path}/v{v}" for v in versions.versions(spark, path)])
+
+
+def editions(spark: SparkSession, path: str) -> list[Edition]:
+    """All editions, oldest first; a few hundred rules each, which become part of plans."""
+    epoch = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+    found = []
+    for number in versions.versions(spark, path):
+        table = spark.read.parquet(f"{path}/v{number}")
+        start_us = table.agg(F.unix_micros(F.min("valid_from"))).first()[0]
+        # An edition without rules has no row that tells its time; record_edition refuses it.
+        found.append(Edition(number, epoch + dt.timedelta(microseconds=start_us), tuple(collect_rules(table))))
+    return found

@@ -225,6 +225,11 @@ def test_silence_transitions_and_state(spark):
     assert got == {
         "new": ("silent", "warning"), "worse": ("escalated", "error"), "same": ("repeat", "warning"), "back": ("recovered", "info"), "quiet": ("quiet", "warning"),
     }
+    fired = {r["fromhost_ip"]: (r["title"], r["text"], r["notify_severity"]) for r in silence.firings(changes).collect()}
+    stamp = lambda m: at(m).strftime("%Y-%m-%dT%H:%M:%SZ")
+    assert set(fired) == {"new", "worse", "same", "back"}
+    assert fired["worse"] == ("Device silent: host", f"No logs received from host (worse) in over 10 minutes. Last seen: {stamp(-25)}", "error")
+    assert fired["back"] == ("Device back online: host", f"host (back) has resumed sending logs (was silent since {stamp(-60)}).", "info")
     after = {r["device_ip"]: r for r in silence.next_state(state, changes, START).collect()}
     assert set(after) == {"new", "worse", "same", "quiet", "other"}
     assert after["worse"]["last_severity"] == "error" and after["worse"]["silent_since"] == at(-25).replace(tzinfo=None)
