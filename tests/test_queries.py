@@ -38,7 +38,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(catalog.QUERIES) == set(catalog.ORACLE) and len(catalog.QUERIES) == 157
+    assert set(catalog.QUERIES) == set(catalog.ORACLE) and len(catalog.QUERIES) == 164
 
 
 def test_entry(spark):
