@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
@@ -55,7 +56,11 @@ def encode(enc, text: str) -> np.ndarray:
 
     A run of white space is one match without its last character if something follows. Very
     long runs are passed as that one match, as the regex engine would exhaust its stack on them.
+    Both this and the safe places hold for the pattern of ``public_tokenizers``; with another
+    pattern a text is encoded uncut.
     """
+    if enc._pat_str != public_tokenizers.PATTERN:
+        return enc.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
     parts: list[np.ndarray] = []
     start = 0
     for run in _RUN.finditer(text):

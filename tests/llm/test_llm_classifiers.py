@@ -76,3 +76,64 @@ def test_slope_of_the_ordinal_fit_raises_the_likelihood():
     s = np.array([sum(model.weights.get(int(f), 0) for f in r) for r in rows])
     reach = 1 / (1 + np.exp(-(s[:, None] - np.array(model.thresholds))))
     assert np.mean((reach >= 0.5).sum(axis=1) == label) > 0.9
+
+
+def dense(rows, columns):
+    out = np.zeros((len(rows), columns))
+    for i, r in enumerate(rows):
+        np.add.at(out[i], r, 1.0)
+    return out
+
+
+def test_toxicity_fit_equals_a_dense_one():
+    rng = np.random.default_rng(3)
+    n, d, penalty, sparsity = 200, 40, 0.7, 1e-3
+    rows = [np.sort(rng.choice(d, 8, replace=False)).astype(np.int32) for _ in range(n)]
+    label = np.array([float(rng.random() < (0.85 if (r < 6).sum() >= 2 else 0.1)) for r in rows])
+    gone = [rng.choice(6, 1).astype(np.int32) for _ in range(50)]
+    come = [rng.choice(np.arange(6, 12), 1).astype(np.int32) for _ in range(50)]
+    x, change = np.hstack([dense(rows, d), np.ones((n, 1))]), np.hstack([dense(come, d) - dense(gone, d), np.zeros((50, 1))])
+    share = np.where(label > 0.5, 0.5 / label.sum(), 0.5 / (1 - label).sum())
+
+    def loss(p):
+        s = x @ p
+        return (share * (np.logaddexp(0, s) - label * s)).sum() + penalty * ((change @ p) ** 2).mean() + sparsity * np.abs(p[:-1]).sum()
+
+    # Plain proximal gradients with the step of the exact largest curvature.
+    step = 1 / np.linalg.eigvalsh(0.25 * x.T @ (share[:, None] * x) + 2 * penalty / 50 * change.T @ change)[-1]
+    p = np.zeros(d + 1)
+    for _ in range(20_000):
+        p = p - step * (x.T @ (share * (1 / (1 + np.exp(-x @ p)) - label)) + 2 * penalty / 50 * change.T @ (change @ p))
+        p[:-1] = np.sign(p[:-1]) * np.maximum(np.abs(p[:-1]) - step * sparsity, 0)
+    model = toxicity.fit_rows(rows, label, gone, come, np.arange(d), sparsity, penalty)
+    got = np.append([model.weights.get(i, 0.0) for i in range(d)], model.bias)
+    assert loss(got) <= loss(p) + 1e-5 and np.abs(got - p).max() < 0.02
+
+
+def test_ordinal_fit_equals_a_dense_one():
+    rng = np.random.default_rng(4)
+    n, d, decay = 200, 30, 1e-2
+    rows = [np.sort(rng.choice(d, 6, replace=False)).astype(np.int32) for _ in range(n)]
+    label = np.array([float(np.clip((r < 10).sum() - 1 + rng.integers(0, 2), 0, 2)) for r in rows])
+    x, place = dense(rows, d), label.astype(int)
+
+    def chances(w, cuts):
+        reach = 1 / (1 + np.exp(-((x @ w)[:, None] - cuts[None, :])))
+        full = np.hstack([np.ones((n, 1)), reach, np.zeros((n, 1))])
+        return full, full[np.arange(n), place] - full[np.arange(n), place + 1]
+
+    def loss(w, cuts):
+        return -np.log(chances(w, cuts)[1]).mean() + decay / 2 * (w**2).sum()
+
+    # Gradient descent on weights and plain thresholds.
+    w, cuts = np.zeros(d), np.array([-1.0, 1.0])
+    for _ in range(20_000):
+        full, p = chances(w, cuts)
+        slope, at = full * (1 - full), np.arange(n)
+        w_slope = -x.T @ ((slope[at, place] - slope[at, place + 1]) / p) / n + decay * w
+        cut_slope = [((place == k + 1) * slope[:, k + 1] / p).mean() - ((place == k) * slope[:, k + 1] / p).mean() for k in range(2)]
+        w, cuts = w - 0.3 * w_slope, cuts - 0.3 * np.array(cut_slope)
+    model = quality_ordinal.fit_rows(rows, label, np.arange(d), decay=decay)
+    got = np.array([model.weights.get(i, 0.0) for i in range(d)])
+    assert loss(got, np.array(model.thresholds)) <= loss(w, cuts) + 1e-4
+    assert np.abs(got - w).max() < 0.05 and np.abs(np.array(model.thresholds) - cuts).max() < 0.05

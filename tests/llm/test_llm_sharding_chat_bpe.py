@@ -102,3 +102,10 @@ def test_bpe_million_spaces(spark, ranks):
     enc = byte_bpe.encoding(ranks.path("byte_bpe_50k.tiktoken"), ranks.PATTERN)
     text = "a" + " " * 1_000_000 + "b" + "\n" * 300_000
     assert enc.decode_bytes(byte_bpe.encode(enc, text).tolist()).decode() == text
+
+
+def test_bpe_of_another_pattern_is_not_cut(ranks):
+    # Matches of this pattern run over the places where the usual one may be cut.
+    enc = byte_bpe.encoding(ranks.path("byte_bpe_50k.tiktoken"), r"[\s\S]{1,7}")
+    for text in ("some words here " * 10_000, "a" + " " * 9_000 + "b", ""):
+        assert byte_bpe.encode(enc, text).tolist() == enc.encode_ordinary(text)
