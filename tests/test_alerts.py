@@ -158,6 +158,43 @@ def test_a_busy_rule_is_settled_day_by_day():
     assert (out["kind"] == "exit").sum() > 355 and (out["kind"] == "head").sum() < len(rows) / 5
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_many_slots_at_once_equal_single_steps(seed):
+    rng = random.Random(seed)
+    threshold, window, cooldown = rng.choice([1, 3, 40]), rng.choice([1, 50, 900]), rng.choice([0, 7, 300])
+    times = sorted(rng.sample(range(20_000), 3_000))
+    slots = [(t, rng.choice([1, 1, 2, 60])) for t in times]
+    one = [rng.randint(0, 5), rng.choice([None, 40]), rng.choice([None, 90])]
+    many, got = list(one), []
+    fired, one = _plain(slots, threshold, window, cooldown, one)
+    for part in (slots[:1000], slots[1000:1001], slots[1001:]):
+        places = alert_gate.fold_slots(many, [t for t, _ in part], [n for _, n in part], threshold, window, cooldown)
+        got += [(*part[i], n) for i, n in places]
+    assert got == fired and many == one
+
+
+def test_a_rule_that_always_fires_late_is_folded_by_windows():
+    """A million slots without one that settles: each is handed on, and the fold takes as many turns as windows."""
+
+    class Counted(list):
+        reads = 0
+
+        def __getitem__(self, i):
+            Counted.reads += 1
+            return super().__getitem__(i)
+
+    n = 1_000_000
+    state = [0, None, None]
+    fired = alert_gate.fold_slots(state, Counted(range(0, 500_000 * n, 500_000)), [1] * n, 5, 60 * alert_gate.MINUTE_US, 120 * alert_gate.MINUTE_US)
+    assert len(fired) == 70 and fired[0] == (4, 5) and Counted.reads < n / 100
+
+
+def test_slots_without_a_time_never_fire(spark):
+    kinds = "gate_key string, slot long, t_us long, matches long, threshold long, window_us long, cooldown_us long"
+    rows = [("k", None, None, 9, 1, 10, 0), ("k", 1, 500_000, 1, 1, 10, 0)]
+    assert [r["t_us"] for r in alert_gate.fire(spark.createDataFrame(rows, kinds)).collect()] == [500_000]
+
+
 def test_chunks_cross_frames():
     columns = ["chunk", *alert_gate.GATE_COLUMNS]
     rows = [(i // 20, "k", i, i * 10, 1, 3, 15, 0) for i in range(60)]
