@@ -33,6 +33,9 @@ FETCH_BYTES = 4 << 20
 # Text for each bucket of shingles, and shingles that a task deals out at once.
 BUCKET_BYTES = 8 << 20
 DEAL_SHINGLES = 1 << 19
+# Shingles of a dealt row before the next set begins a new one, and those of a bucket looked at together.
+ROW_SHINGLES = 1 << 11
+PART_SHINGLES = 1 << 17
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -72,6 +75,7 @@ class Shingler:
 def deal(sets: list[tuple[int, np.ndarray]], buckets: int) -> Iterator[tuple]:
     """Shingles of (name, shingles) by bucket: bucket, names, shingles of each name (as bytes if they are few), the shingles as 32 bits.
 
+    A bucket gets several rows if they are many, so that a batch of rows stays small; a set stands in one of them.
     Two shingles of a bucket may get the same 32 bits. They then count as one shingle, for every
     set alike, which can only bring sets together that need not meet.
     """
@@ -81,7 +85,9 @@ def deal(sets: list[tuple[int, np.ndarray]], buckets: int) -> Iterator[tuple]:
     bucket = (h >> np.uint64(32)) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
     bucket, token, owner = bucket[order], (h[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), owner[order]
-    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    begins = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])]))
+    cut = (np.diff(bucket[begins]) != 0) | (np.diff(begins // ROW_SHINGLES) != 0)
+    edges = np.concatenate([[0], begins[1:][cut], [len(owner)]])
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
         own = owner[a:b]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
@@ -89,10 +95,11 @@ def deal(sets: list[tuple[int, np.ndarray]], buckets: int) -> Iterator[tuple]:
         yield int(bucket[a]), names[own[first]].tobytes(), counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes(), token[a:b].tobytes()
 
 
-def shared_tokens(bucket: int, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """Of the rows dealt to a bucket: names and tokens of the shingles that several sets hold.
+def shared_tokens(bucket: int, rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of the rows dealt to a bucket: names and tokens of the shingles that several sets hold, in parts.
 
     A token orders shingles from rare to common: its upper bits are the number of sets (65,535 at most).
+    A part has all entries of its shingles.
     """
     names = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows])
     counts = np.concatenate([np.frombuffer(r[1], np.uint8 if len(r[1]) * 8 == len(r[0]) else np.uint32).astype(np.int64) for r in rows])
@@ -100,8 +107,20 @@ def shared_tokens(bucket: int, rows: list[tuple]) -> tuple[np.ndarray, np.ndarra
     once = np.zeros(len(names), bool)
     once[np.unique(names, return_index=True)[1]] = True  # several tasks may have given a set
     owner = np.repeat(np.arange(len(names), dtype=np.int32), counts)
-    mine = once[owner]
-    owner, tokens = owner[mine], tokens[mine]
+    if not once.all():
+        mine = once[owner]
+        owner, tokens = owner[mine], tokens[mine]
+    parts = -(-len(tokens) // PART_SHINGLES)
+    limits = [(i << 32) // parts for i in range(parts + 1)]
+    for low, high in zip(limits[:-1], limits[1:]):
+        own = np.flatnonzero((tokens >= low) & (tokens < high))
+        names_of, ordered = _several(bucket, owner[own], tokens[own])
+        if len(ordered):
+            yield names[names_of], ordered
+
+
+def _several(bucket: int, owner: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and token of the entries whose shingle has others."""
     order = np.argsort(tokens, kind="stable")
     edges = np.flatnonzero(np.diff(tokens[order], prepend=np.uint32(0)) != 0)
     edges = np.unique(np.concatenate([[0], edges, [len(order)]]))
@@ -111,7 +130,7 @@ def shared_tokens(bucket: int, rows: list[tuple]) -> tuple[np.ndarray, np.ndarra
     place = _mix((np.uint64(bucket) << np.uint64(32)) ^ tokens[order].astype(np.uint64)) >> np.uint64(17)
     ordered = (np.minimum(held, 65_535).astype(np.uint64) << np.uint64(47)) | place
     by_set = np.argsort(owner[order], kind="stable")
-    return names[owner[order][by_set]], ordered[by_set].view(np.int64)
+    return owner[order][by_set], ordered[by_set].view(np.int64)
 
 
 def _set_rows(docs: DataFrame, words: int, buckets: int) -> DataFrame:
@@ -171,8 +190,7 @@ def _ties(dealt: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found() -> Iterator[pd.DataFrame]:
-            names, tokens = shared_tokens(at, held)
-            if len(names):
+            for names, tokens in shared_tokens(at, held):
                 yield pd.DataFrame({"sid": names.view(np.int64), "token": tokens})
 
         at, held = None, []

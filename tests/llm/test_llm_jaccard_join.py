@@ -162,3 +162,32 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted((r["doc_id"] or -1, r["component_id"], r["n_links"]) for r in jaccard_join.join(df).collect())
     assert got == [(-1, None, 0), (1, 1, 2), (3, 1, 2), (3, 1, 2)]
     assert jaccard_join.join(df.limit(0)).count() == 0
+
+
+def test_buckets_are_dealt_and_looked_at_in_parts(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "ROW_SHINGLES", 64)
+    monkeypatch.setattr(jaccard_join, "PART_SHINGLES", 100)
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    named = [(i + 1, np.unique(rng.choice(common, int(rng.integers(1, 60))))) for i in range(80)]
+    dealt = list(jaccard_join.deal(named, 3))
+    assert all(len(tokens) // 4 < 64 + 60 for _, _, _, tokens in dealt)
+    for bucket in range(3):
+        rows = [r[1:] for r in dealt if r[0] == bucket]
+        names = [n for r in rows for n in np.frombuffer(r[0], np.uint64).tolist()]
+        assert len(rows) > 1 and len(names) == len(set(names))
+        owners = np.repeat(names, np.concatenate([np.frombuffer(r[1], np.uint8) for r in rows]))
+        holders = {}
+        for name, token in zip(owners.tolist(), np.frombuffer(b"".join(r[2] for r in rows), np.uint32).tolist()):
+            holders.setdefault(token, []).append(name)
+        parts = list(jaccard_join.shared_tokens(bucket, rows + rows[:2]))  # rows that come twice count once
+        assert len(parts) > 1
+        found = {}
+        for part_names, tokens in parts:
+            part = {}
+            for name, token in zip(part_names.tolist(), tokens.tolist()):
+                part.setdefault(token, []).append(name)
+            assert not part.keys() & found.keys()
+            found |= part
+        assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in holders.values() if len(v) > 1)
+        assert all(token >> 47 == len(v) for token, v in found.items())
